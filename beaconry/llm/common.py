@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -70,6 +72,14 @@ class Scratch:
             return
 
 
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, made once in a Python worker's process and found again by its later tasks."""
+    held = vars(sys.modules.setdefault("_beaconry_worker", types.ModuleType("_beaconry_worker"))).setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bounded number of words."""
 

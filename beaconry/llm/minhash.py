@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, window_hashes, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, window_hashes, words_of
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, and members of a block.
 KEPT, LISTS, NEED, BLOCK = 64, 32, 10, 512
@@ -47,7 +47,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     """``doc_id, n_shingles, fp, sketch`` for each row; ``fp`` and ``sketch`` are null without words."""
 
     def make():
-        hashes = WordHashes()
+        hashes = kept_in_worker("word hashes", WordHashes)
 
         def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
             found = shingle_set(words_of(text.lower() if text else None), width, hashes)
@@ -69,7 +69,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     near = slim.join(F.broadcast(bits), (F.expr("_bit div 64") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_bit % 64 as int)) & 1") == 1)).select("doc_id", "text")
 
     def make():
-        hashes = WordHashes()
+        hashes = kept_in_worker("word hashes", WordHashes)
 
         def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
             found = shingle_set(words_of(text.lower() if text else None), width, hashes)
