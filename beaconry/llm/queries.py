@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .ledger import ORACLE as LEDGER_SQL
+from .ledger import quality_verdicts
 from .minhash import near_duplicates
 from .rans import token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op9_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -26,8 +32,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
+    "op4_rule_ledger": op4_rule_ledger,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_rule_ledger": LEDGER_SQL,
+}
