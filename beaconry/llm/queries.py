@@ -12,6 +12,8 @@ from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .minhash import near_duplicates
 from .rans import token_ids
+from .secrets import ORACLE as SECRETS_SQL
+from .secrets import secret_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,10 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -33,10 +39,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
     "op4_rule_ledger": op4_rule_ledger,
+    "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_rule_ledger": LEDGER_SQL,
+    "op8_entropy_secrets": SECRETS_SQL,
 }
