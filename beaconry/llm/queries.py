@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .cube import cube_mix
 from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .minhash import near_duplicates
@@ -18,6 +19,10 @@ from .secrets import secret_spans
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
+    "op1_cube_mix": op1_cube_mix,
     "op4_rule_ledger": op4_rule_ledger,
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
