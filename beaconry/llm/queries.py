@@ -13,6 +13,7 @@ from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .minhash import near_duplicates
 from .rans import token_ids
+from .rulefit import quality_scores
 from .secrets import ORACLE as SECRETS_SQL
 from .secrets import secret_spans
 
@@ -27,6 +28,10 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Query] = {
     "op1_cube_mix": op1_cube_mix,
     "op4_rule_ledger": op4_rule_ledger,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
