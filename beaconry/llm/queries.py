@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .cube import cube_mix
+from .decontaminate import contaminated
 from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .minhash import near_duplicates
@@ -24,6 +25,10 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {
     "op1_cube_mix": op1_cube_mix,
+    "op3_decontamination": op3_decontamination,
     "op4_rule_ledger": op4_rule_ledger,
     "op6_rule_ensemble": op6_rule_ensemble,
     "op8_entropy_secrets": op8_entropy_secrets,
