@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .minhash import near_duplicates
+from .pseudonyms import pseudonymised
 from .rans import token_ids
 from .rulefit import quality_scores
 from .secrets import ORACLE as SECRETS_SQL
@@ -25,6 +26,10 @@ def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix(table(spark, sf_dir, "documents"))
 
 
+def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents"), KEY)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,9 +56,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A public byte-level BPE vocabulary, read from its package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The key of the pseudonyms in the query; a user brings their own.
+KEY = b"an example key"
 
 QUERIES: dict[str, Query] = {
     "op1_cube_mix": op1_cube_mix,
+    "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_decontamination": op3_decontamination,
     "op4_rule_ledger": op4_rule_ledger,
     "op6_rule_ensemble": op6_rule_ensemble,
