@@ -12,12 +12,14 @@ from .cube import cube_mix
 from .decontaminate import contaminated
 from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
+from .linedup import without_repeated_lines
 from .minhash import near_duplicates
 from .pseudonyms import pseudonymised
 from .rans import token_ids
 from .rulefit import quality_scores
 from .secrets import ORACLE as SECRETS_SQL
 from .secrets import secret_spans
+from .wordpiece import byte_level_pieces, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +40,18 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), byte_level_pieces(TOKENIZER), name=TOKENIZER)
+
+
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,9 @@ QUERIES: dict[str, Query] = {
     "op2_feistel_pseudonyms": op2_feistel_pseudonyms,
     "op3_decontamination": op3_decontamination,
     "op4_rule_ledger": op4_rule_ledger,
+    "op5_line_dedup": op5_line_dedup,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_longest_match_counts": op7_longest_match_counts,
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
