@@ -2,15 +2,15 @@
 
 1. Each text becomes the set of its word shingles, hashed once; the k least hashes are its sketch. Texts with equal sets
    form a class, so copies never meet as pairs.
-2. Inverted lists of retained values generate overlaps. A pair at the threshold shares far more than ``need`` of the
-   ``lists`` least values, so each class enters only the lists of all but its ``need - 1`` most frequent values.
-3. Each list first links its members to one centre. Members that this leaves in different components meet in blocks,
-   where only pairs whose sketches overlap leave the task.
-4. The k least values of two sketches' union estimate the Jaccard similarity; clear misses go.
-5. The full sets of the remaining pairs decide, and links become connected components.
-
-A link at similarity 0.8 is missed only if fewer than ``need`` of 32 retained values are shared (below 1e-9) or the
-estimate is ``slack`` too low (five standard deviations).
+2. Inverted lists of retained values generate overlaps. A pair at the threshold shares far more than NEED of the LISTS
+   least values, so each class enters only the lists of all but its NEED - 1 most frequent values.
+3. Inside a list, the k least values of two sketches' union estimate the Jaccard similarity. Pairs that may reach the
+   threshold connect; only which members hang together leaves the task. These loose clusters contain every link.
+4. The full sets of a loose cluster's members decide, and links become connected components.
+
+Lists and clusters are dealt into blocks, and each two blocks are one task's group: no task holds a whole list, no pairs
+are written, and what leaves a task grows with its members. A link at similarity 0.8 is missed only if fewer than NEED of
+32 retained values are shared (below 1e-9) or the estimate is SLACK too low (five standard deviations).
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, and members of a block.
 KEPT, LISTS, NEED, BLOCK = 64, 32, 10, 512
+#: Columns of an incidence matrix at a time.
+COLUMNS = 4096
+#: Larger than any hash.
+END = np.iinfo(np.int64).max
 #: What the estimate may fall below the threshold.
 SLACK = 0.25
 #: Bits of the filter that spares most texts a second look; it is a table of at most BITS / 64 rows.
@@ -51,11 +55,11 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
         def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
             found = shingle_set(words_of(text.lower() if text else None), width, hashes)
-            yield (doc_id, len(found), fingerprint(found), found[:KEPT].tolist()) if len(found) else (doc_id, 0, None, None)
+            yield (doc_id, len(found), fingerprint(found), found[:KEPT].tobytes()) if len(found) else (doc_id, 0, None, None)
 
         return rows
 
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")), "doc_id long, n_shingles long, fp binary, sketch array<long>", make)
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")), "doc_id long, n_shingles long, fp binary, sketch binary", make)
 
 
 def _bit(doc_id: str) -> Column:
@@ -82,74 +86,101 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select("fp", "full")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` whose union sketch doesn't speak against the threshold."""
-    a = classes.select(F.col("fp").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-    b = classes.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(a, "a").join(b, "b").where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
-    union = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT))
-    share = F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) / F.size("u")
-    return union.where(share >= threshold - SLACK).select("a", "b")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * shared >= percent * union on the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), np.int64) for z in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    a, b = sets.select(F.col("fp").alias("a"), F.col("full").alias("fa")), sets.select(F.col("fp").alias("b"), F.col("full").alias("fb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary")
-
-
 def _lists(classes: DataFrame) -> DataFrame:
     """``value, fp`` for each inverted list that a class enters and that has another class."""
-    long = classes.select("fp", F.size("sketch").alias("s"), F.explode(F.slice("sketch", 1, LISTS)).alias("value"))
+    held = F.least(F.expr("length(sketch) div 8"), F.lit(LISTS)).cast("int")
+    at = F.explode(F.sequence(F.lit(0), held - 1))
+    long = classes.select("fp", held.alias("s"), F.expr("sketch").alias("sketch"), at.alias("at")).select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
     often = long.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     w = W.partitionBy("fp").orderBy(F.desc("df"), "value")
-    need = F.expr(f"least(s, {LISTS}) * {NEED} div {LISTS}")
+    need = F.expr(f"s * {NEED} div {LISTS}")
     kept = long.join(often, "value").withColumn("hot", F.row_number().over(w)).where(F.col("hot") > F.greatest(need, F.lit(1)) - 1)
     return kept.select("value", "fp")
 
 
-def _blocks(left: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components whose sketches overlap enough; ``left``: value, fp, root, sketch.
-
-    A list is dealt into blocks by its size, and each pair of blocks is one group, so no task holds a whole list.
+def _labels(near: np.ndarray) -> np.ndarray:
+    """For each node of a symmetric adjacency matrix, the least node of its component."""
+    labels = np.arange(len(near))
+    while True:
+        after = np.minimum(labels, np.where(near, labels[None, :], len(near)).min(axis=1, initial=len(near)))
+        after = np.minimum(after, after[after])
+        if (after == labels).all():
+            return labels
+        labels = after
+
+
+def _shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common; sets are incidence rows, a bounded number of columns at a time."""
+    size = np.array([len(v) for v in values])
+    _, at, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(values)), size), n > 1
+    column, keep = np.cumsum(often) - 1, often[at]
+    row, at = row[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at, out = row[order], at[order], np.zeros((len(values), len(values)), np.float32)
+    for first in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(at, [first, first + COLUMNS])
+        grid = np.zeros((len(values), COLUMNS), np.float32)
+        grid[row[lo:hi], at[lo:hi] - first] = 1
+        out += grid @ grid.T
+    return out
+
+
+def _close(values: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which full sets have 100 * shared >= percent * union."""
+    size, shared = np.array([len(v) for v in values], np.float64), _shared(values).astype(np.float64)
+    return 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+
+
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity by the KEPT least values of each two sketches' union; rows are padded with END."""
+    merged = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = (merged[:, 1:] == merged[:, :-1]) & (merged[:, 1:] != END)
+    rank = np.cumsum(np.concatenate([np.ones((len(a), 1), bool), ~again], axis=1) & (merged != END), axis=1)
+    return np.count_nonzero(again & (rank[:, 1:] <= KEPT), axis=1) / np.minimum(rank[:, -1], KEPT)
+
+
+def _maybe_close(values: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sketches don't speak against ``percent``, up to connectedness.
+
+    The overlap bounds the estimate from both sides. Pairs whose lower bound passes connect at once; the estimate itself
+    is taken only of pairs that this leaves apart.
     """
-    sizes = left.groupBy("value").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("nb"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("value", "nb")
-    dealt = left.join(sizes, "value").withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "root", "sketch")
+    size, c = np.array([len(v) for v in values]), _shared(values)
+    union = size[:, None] + size[None, :] - c
+    seen = np.minimum(union, KEPT)
+    need = percent / 100 - SLACK
+    sure, may = c - (union - seen) >= need * seen, c >= need * seen
+    label = _labels(sure)
+    rest = np.argwhere(np.triu(may & (label[:, None] != label[None, :]), 1))
+    if len(rest):
+        padded = np.full((len(values), KEPT), END, np.int64)
+        for k, v in enumerate(values):
+            padded[k, : len(v)] = v
+        for at in range(0, len(rest), 8192):
+            i, j = rest[at : at + 8192].T
+            sure[i, j] = sure[j, i] = _estimates(padded[i], padded[j]) >= need
+    return sure
+
+
+def _hang_together(groups: DataFrame, test, percent: int) -> DataFrame:
+    """``a, b``: for groups of ``(key, fp, payload)``, edges that connect what pairs passing ``test`` connect, and no more."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("nb"))
+    dealt = groups.join(sizes, "key").withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    met = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "payload")
 
     def run(t: pa.Table) -> pa.Table:
         fps, mine = t["fp"].to_pylist(), np.asarray(t["mine"])
-        sketch = [np.asarray(x.values) for x in t["sketch"]]
-        roots = np.unique(np.array([int.from_bytes(xxhash.xxh3_64_digest(x), "big") for x in t["root"].to_pylist()], np.uint64), return_inverse=True)[1]
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        flat, size = np.concatenate(sketch), np.array([len(x) for x in sketch])
-        value, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = n > 1
-        column = np.cumsum(shared) - 1
-        row = np.repeat(np.arange(len(fps)), size)
-        there = shared[at]
-        grid = np.zeros((len(fps), int(shared.sum())), np.float32)
-        grid[row[there], column[at[there]]] = 1
-        p, q = (np.flatnonzero(mine == i), np.flatnonzero(mine == j))
-        met = grid[p] @ grid[q].T
-        ok = (met >= 0.45 * np.minimum(size[p][:, None], size[q][None, :])) & (roots[p][:, None] != roots[q][None, :])
-        if i == j:
-            ok &= p[:, None] < q[None, :]
-        x, y = np.nonzero(ok)
-        pairs = [(min(fps[p[k]], fps[q[m]]), max(fps[p[k]], fps[q[m]])) for k, m in zip(x, y, strict=True)]
-        return pa.table({"a": pa.array([z[0] for z in pairs], pa.binary()), "b": pa.array([z[1] for z in pairs], pa.binary())})
-
-    return met.groupBy("value", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+        near = test([np.frombuffer(x.as_buffer(), np.int64) for x in t["payload"]], percent)
+        np.fill_diagonal(near, False)
+        whole, told = _labels(near), np.arange(len(fps))
+        if t["i"][0].as_py() != t["j"][0].as_py():
+            told = _labels(near & (mine[:, None] == mine[None, :]))  # another group tells these
+        ends = np.flatnonzero((told == np.arange(len(fps))) & (whole != told))
+        return pa.table({"a": pa.array([fps[k] for k in ends], pa.binary()), "b": pa.array([fps[whole[k]] for k in ends], pa.binary())})
+
+    return met.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,27 +192,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     null, and then the rows are kept). Rows that repeat a ``doc_id`` are judged each by its text; those that hold the
     component's least id are all kept. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    spark, threshold = docs.sparkSession, percent / 100
-    scratch = Scratch(spark, "minhash")
+    scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.write(sketches(docs, width, id_col, text_col), "rows")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
-    lists = scratch.write(_lists(classes), "lists")
-
-    centre = lists.groupBy("value").agg(F.min("fp").alias("b"))
-    star = lists.join(centre, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    first = scratch.write(_estimated(star, classes, threshold), "star")
-    links = scratch.write(_linked(first, docs, classes, width, percent, id_col, text_col), "links-1")
-    roots = scratch.write(components(links, scratch, "cc-1"), "roots-1")
-
-    told = lists.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("value", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed_lists = told.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1 and m > 2").select("value")
-    left = told.join(mixed_lists, "value", "left_semi").join(classes.select("fp", "sketch"), "fp")
-    pairs = _blocks(left)
-    second = scratch.write(_estimated(pairs, classes, threshold).join(first, ["a", "b"], "left_anti"), "rest")
-    more = scratch.write(_linked(second, docs, classes, width, percent, id_col, text_col), "links-2")
-    roots = scratch.write(components(links.unionByName(more), scratch, "cc-2"), "roots-2")
-    scratch.drop("lists", "star", "rest", "links-1", "links-2", "roots-1")
+
+    listed = _lists(classes).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
+    loose = components(_hang_together(listed, _maybe_close, percent), scratch, "loose")
+    loose = scratch.write(loose, "clusters")
+    full = _full_sets(docs, classes.select("fp", "rep").join(loose.select(F.col("node").alias("fp")), "fp", "left_semi"), width, id_col, text_col)
+    clusters = full.join(loose.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("key"), "fp", F.col("full").alias("payload"))
+    roots = scratch.write(components(_hang_together(clusters, _close, percent), scratch, "links"), "roots")
+    scratch.drop("clusters")
 
     told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = told.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -190,12 +212,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = classes.select("fp", "rep").join(ends, "fp", "left_semi")
-    return _verified(pairs, _full_sets(docs, wanted, width, id_col, text_col), percent)
-
-
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
     decided = near_duplicates(docs.select("doc_id", "text"), width=width, percent=percent)
