@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes
 from .ledger import MEASURES, measures
@@ -45,7 +46,7 @@ def statistics(text: bytes | None) -> tuple[float, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+@F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS]))
 def text_statistics(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for text in texts:
         yield pd.DataFrame([statistics(x) for x in text], columns=list(STATISTICS), dtype=float)
