@@ -51,7 +51,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MOTION = """motion AS (
-  SELECT user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, epoch_us(ts) / 1000000.0 AS ts,
+  SELECT user_id AS sample_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS idx, epoch_us(ts) / 1000000.0 AS ts,
          value AS ax, value * 0.5 - event_id % 7 AS ay, (event_id % 11)::DOUBLE AS az FROM events)"""
 
 
