@@ -83,7 +83,7 @@ _rows("argmax_class", "(list_position(features, list_max(features)) - 1)::INT AS
 _rows("joint_loss", "round(0.8 * x + 0.2 * y, 6) AS loss", lambda d: [H.joint_loss([(0.8, F.col("x")), (0.2, F.col("y"))]).alias("loss")])
 _rows("path_loss", "round(10 ^ ((-59 - features[1]) / 20), 6) AS d, CASE WHEN sample_id % 2 = 0 THEN round(10 ^ ((-59 - features[2]) / 20), 6) END AS e", lambda d: [S.path_loss_distance(F.get(F_(), F.lit(0)), F.lit(-59.0)).alias("d"), S.path_loss_distance(F.get(F_(), F.lit(1)), F.when(F.col("sample_id") % 2 == 0, F.lit(-59.0))).alias("e")])
 _rows("light_distance", "CASE WHEN features[1] > 0 THEN round(sqrt(1 / features[1]), 6) END AS d", lambda d: [S.light_distance(F.get(F_(), F.lit(0))).alias("d")])
-_rows("tof_distance", "round(331.3 + 0.606 * (sample_id % 30), 6) AS speed, round((331.3 + 0.606 * (sample_id % 30)) * 0.01 * (sample_id % 7), 6) AS d", lambda d: [S.sound_speed(F.col("sample_id") % 30).alias("speed"), F.element_at(S.flight_distances(F.create_map(F.lit("US1"), 0.01 * (F.col("sample_id") % 7)), S.sound_speed(F.col("sample_id") % 30)), "US1").alias("d")])
+_rows("tof_distance", "round(331.3::DOUBLE + 0.606::DOUBLE * (sample_id % 30), 6) AS speed, round((331.3::DOUBLE + 0.606::DOUBLE * (sample_id % 30)) * (0.01::DOUBLE * (sample_id % 7)), 6) AS d", lambda d: [S.sound_speed(F.col("sample_id") % 30).alias("speed"), F.element_at(S.flight_distances(F.create_map(F.lit("US1"), 0.01 * (F.col("sample_id") % 7)), S.sound_speed(F.col("sample_id") % 30)), "US1").alias("d")])
 _rows("weight_shares", "round((1 + sample_id % 3) / (1 + sample_id % 3 + 2), 6) AS wifi", lambda d: [F.element_at(S.weight_shares(F.create_map(F.lit("wifi"), (1 + F.col("sample_id") % 3).cast("double"), F.lit("ble"), F.lit(2.0))), "wifi").alias("wifi")])
 _rows("sorted_anchor_vector", "[x, x + 1, x + 2] AS v", lambda d: [S.sorted_values(F.create_map(F.lit("A2"), F.col("x") + 2, F.lit("A10"), F.col("x") + 1, F.lit("A1"), F.col("x"))).alias("v")])
 _rows("polar_xy", "round(x * cos(radians(y)), 6) AS px, round(x * sin(radians(y)), 6) AS py", lambda d: [c.alias(n) for c, n in zip(G.polar(F.col("x"), F.col("y")), ("px", "py"), strict=True)])
