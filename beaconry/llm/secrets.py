@@ -110,15 +110,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     access = F.filter(_matches(t, ACCESS), lambda m: F.length(m["value"]) >= LEAST_ACCESS)
     base = slim.select(
         "doc_id",
-        F.when(F.regexp_like(t, F.lit(CANDIDATE)), t).alias("text"),
+        F.when(F.regexp_like(t, F.lit(CANDIDATE)), t).alias("long"),  # an alias "text" would stand for the text inside lambdas
         F.when(F.regexp_like(t, F.lit(ASSIGN)), assign).otherwise(none).alias("assign"),
         F.when(t.contains("AKIA"), access).otherwise(none).alias("access"),
         F.when(F.regexp_like(t, F.lit(HEX)), _matches(t, HEX)).otherwise(none).alias("hex"),
     )
     taken = F.concat("assign", "access", "hex")
     free = lambda m: ~F.exists(taken, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    more = F.filter(_matches(t, CANDIDATE), lambda m: F.when(_suspicious(m["value"]), free(m)).otherwise(F.lit(False)))
-    return base.withColumn("entropy", F.when(t.isNotNull(), more).otherwise(none)).drop("text")
+    more = F.filter(_matches(F.col("long"), CANDIDATE), lambda m: F.when(_suspicious(m["value"]), free(m)).otherwise(F.lit(False)))
+    return base.withColumn("entropy", F.when(F.col("long").isNotNull(), more).otherwise(none)).drop("long")
 
 
 def _told(kinds: tuple[str, ...]) -> Column:
