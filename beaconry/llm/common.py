@@ -34,6 +34,21 @@ def as_bytes(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front, so that no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``doc_id`` isn't in the one column of ``ids``; nulls match nulls."""
+    name = unused(docs, "_gone")
+    gone = ids.toDF(name).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[name]), "left_anti")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can reach; a temporary one is set only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, unused
 
 #: Documents of a block, blocks that meet at the next level, and sources that a plan may hold on the driver.
 BLOCK, FAN, MOST_SOURCES = 5_000, 1_000, 1_000_000
@@ -188,6 +188,7 @@ def cube_mix(
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """``docs``, with all columns, each row as often as the mix takes it; rows of one ``doc_id`` as its most taken row."""
-    mix = cube_mix(docs, **parameters).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    both = docs.join(mix, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return both.select(*(docs[c] for c in docs.columns), F.explode(F.expr("sequence(1L, _copies)")).alias("_copy")).drop("_copy")
+    key, copies, copy = (unused(docs, n) for n in ("_id", "_copies", "_copy"))
+    mix = cube_mix(docs, **parameters).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    both = docs.join(mix, docs["doc_id"].eqNullSafe(mix[key]))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(key, copies, copy)

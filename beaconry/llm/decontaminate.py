@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, as_bytes
+from .common import Scratch, arrow_rows, as_bytes, without_ids
 
 #: Words of an n-gram, n-grams of a stretch and seeds of each, words of all items of a block.
 WIDTH, STRETCH, RAREST, BLOCK_WORDS = 3, 6, 2, 500_000
@@ -190,5 +190,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
-    gone = contaminated(docs, benchmark, threshold=threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark, threshold=threshold).select("doc_id"))

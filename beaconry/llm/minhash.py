@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, window_hashes, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, window_hashes, without_ids, words_of
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, and members of a block.
 KEPT, LISTS, NEED, BLOCK = 64, 32, 10, 512
@@ -215,5 +215,4 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
     decided = near_duplicates(docs.select("doc_id", "text"), width=width, percent=percent)
-    gone = decided.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return without_ids(docs, decided.where("not kept").select("doc_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes
+from .common import as_bytes, unused
 from .ledger import MEASURES, measures
 
 STATISTICS = (
@@ -193,7 +193,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier accepts."""
-    model, name = train(docs, labels), "_statistics"
-    while name in docs.columns:
-        name = f"_{name}"
+    model, name = train(docs, labels), unused(docs, "_statistics")
     return docs.withColumn(name, text_statistics(as_bytes("text"))).where(model.score(f"`{name}`") >= threshold).drop(name)
