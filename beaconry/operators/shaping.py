@@ -64,11 +64,16 @@ def by_position(parts: list[DataFrame], order: str = "src_idx") -> DataFrame:
     return out
 
 
+def row_halves(df: DataFrame, ratio: float, order: str) -> tuple[DataFrame, DataFrame]:
+    """The first ``int(n * ratio)`` rows in order, and the rest, from one ranking."""
+    ranked = global_rank(df, [order], "_rank")
+    cut = int(df.count() * ratio)
+    return ranked.where(F.col("_rank") <= cut).drop("_rank"), ranked.where(F.col("_rank") > cut).drop("_rank")
+
+
 def row_split(df: DataFrame, ratio: float, order: str, *, train: bool) -> DataFrame:
-    """The first ``int(n * ratio)`` rows in order, or the rest."""
-    cut = F.floor(F.col("_n") * ratio)
-    ranked = global_rank(df, [order], "_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
-    return ranked.where(F.col("_rank") <= cut if train else F.col("_rank") > cut).drop("_rank", "_n")
+    """One of the halves of ``row_halves``."""
+    return row_halves(df, ratio, order)[0 if train else 1]
 
 
 def group_split(df: DataFrame, ratio: float, group: str, *, train: bool) -> DataFrame:
@@ -78,10 +83,7 @@ def group_split(df: DataFrame, ratio: float, group: str, *, train: bool) -> Data
 
 def random_split(df: DataFrame, ratio: float, key: str, *, train: bool, seed: int = 42) -> DataFrame:
     """Rows in an order of their hashes, cut as in ``row_split``."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    cut = F.floor(F.col("_n") * ratio)
-    ranked = global_rank(hashed, ["_h", key], "_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
-    return ranked.where(F.col("_rank") <= cut if train else F.col("_rank") > cut).drop("_rank", "_n", "_h")
+    return row_split(df.withColumn("_h", F.struct(F.xxhash64(F.lit(seed), key), key)), ratio, "_h", train=train).drop("_h")
 
 
 def united(*parts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.signals import wifi
-from ..operators.shaping import row_split
+from ..operators.shaping import row_halves
 from .registry import table
 
 FP = """fp AS (
@@ -37,8 +37,8 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    fp = normalised(spark, sf_dir)
-    return row_split(fp, 0.7, "sample_id", train=True), row_split(fp, 0.7, "sample_id", train=False)
+    """Normalised fingerprints, split by order: 0.7 for training, the rest to be located."""
+    return row_halves(normalised(spark, sf_dir), 0.7, "sample_id")
 
 
 SCANS = """long AS (SELECT l_orderkey AS scan, 'AP' || (l_suppkey % 50) AS ap, max(-(30 + l_quantity)) AS rssi FROM lineitem GROUP BY 1, 2)"""
