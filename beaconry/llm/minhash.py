@@ -216,3 +216,19 @@ def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataF
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
     decided = near_duplicates(docs.select("doc_id", "text"), width=width, percent=percent)
     return without_ids(docs, decided.where("not kept").select("doc_id"))
+
+
+#: DuckDB SQL for near_duplicates with four-word shingles: all pairs that share a shingle, and what links reach.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, y FROM reach JOIN link ON x = t)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM min(o.doc_id) AS kept
+FROM d LEFT JOIN n USING (r) JOIN reach USING (r) JOIN d o ON o.r = t GROUP BY d.r, d.doc_id, n
+"""

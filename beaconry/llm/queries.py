@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .ledger import ORACLE as LEDGER_SQL
 from .ledger import quality_verdicts
 from .linedup import without_repeated_lines
+from .minhash import ORACLE as NEAR_SQL
 from .minhash import near_duplicates
 from .pseudonyms import pseudonymised
 from .rans import token_ids
@@ -85,4 +86,5 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_rule_ledger": LEDGER_SQL,
     "op8_entropy_secrets": SECRETS_SQL,
+    "op10_minhash_near_dedup": NEAR_SQL,
 }
