@@ -86,8 +86,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select("fp", "full")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """``value, fp`` for each inverted list that a class enters and that has another class."""
+def _lists(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``value, fp`` for each inverted list that a class enters and that has another class.
+
+    Close classes share many lists with the same members; of lists with equal members one stays.
+    """
     held = F.least(F.expr("length(sketch) div 8"), F.lit(LISTS)).cast("int")
     at = F.explode(F.sequence(F.lit(0), held - 1))
     long = classes.select("fp", held.alias("s"), F.expr("sketch").alias("sketch"), at.alias("at")).select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
@@ -95,7 +98,10 @@ def _lists(classes: DataFrame) -> DataFrame:
     w = W.partitionBy("fp").orderBy(F.desc("df"), "value")
     need = F.expr(f"s * {NEED} div {LISTS}")
     kept = long.join(often, "value").withColumn("hot", F.row_number().over(w)).where(F.col("hot") > F.greatest(need, F.lit(1)) - 1)
-    return kept.select("value", "fp")
+    entered = scratch.write(kept.select("value", "fp"), "entered")
+    mark = (F.bit_xor(F.xxhash64(F.lit(seed), "fp")) for seed in (1, 2))
+    members = entered.groupBy("value").agg(F.count("*").alias("m"), *(x.alias(n) for x, n in zip(mark, "xy", strict=True))).where("m > 1")
+    return entered.join(members.groupBy("m", "x", "y").agg(F.min("value").alias("value")).select("value"), "value", "left_semi")
 
 
 def _labels(near: np.ndarray) -> np.ndarray:
@@ -197,13 +203,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
 
-    listed = _lists(classes).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
+    listed = _lists(classes, scratch).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
     loose = components(_hang_together(listed, _maybe_close, percent), scratch, "loose")
     loose = scratch.write(loose, "clusters")
     full = _full_sets(docs, classes.select("fp", "rep").join(loose.select(F.col("node").alias("fp")), "fp", "left_semi"), width, id_col, text_col)
     clusters = full.join(loose.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("key"), "fp", F.col("full").alias("payload"))
     roots = scratch.write(components(_hang_together(clusters, _close, percent), scratch, "links"), "roots")
-    scratch.drop("clusters")
+    scratch.drop("clusters", "entered")
 
     told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = told.groupBy("root").agg(F.min("rep").alias("component_id"))
