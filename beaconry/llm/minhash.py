@@ -196,6 +196,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     rows = scratch.write(sketches(docs, width, id_col, text_col), "rows")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
+    rows = scratch.write(rows.select("doc_id", "n_shingles", "fp"), "slim")
+    scratch.drop("rows")
 
     listed = _lists(classes).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
     loose = components(_hang_together(listed, _maybe_close, percent), scratch, "loose")
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = told.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = told.join(least, "root").select("fp", "component_id")
+    known = scratch.write(told.join(least, "root").select("fp", "component_id"), "known")
+    scratch.drop("classes", "roots")
     out = rows.select("doc_id", "n_shingles", "fp").join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
