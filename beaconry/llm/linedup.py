@@ -1,9 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share lines, and rare shared lines say most. Each shared line of a document points to the
-earliest document that holds it, so a line shared by m documents gives m - 1 pairs, not m * m. Within each run of shared
-lines only the rarest ones open pairs: the alignment of whole documents then covers their neighbours. A patience diff
-aligns the pair, and aligned blocks of at least LEAST_WORDS words go from the later document.
+Documents overlap where they share stretches: successive lines, as few as hold LEAST_WORDS words. Any longer passage is a
+union of stretches. Each stretch of a document points to the earliest document that holds it, so a stretch shared by m
+documents gives m - 1 pairs, not m * m, and every passage is aligned with documents that hold all of it. A patience diff
+aligns the pair, and aligned blocks of at least LEAST_WORDS words go from the later document; so do shared stretches that
+the alignment leaves, such as moved ones.
 
 Only hashes of lines travel; texts meet their deletions once, at the end.
 """
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, as_bytes
@@ -83,8 +83,24 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def stretches(words: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """``first, end`` (exclusive) of the shortest stretches of at least ``least`` words from each line and up to each line."""
+
+    def up_to_each(words: list[int]) -> Iterator[tuple[int, int]]:
+        first, total = 0, 0
+        for end, n in enumerate(words, 1):
+            total += n
+            while total - words[first] >= max(least, 1):
+                total, first = total - words[first], first + 1
+            if total >= least:
+                yield first, end
+
+    n = len(words)
+    return sorted({*up_to_each(words), *((n - end, n - first) for first, end in up_to_each(words[::-1]))})
+
+
 def common_places(early: list[bytes], late: list[bytes], words: list[int], least: int = LEAST_WORDS) -> list[int]:
-    """Indices of ``late`` in aligned blocks, successive in both, of at least ``least`` words."""
+    """Indices of ``late`` in blocks, successive in both, of at least ``least`` words: aligned ones, then all that are left."""
     out, block, last = [], [], None
     for i, j in [*patience(early, late), (None, None)]:
         if block and (i is None or (i - 1, j - 1) != last):
@@ -92,7 +108,14 @@ def common_places(early: list[bytes], late: list[bytes], words: list[int], least
                 out += block
             block = []
         block, last = [*block, j], (i, j)
-    return out
+    found = set(out)
+    left = [(i, j) for i, j in stretches(words, least) if not found.issuperset(range(i, j))] if len(found) < len(late) else []
+    there = set(early)
+    if left := [(i, j) for i, j in left if there.issuperset(late[i:j])]:
+        size = dict(zip(late, words, strict=True))
+        held = {b"".join(early[i:j]) for i, j in stretches([size.get(x, least) for x in early], least)}
+        found.update(k for i, j in left if b"".join(late[i:j]) in held for k in range(i, j))
+    return sorted(found)
 
 
 def repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,22 +129,20 @@ def repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "
     def make():
         def rows(doc_id: int | None, mark: int, text: bytes | None) -> Iterator[tuple]:
             if found := list(hashed_lines(text)):
-                yield (doc_id, mark, *map(list, zip(*found, strict=True)))
+                places, lines, words = map(list, zip(*found, strict=True))
+                held = {xxhash.xxh3_128_digest(b"".join(lines[i:j])) for i, j in stretches(words, least)}
+                yield doc_id, mark, places, lines, words, list(held)
 
         return rows
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), as_bytes(text_col).alias("text"))
-    lined = arrow_rows(slim, "doc_id long, mark long, places array<long>, lines array<binary>, words array<long>", make)
+    lined = arrow_rows(slim, "doc_id long, mark long, places array<long>, lines array<binary>, words array<long>, stretches array<binary>", make)
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     lined = scratch.write(lined.withColumn("doc", key).drop("doc_id", "mark"), "lines")
 
-    long = lined.select("doc", F.posexplode("lines").alias("at", "line"))
-    shared = long.groupBy("line").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1")
-    later = long.join(shared, "line").where(F.col("doc") > F.col("owner")).select("doc", "at", "owner", "df")
-    in_order = W.partitionBy("doc").orderBy("at")
-    run = later.withColumn("run", F.col("at") - F.row_number().over(in_order))
-    rarest = F.min("df").over(W.partitionBy("doc", "run"))
-    pairs = run.withColumn("least", rarest).where("df = least").select("doc", "owner").distinct()
+    long = lined.select("doc", F.explode("stretches").alias("stretch"))
+    shared = long.groupBy("stretch").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1").drop("df")
+    pairs = long.join(shared, "stretch").where(F.col("doc") > F.col("owner")).select("doc", "owner").distinct()
 
     late = lined.select("doc", F.col("places"), F.col("lines").alias("late"), "words")
     early = lined.groupBy("doc").agg(F.first("lines").alias("early")).select(F.col("doc").alias("owner"), "early")

@@ -118,6 +118,41 @@ def test_line_dedup(spark, odd, odd_rows, empty):
     assert linedup.without_repeated_lines(odd).count() == len(odd_rows) and linedup.without_repeated_lines(empty).count() == 0
 
 
+def held_earlier(docs, least=8):
+    """Per document, the places of all successive lines with ``least`` words or more that an earlier one holds, by comparing all."""
+    lines = [[(p, tuple(x.split())) for p, x in enumerate(t.split("\n")) if x.split()] for _, t in docs]
+    out = []
+    for k, late in enumerate(lines):
+        gone = set()
+        for early in lines[:k]:
+            for i in range(len(late)):
+                for j in range(len(early)):
+                    n = 0
+                    while i + n < len(late) and j + n < len(early) and late[i + n][1] == early[j + n][1]:
+                        n += 1
+                    if sum(len(w) for _, w in late[i : i + n]) >= least:
+                        gone |= {p for p, _ in late[i : i + n]}
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_beside_lines_of_others(spark):
+    """Passages whose neighbours have other owners, moved ones, and passages of short lines with an owner each."""
+    p = [prose(40 + k, 10) for k in range(6)]
+    s = [prose(60 + k, 3) for k in range(4)]
+    docs = [(1, f"{p[0]}\n{p[1]}\n{p[2]}"), (2, f"start\n{p[3]}\nend"), (3, f"{p[0]}\n{p[3]}\n{p[1]}\n{p[2]}"), (4, f"{p[2]}\n{p[0]}\nmore\n{p[1]}")]
+    docs += [(10 + k, x) for k, x in enumerate(s)] + [(20, "\n".join(s)), (21, "own\n" + "\n".join(s) + "\nend")]
+    docs += [(k, f"{p[3]}\n{prose(k, 15)}") for k in range(100, 110)]
+    r = random.Random(8)
+    lines = s + p[4:] + [prose(80 + k, 1 + k) for k in range(7)]
+    docs += [(200 + k, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for k in range(60)]
+    want = held_earlier(docs)
+    got = {x["doc_id"]: x for x in linedup.without_repeated_lines(spark.createDataFrame(docs, IDS)).collect()}
+    assert got[3]["n_deleted"] == 4 and got[4]["text"] == "more" and got[21]["text"] == "own\nend"
+    for (i, t), gone in zip(docs, want, strict=True):
+        assert (got[i]["n_deleted"], got[i]["text"]) == (len(gone), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)), i
+
+
 def greedy(word, starting, inside):
     at, n = 0, 0
     while at < len(word):
