@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, local alignment scores what they join.
+"""Benchmark decontamination: n-gram seeds join passages to test items, local alignment scores what they join.
 
-One pass over the corpus finds every place where three successive words of a text are three successive words of an item,
-and keeps only the words around such places, as numbers of the items' vocabulary. The corpus frequencies of these n-grams
-come from those rows. An item is then cut into stretches of STRETCH n-grams; the RAREST of each stretch are its seeds, so
-each part of an item has seeds, however frequent its words. Passages with a seed are aligned with the item by
-Smith-Waterman over words, which scores edited and paraphrased copies too.
+One pass over the corpus finds every place where three successive words of a text are three successive words of an item.
+Every n-gram of an item is a seed: which of them an edited copy keeps can't be told from how frequent they are. Passages
+with a seed whose words can reach the threshold in any order are aligned with the item by Smith-Waterman over words, which
+scores edited and paraphrased copies too. A copy that keeps no three successive words of its item isn't found.
 
 Items are taken in blocks of bounded size, and only a block is broadcast; the corpus is read once for each block.
 """
@@ -20,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, as_bytes, without_ids
+from .common import arrow_rows, as_bytes, without_ids
 
-#: Words of an n-gram, n-grams of a stretch and seeds of each, words of all items of a block.
-WIDTH, STRETCH, RAREST, BLOCK_WORDS = 3, 6, 2, 500_000
+#: Words of an n-gram, words of all items of a block.
+WIDTH, BLOCK_WORDS = 3, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score of an exact copy, and least score as matching words, at most those of the item.
 THRESHOLD, LEAST_WORDS = 0.5, 8
@@ -37,19 +36,27 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of test items: their words as numbers from 1, and their n-grams, sorted."""
+    """A block of test items: their words as numbers from 1, and their n-grams, sorted.
+
+    Items with n-gram ``g`` are ``holders[starts[g] : starts[g + 1]]``.
+    """
 
     ids: list[int | None]
     words: list[np.ndarray]
     vocabulary: dict[bytes, int]
     grams: np.ndarray
+    starts: np.ndarray
+    holders: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, list[bytes]]]) -> Items:
         vocabulary: dict[bytes, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in item], np.int64) for _, item in rows]
-        grams = np.unique(np.concatenate([np.empty(0, np.int64), *(keyed(w) for w in words)]))
-        return cls([i for i, _ in rows], words, vocabulary, grams)
+        keys = [np.unique(keyed(w)) for w in words]
+        grams, at = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        holders = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        return cls([i for i, _ in rows], words, vocabulary, grams, np.searchsorted(at[order], np.arange(len(grams) + 1)), holders)
 
 
 def keyed(words: np.ndarray) -> np.ndarray:
@@ -100,61 +107,47 @@ def best_span(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def seeds(items: Items, frequency: np.ndarray) -> dict[int, list[int]]:
-    """For each n-gram that is a seed, the items it stands for: the rarest of each stretch, ties by place."""
-    out = defaultdict(set)
-    for k, words in enumerate(items.words):
-        at = np.searchsorted(items.grams, keyed(words))
-        for first in range(0, len(at), STRETCH):
-            stretch = at[first : first + STRETCH]
-            for g in stretch[np.argsort(frequency[stretch], kind="stable")[:RAREST]].tolist():
-                out[g].add(k)
-    return {g: sorted(ks) for g, ks in out.items()}
+def in_common(text: np.ndarray, item: np.ndarray) -> int:
+    """How many words of ``item`` are in ``text``, in any order: no alignment matches more."""
+    words, many = np.unique(item, return_counts=True)
+    text = np.sort(text)
+    return int(np.minimum(many, np.searchsorted(text, words, "right") - np.searchsorted(text, words)).sum())
 
 
-def _block(docs: DataFrame, items: Items, scratch: Scratch, name: str, threshold: float) -> DataFrame:
-    spark = docs.sparkSession
+def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     reach = 2 * max((len(w) for w in items.words), default=0)
-    sent = spark.sparkContext.broadcast((items.ids, items.words, items.vocabulary, items.grams))  # at most BLOCK_WORDS words
-
-    def find():
-        items = Items(*sent.value)
-
-        def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
-            for start, numbers, places, grams in passages(plain_words(text), items, reach):
-                yield doc_id, start, numbers.astype(np.int32).tobytes(), places.tolist(), grams.tolist()
-
-        return rows
-
-    found = scratch.write(arrow_rows(docs, "doc_id long, start long, numbers binary, places array<long>, grams array<int>", find), name)
-    frequency = np.zeros(len(items.grams), np.int64)
-    for r in found.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").count().collect():  # the block's n-grams at most
-        frequency[r["gram"]] = r["count"]
-    chosen = spark.sparkContext.broadcast(seeds(items, frequency))
+    sent = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.vocabulary, items.grams, items.starts, items.holders))  # at most BLOCK_WORDS words
 
     def align():
-        items, seed_of = Items(*sent.value), chosen.value
+        items = Items(*sent.value)
 
-        def rows(doc_id: int | None, start: int, numbers: bytes, places: list[int], grams: list[int]) -> Iterator[tuple]:
-            text, by_item = np.frombuffer(numbers, np.int32).astype(np.int64), defaultdict(list)
-            for place, gram in zip(places, grams, strict=True):
-                for k in seed_of.get(gram, ()):
-                    by_item[k].append(place - start)
+        def found(start: int, text: np.ndarray, places: np.ndarray, grams: np.ndarray) -> Iterator[tuple]:
+            by_item = defaultdict(list)
+            for place, gram in zip((places - start).tolist(), grams.tolist(), strict=True):
+                for k in items.holders[items.starts[gram] : items.starts[gram + 1]].tolist():
+                    by_item[k].append(place)
             for k, at in sorted(by_item.items()):
                 item, last = items.words[k], None
                 n, cut = len(item), np.flatnonzero(np.diff(at) > 2 * len(item)) + 1
+                enough = lambda score, n=n: score / (MATCH * n) >= threshold and score >= MATCH * min(LEAST_WORDS, n)
                 for group in np.split(np.array(at), cut):
                     lo, hi = max(0, int(group[0]) - 2 * n), int(group[-1]) + WIDTH + 2 * n
+                    if not enough(MATCH * in_common(text[lo:hi], item)):
+                        continue
                     score, a, z = best_span(text[lo:hi], item)
-                    share = score / (MATCH * n)
-                    if share >= threshold and score >= MATCH * min(LEAST_WORDS, n) and (last is None or share > last[0]):
-                        last = (share, start + lo + a, start + lo + z)
+                    if enough(score) and (last is None or score / (MATCH * n) > last[0]):
+                        last = (score / (MATCH * n), start + lo + a, start + lo + z)
                 if last:
-                    yield doc_id, items.ids[k], *last
+                    yield items.ids[k], *last
+
+        def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
+            for passage in passages(plain_words(text), items, reach):
+                for row in found(*passage):
+                    yield doc_id, *row
 
         return rows
 
-    return arrow_rows(found, "doc_id long, item_id long, score double, start_word long, end_word long", align)
+    return arrow_rows(docs, "doc_id long, item_id long, score double, start_word long, end_word long", align)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,13 +157,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     empty texts hold nothing; null, empty and shorter items than an n-gram match nothing. Repeated items and documents
     give a row each. Empty tables give an empty result. Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "decontaminate")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     block, size, out = [], 0, []
 
     def flush() -> None:
         nonlocal block, size
-        out.append(_block(slim, Items.of(block), scratch, f"passages-{len(out)}", threshold))
+        out.append(_block(slim, Items.of(block), threshold))
         block, size = [], 0
 
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), as_bytes("text").alias("text")).orderBy("item_id", "text").toLocalIterator():

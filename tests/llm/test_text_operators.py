@@ -90,6 +90,23 @@ def test_contamination(spark, odd, empty):
     assert decontaminate.decontaminated(odd, bench).count() == odd.count()
 
 
+def test_edited_copies(spark):
+    """Copies with dead n-grams in every part of the item, alone in the corpus or beside copies that have them all."""
+    r, items, docs = random.Random(6), [(k, prose(300 + k, 40)) for k in range(24)], []
+    for k, item in items:
+        words = item.split()
+        start = r.randrange(3, 6)
+        for at in range(start, 40, 6 if k % 2 else 5):
+            words[at] = f"edit{at}"
+        docs.append((k, prose(400 + k, 60) + " " + " ".join(words) + " " + prose(500 + k, 60)))
+        if k % 3 == 0:
+            docs += [(1000 + 10 * k + j, prose(600 + j, 9) + " " + item) for j in range(3)]
+    want = {(d, i) for d, t in docs for i, item in items if plain_score(t.split(), item.split()) >= decontaminate.THRESHOLD * 2 * 40}
+    assert {(k, k) for k, _ in items} <= want
+    got = decontaminate.contaminated(spark.createDataFrame(docs, IDS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
     items = [(k, prose(200 + k, 20)) for k in range(4)]
