@@ -42,11 +42,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose ``doc_id`` isn't in the one column of ``ids``; nulls match nulls."""
-    name = unused(docs, "_gone")
-    gone = ids.toDF(name).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[name]), "left_anti")
+def marked(text_col: str) -> Column:
+    """A hash of the text, which with the id tells apart rows that repeat an id or have none."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose ``doc_id`` and text aren't those of ``rows (doc_id, mark)``; null ids match null ids."""
+    name, mark = unused(docs, "_gone"), unused(docs, "_mark")
+    gone = rows.toDF(name, mark).distinct()
+    text = F.xxhash64(docs["text"].cast("string"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[name]) & (text == gone[mark]), "left_anti")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, without_ids
+from .common import arrow_rows, as_bytes, marked, without_rows
 
 #: Words of an n-gram, words of all items of a block.
 WIDTH, BLOCK_WORDS = 3, 500_000
@@ -140,14 +140,14 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 if last:
                     yield items.ids[k], *last
 
-        def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
+        def rows(doc_id: int | None, mark: int, text: bytes | None) -> Iterator[tuple]:
             for passage in passages(plain_words(text), items, reach):
                 for row in found(*passage):
-                    yield doc_id, *row
+                    yield doc_id, mark, *row
 
         return rows
 
-    return arrow_rows(docs, "doc_id long, item_id long, score double, start_word long, end_word long", align)
+    return arrow_rows(docs, "doc_id long, mark long, item_id long, score double, start_word long, end_word long", align)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +157,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     empty texts hold nothing; null, empty and shorter items than an n-gram match nothing. Repeated items and documents
     give a row each. Empty tables give an empty result. Other columns are not read.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
+    return _leaks(docs, benchmark, threshold, id_col, text_col).drop("mark")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``contaminated`` tells, with the ``mark`` of each document's text."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), marked(text_col).alias("mark"), as_bytes(text_col).alias("text"))
     block, size, out = [], 0, []
 
     def flush() -> None:
@@ -182,4 +187,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item."""
-    return without_ids(docs, contaminated(docs, benchmark, threshold=threshold).select("doc_id"))
+    return without_rows(docs, _leaks(docs, benchmark, threshold).select("doc_id", "mark"))

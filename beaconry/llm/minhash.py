@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, window_hashes, without_ids, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, marked, window_hashes, without_rows, words_of
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, and members of a block.
 KEPT, LISTS, NEED, BLOCK = 64, 32, 10, 512
@@ -48,18 +48,18 @@ def fingerprint(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, fp, sketch`` for each row; ``fp`` and ``sketch`` are null without words."""
+    """``doc_id, mark, n_shingles, fp, sketch`` for each row; ``fp`` and ``sketch`` are null without words."""
 
     def make():
         hashes = kept_in_worker("word hashes", WordHashes)
 
-        def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
+        def rows(doc_id: int | None, mark: int, text: bytes | None) -> Iterator[tuple]:
             found = shingle_set(words_of(text.lower() if text else None), width, hashes)
-            yield (doc_id, len(found), fingerprint(found), found[:KEPT].tobytes()) if len(found) else (doc_id, 0, None, None)
+            yield (doc_id, mark, len(found), fingerprint(found), found[:KEPT].tobytes()) if len(found) else (doc_id, mark, 0, None, None)
 
         return rows
 
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")), "doc_id long, n_shingles long, fp binary, sketch binary", make)
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), marked(text_col).alias("mark"), as_bytes(text_col).alias("text")), "doc_id long, mark long, n_shingles long, fp binary, sketch binary", make)
 
 
 def _bit(doc_id: str) -> Column:
@@ -192,11 +192,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     null, and then the rows are kept). Rows that repeat a ``doc_id`` are judged each by its text; those that hold the
     component's least id are all kept. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
+    return _decided(docs, width, percent, id_col, text_col).drop("mark")
+
+
+def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``near_duplicates`` tells, with the ``mark`` of each row's text."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.write(sketches(docs, width, id_col, text_col), "rows")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
-    rows = scratch.write(rows.select("doc_id", "n_shingles", "fp"), "slim")
+    rows = scratch.write(rows.select("doc_id", "mark", "n_shingles", "fp"), "slim")
     scratch.drop("rows")
 
     listed = _lists(classes).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
@@ -211,14 +216,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     least = told.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = scratch.write(told.join(least, "root").select("fp", "component_id"), "known")
     scratch.drop("classes", "roots")
-    out = rows.select("doc_id", "n_shingles", "fp").join(known, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.join(known, "fp", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
-    decided = near_duplicates(docs.select("doc_id", "text"), width=width, percent=percent)
-    return without_ids(docs, decided.where("not kept").select("doc_id"))
+    decided = _decided(docs.select("doc_id", "text"), width, percent)
+    return without_rows(docs, decided.where("not kept").select("doc_id", "mark"))
 
 
 #: DuckDB SQL for near_duplicates with four-word shingles: all pairs that share a shingle, and what links reach.

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from beaconry.llm import cube, decontaminate, rulefit
+from beaconry.llm import cube, decontaminate, minhash, rulefit
 from beaconry.llm.queries import TOKENIZER
 
 from .conftest import prose
@@ -69,3 +69,16 @@ def test_run_against_brute_force(spark, folder):
         ids = np.array(library.encode(texts[i] or "", add_special_tokens=False).ids + [2], "<u4")
         assert (start, n, crc) == (begun, len(ids), zlib.crc32(ids.tobytes()))
         begun += n
+
+
+def test_only_the_rows_concerned_go(spark):
+    """Rows without an id, and rows that repeat one, are judged each by its text."""
+    clean, again, copied, item = prose(1, 60), prose(2, 60), prose(3, 60), prose(4, 30)
+    leak = f"{prose(5, 20)} {item}"
+    docs = [(1, copied), (None, copied), (None, clean), (None, again), (None, None), (7, copied), (7, prose(6, 60)), (8, leak), (8, prose(7, 60)), (None, f"{prose(9, 60)} {item}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicated(df).collect()), key=repr)
+    assert left == sorted((d for k, d in enumerate(docs) if k not in (1, 5)), key=repr)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = sorted(((r["doc_id"], r["text"]) for r in decontaminate.decontaminated(df, bench).collect()), key=repr)
+    assert left == sorted((d for k, d in enumerate(docs) if k not in (7, 9)), key=repr)
