@@ -83,7 +83,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
         return rows
 
     sets = arrow_rows(near, "doc_id long, fp binary, full binary", make)
-    return sets.join(wanted.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi").dropDuplicates(["fp"]).select("fp", "full")
+    of = wanted.select(F.col("fp").alias("_fp"), "rep")
+    return sets.join(of, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["fp"]).select("fp", "full")
 
 
 def _lists(classes: DataFrame) -> DataFrame:

@@ -68,6 +68,18 @@ def test_chains_and_groups(spark, monkeypatch, block):
     assert got(minhash.near_duplicates(df, width=4)) == brute(rows, 4)
 
 
+def test_links_through_rows_without_an_id(spark):
+    """A text that only rows without an id hold links, and chains go through it."""
+    rows, words = [], prose(31, 80).split()
+    for i in (None, 4, None, 9, None):
+        words = [*words[5:], *prose(900 + len(rows), 5).split()]
+        rows.append((i, " ".join(words)))
+    rows.append((None, prose(32, 50)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {c for i, _, c, _ in got(minhash.near_duplicates(df, width=4)) if i} == {4}
+    assert got(minhash.near_duplicates(df, width=4)) == brute(rows, 4)
+
+
 def test_estimates():
     r = np.random.default_rng(0)
     for _ in range(50):
