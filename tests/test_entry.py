@@ -1,3 +1,4 @@
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -18,3 +19,15 @@ def test_every_sql_has_a_query():
 def test_core_does_not_import_the_corpus_operators():
     code = "import sys, beaconry.plans, beaconry.sources, beaconry.models, beaconry.streaming.windows; assert not any(m.startswith('beaconry.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_the_rest_lives_without_the_corpus_operators(tmp_path):
+    """With the folder gone, and the pipeline gone or still there, the entry names the other queries."""
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    shutil.copytree(ROOT / "beaconry", tmp_path / "beaconry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op') or n == 'pipeline' for n in q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
