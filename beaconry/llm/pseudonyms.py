@@ -10,7 +10,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,15 @@ NUMBERS = re.compile(r"""
 | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{4}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d))
 | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
 | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?|\(\d{2,4}\)|(?<!\d)\d{3}[ .-](?=\d{3}[ .-]))[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d-]))
-""", re.VERBOSE)
+""", re.VERBOSE | re.ASCII)
+#: Characters of an IBAN by country, as the public registry lists them.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _digit = re.compile(r"[0-9]").search
 
 
@@ -43,16 +53,22 @@ class Feistel:
 
     def permuted(self, value: int, size: int, tweak: str) -> int:
         half = max(1, -(-max(1, (size - 1).bit_length()) // 2))
-        mask, name = (1 << half) - 1, f"{tweak}/{size}/".encode()
+        mask, name, width = (1 << half) - 1, f"{tweak}/{size}/".encode(), -(-half // 8)
         while True:
             left, right = value >> half, value & mask
             for k in range(ROUNDS):
-                mixed = hashlib.blake2b(name + bytes([k]) + right.to_bytes(16, "big"), key=self.key, digest_size=16).digest()
-                left, right = right, left ^ (int.from_bytes(mixed, "big") & mask)
+                told = name + bytes([k]) + right.to_bytes(width, "big")
+                left, right = right, left ^ (int.from_bytes(self._mixed(told, width), "big") & mask)
             value = left << half | right
             if value < size:
                 return value
 
+    def _mixed(self, told: bytes, width: int) -> bytes:
+        """``width`` bytes, as wide as half of a value may be."""
+        if width <= 64:
+            return hashlib.blake2b(told, key=self.key, digest_size=max(16, width)).digest()
+        return b"".join(hashlib.blake2b(told + at.to_bytes(8, "big"), key=self.key).digest() for at in range(0, width, 64))
+
 
 def luhn(digits: str) -> bool:
     return luhn_digit(digits[:-1]) == int(digits[-1])
@@ -69,6 +85,19 @@ def _laid(shape: str, symbols: str) -> str:
     return "".join(next(new) if c.isalnum() else c for c in shape)
 
 
+@cache
+def _alphabet(block: int, kind: str) -> str:
+    """The characters of one kind in a stretch of 128 code points: ASCII's a to z, the lower-case Greek or Cyrillic ones."""
+    return "".join(c for c in map(chr, range(block << 7, (block + 1) << 7)) if _kind(c) == kind)
+
+
+@cache
+def _kind(c: str) -> str:
+    """The Unicode category of letters and decimal digits; other characters have none and stay as they are."""
+    found = unicodedata.category(c)
+    return found if found in ("Lu", "Ll", "Lo", "Nd") else ""
+
+
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
@@ -133,11 +162,19 @@ class Pseudonyms:
 
     def _iban(self, found: str) -> str | None:
         plain = found.replace(" ", "")
-        if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
+        if not 15 <= len(plain) <= 34 or len(plain) != IBAN_LENGTHS.get(plain[:2], len(plain)) or _mod97(plain) != 1:
             return None
         body = self._classes(plain[4:], f"iban/{plain[:2]}")
         return _laid(found, f"{plain[:2]}{98 - _mod97(plain[:2] + '00' + body):02}{body}")
 
+    def _iban_in(self, found: str) -> tuple[str, str] | None:
+        """The IBAN at the start of ``found``, which may run on into the next words, and its pseudonym."""
+        ends = [m.end() for m in re.finditer(r"[A-Z0-9](?= |$)", found)]
+        for end in reversed(ends):
+            if (new := self.of("iban", found[:end])) is not None:
+                return found[:end], new
+        return None
+
     def _phone(self, found: str) -> str | None:
         digits = re.sub(r"\D", "", found)
         if not 7 <= len(digits) <= 15:
@@ -150,52 +187,60 @@ class Pseudonyms:
         return f"{self._classes(local, f'email/{domain.lower()}')}@{domain}"
 
     def _classes(self, text: str, tweak: str) -> str:
-        """Digits become digits, letters letters of the same case; other characters stay. Letters past z become a to z."""
-        kinds = [("0", 10) if c.isdigit() else ("A", 26) if c.isupper() else ("a", 26) if c.isalpha() else None for c in text]
+        """Each digit and letter becomes one of its kind and stretch of code points; other characters stay."""
+        shape = [(ord(c) >> 7, kind) if (kind := _kind(c)) else None for c in text]
         value, size = 0, 1
-        for c, kind in zip(text, kinds, strict=True):
-            if kind:
-                plain = ord(c) - ord(kind[0])
-                value, size = value * kind[1] + (plain if 0 <= plain < kind[1] else plain % kind[1]), size * kind[1]
-        value, out = self.net.permuted(value, size, f"{tweak}/{''.join(k[0] if k else '.' for k in kinds)}"), []
-        for c, kind in zip(reversed(text), reversed(kinds), strict=True):
-            if kind:
-                value, at = divmod(value, kind[1])
-                c = chr(ord(kind[0]) + at)
+        for c, at in zip(text, shape, strict=True):
+            if at:
+                letters = _alphabet(*at)
+                value, size = value * len(letters) + letters.index(c), size * len(letters)
+        told = "".join(f"{at[0]}{at[1]}" if at else "." for at in shape)
+        value, out = self.net.permuted(value, size, f"{tweak}/{told}"), []
+        for c, at in zip(reversed(text), reversed(shape), strict=True):
+            if at:
+                letters = _alphabet(*at)
+                value, k = divmod(value, len(letters))
+                c = letters[k]
             out.append(c)
         return "".join(reversed(out))
 
     def rewritten(self, text: str) -> tuple[str, dict[str, int]]:
-        counts = dict.fromkeys(KINDS, 0)
-
-        def put(kind: str) -> Callable[[re.Match], str]:
-            def one(m: re.Match) -> str:
-                name = kind or m.lastgroup
-                name = name if name in counts else next(k for k in KINDS if k in m.groupdict() and m[k])
-                if (new := self.of(name, m[0])) is None:
-                    return m[0]
-                counts[name] += 1
-                return new
-
-            return one
-
+        """``text`` with the pseudonyms of all valid values, and how many of each kind."""
+        counts, out, at = dict.fromkeys(KINDS, 0), [], 0
         if "@" in text:
-            pieces, at = [], 0
             for m in EMAIL.finditer(text):
-                pieces += [self._numbers(text[at : m.start()], put("")), put("email")(m)]
+                out += [self._numbers(text[at : m.start()], counts), self.of("email", m[0])]
+                counts["email"] += 1
                 at = m.end()
-            return "".join([*pieces, self._numbers(text[at:], put(""))]), counts
-        return self._numbers(text, put("")), counts
-
-    def _numbers(self, text: str, put: Callable[[re.Match], str]) -> str:
-        return NUMBERS.sub(put, text) if _digit(text) else text
+        return "".join([*out, self._numbers(text[at:], counts)]), counts
+
+    def _numbers(self, text: str, counts: dict[str, int]) -> str:
+        if not _digit(text):
+            return text
+        out, done, at = [], 0, 0
+        while m := NUMBERS.search(text, at):
+            kind, found = next(k for k in KINDS[1:] if m[k]), m[0]
+            if kind == "iban":
+                found, new = self._iban_in(found) or (found, None)
+            else:
+                new = self.of(kind, found)
+            if new is None:
+                at = m.start() + 2 if kind == "iban" else m.end()
+                continue
+            counts[kind] += 1
+            at = m.start() + len(found)
+            out += [text[done : m.start()], new]
+            done = at
+        return "".join([*out, text[done:]])
 
 
 def pseudonymised(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_replaced`` and ``n_<kind>`` for each row of ``docs``; a text without valid values is unchanged.
 
     A null text stays null and holds nothing. Values that fail their validation (Luhn digit, calendar, octets, mod 97)
-    stay. Repeated rows give equal rows. An empty table gives an empty result. Other columns are not read.
+    stay; so do digits of other scripts outside e-mail names, and e-mail names beyond 64 characters, which aren't valid.
+    Where two kinds fit at one place the first of KINDS' patterns decides. Texts of any length are read whole. Repeated
+    rows give equal rows. An empty table gives an empty result. Other columns are not read.
     """
 
     def make():
