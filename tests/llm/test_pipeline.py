@@ -6,10 +6,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from beaconry.llm import cube, decontaminate, minhash, rulefit
+from beaconry.llm import decontaminate, minhash, rulefit
 from beaconry.llm.queries import TOKENIZER
 
 from .conftest import prose
+from .test_cube import filled
 from .test_minhash import brute
 from .test_text_operators import plain_score
 
@@ -61,7 +62,7 @@ def test_run_against_brute_force(spark, folder):
     per = Counter()
     for i in texts:
         per[source[i]] += size[i]
-    for s, target in cube.water_filled(dict(per)).items():
+    for s, target in filled(dict(per)).items():
         assert sum(copies[i] * size[i] for i in texts if source[i] == s) == pytest.approx(target, rel=0.05)
     library, begun = Tokenizer.from_file(TOKENIZER), 0
     assert [g[1] for g in got] == sorted(g[1] for g in got)
