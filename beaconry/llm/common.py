@@ -34,6 +34,11 @@ def as_bytes(column: str) -> Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with underscores in front, so that no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -56,9 +61,11 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can reach; a temporary one is set only where the session names none."""
+    """The folder that every executor can reach; a temporary one is set only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='beaconry-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -159,21 +166,36 @@ def arrow_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iter
     return df.mapInArrow(run, schema)
 
 
+#: A join broadcasts the keys that hold more than 1 / HOT of all rows each: fewer than HOT keys, whatever the data.
+HOT = 4096
+
+
+def joined_by_key(rows: DataFrame, told: DataFrame, key: str, many: str, total: int) -> DataFrame:
+    """``rows`` joined with ``told``, which has one row for each key and in ``many`` how many of at most ``total`` rows hold it.
+
+    Rows of a hot key stay where they are and meet a broadcast row; the others are dealt by key, so none fills a task.
+    """
+    limit = F.lit(total / HOT)
+    hot, cold = F.broadcast(told.where(F.col(many) > limit).drop(many)), told.where(F.col(many) <= limit).drop(many)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of ``edges``: one row ``(node, root)`` for each node with an edge; the root is the least node.
 
-    Alternating large-star and small-star steps: each is an aggregate and an equi-join over the edges, so a node with
-    very many edges is only one more key for a skewed join. Each round is written to the shared folder.
+    Alternating large-star and small-star steps: each is an aggregate and a join over the edges. The hub of a large
+    component is a hot key, whose least neighbour is broadcast. Each round is written to the shared folder.
     """
     flat = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     now = scratch.write(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     step, before = 0, None
     while True:
+        total = 2 * (now.count() if before is None else before[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(small, "u").select(F.col("u"), F.col("v"), "m")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = joined_by_key(both, least, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = joined_by_key(large, small, "u", "n", total)
         after = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         step += 1
         after = scratch.write(after, f"{name}-{step}")

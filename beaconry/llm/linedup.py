@@ -6,7 +6,9 @@ documents gives m - 1 pairs, not m * m, and every passage is aligned with docume
 aligns the pair, and aligned blocks of at least LEAST_WORDS words go from the later document; so do shared stretches that
 the alignment leaves, such as moved ones.
 
-Only hashes of lines travel; texts meet their deletions once, at the end.
+Only hashes of lines travel; texts meet their deletions once, at the end. A stretch that very many documents hold is a hot
+key whose owner is broadcast. The followers of an owner are dealt into groups of bounded size, and each group gets the
+owner's lines once; of a follower it gets the lines between the first and the last stretch that points to the owner.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, as_bytes
+from .common import Scratch, arrow_rows, as_bytes, joined_by_key, let
 
 #: Words of a block of aligned lines that make it a repeated passage.
 LEAST_WORDS = 8
+#: Lines of all followers in a group that meets an owner.
+GROUP_LINES = 200_000
 
 
 def hashed_lines(text: bytes | None) -> Iterator[tuple[int, bytes, int]]:
@@ -38,7 +43,7 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     for k, (_, j) in enumerate(pairs):
         at = bisect_left(tops, j)
         before.append(top_of[at - 1] if at else -1)
-        tops[at:], top_of[at:] = [j, *tops[at + 1 :]], [k, *top_of[at + 1 :]]
+        tops[at : at + 1], top_of[at : at + 1] = [j], [k]
     out, k = [], top_of[-1] if top_of else -1
     while k >= 0:
         out.append(pairs[k])
@@ -119,10 +124,10 @@ def common_places(early: list[bytes], late: list[bytes], words: list[int], least
 
 
 def repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, mark, places``: for each document that loses lines, their places; ``mark`` is the text's hash.
+    """``doc_id, mark, places``: for each document that loses lines, their sorted places; ``mark`` is the text's hash.
 
     A document is a row's id and text: equal rows are one document, rows that share an id but not the text are several.
-    They are ordered by id, null last, then by ``mark``.
+    They are ordered by id, null last, then by ``mark``. Lines are found in the whole text, however long.
     """
     scratch = Scratch(docs.sparkSession, "lines")
 
@@ -130,44 +135,66 @@ def repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "
         def rows(doc_id: int | None, mark: int, text: bytes | None) -> Iterator[tuple]:
             if found := list(hashed_lines(text)):
                 places, lines, words = map(list, zip(*found, strict=True))
-                held = {xxhash.xxh3_128_digest(b"".join(lines[i:j])) for i, j in stretches(words, least)}
-                yield doc_id, mark, places, lines, words, list(held)
+                held: dict[bytes, tuple[int, int]] = {}
+                for i, j in stretches(words, least):
+                    name = xxhash.xxh3_128_digest(b"".join(lines[i:j]))
+                    first, end = held.get(name, (i, j))
+                    held[name] = min(i, first), max(j, end)
+                yield doc_id, mark, places, lines, words, [(name, i, j) for name, (i, j) in held.items()]
 
         return rows
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), as_bytes(text_col).alias("text"))
-    lined = arrow_rows(slim, "doc_id long, mark long, places array<long>, lines array<binary>, words array<long>, stretches array<binary>", make)
+    lined = arrow_rows(slim, "doc_id long, mark long, places array<long>, lines array<binary>, words array<long>, stretches array<struct<stretch: binary, i: int, j: int>>", make)
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     lined = scratch.write(lined.withColumn("doc", key).drop("doc_id", "mark"), "lines")
 
-    long = lined.select("doc", F.explode("stretches").alias("stretch"))
-    shared = long.groupBy("stretch").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1").drop("df")
-    pairs = long.join(shared, "stretch").where(F.col("doc") > F.col("owner")).select("doc", "owner").distinct()
+    long = lined.select("doc", F.inline("stretches"))
+    shared = scratch.write(long.groupBy("stretch").agg(F.min("doc").alias("owner"), F.count("*").alias("df")).where("df > 1"), "shared")
+    total = lined.agg(F.sum(F.size("stretches"))).first()[0] or 0
+    met = joined_by_key(long, shared, "stretch", "df", total).where(F.col("doc") > F.col("owner"))
+    pairs = scratch.write(met.groupBy("doc", "owner").agg(F.min("i").alias("i"), F.max("j").alias("j")), "pairs")
+    owners = scratch.write(pairs.groupBy("owner").agg(F.count("*").alias("many"), F.expr(f"(sum(j - i) + {GROUP_LINES - 1}) div {GROUP_LINES}").alias("groups")), "owners")
+    dealt = joined_by_key(pairs, owners, "owner", "many", pairs.count())
 
-    late = lined.select("doc", F.col("places"), F.col("lines").alias("late"), "words")
-    early = lined.groupBy("doc").agg(F.first("lines").alias("early")).select(F.col("doc").alias("owner"), "early")
-    met = pairs.join(late.dropDuplicates(["doc"]), "doc").join(early, "owner").select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.mark").alias("mark"), "places", "late", "words", "early")
+    one = lined.dropDuplicates(["doc"])
+    cut = lambda c: F.slice(c, F.col("i") + 1, F.col("j") - F.col("i")).alias(c)
+    part = F.pmod(F.xxhash64("doc"), F.col("groups")).alias("part")
+    late = dealt.join(one.select("doc", "places", "lines", "words"), "doc").select("owner", part, F.col("doc.doc_id").alias("doc_id"), F.col("doc.mark").alias("mark"), *map(cut, ("places", "lines", "words")))
+    early = owners.join(one.select(F.col("doc").alias("owner"), F.col("lines").alias("early")), "owner").select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), "early")
 
-    def align():
-        def rows(doc_id: int | None, mark: int, places: list[int], late: list[bytes], words: list[int], early: list[bytes]) -> Iterator[tuple]:
-            if found := common_places(early, late, words, least):
-                yield doc_id, mark, [places[k] for k in found]
+    def align(early: pa.Table, late: pa.Table) -> pa.Table:
+        out, lines = [], early["early"][0].as_py() if early.num_rows else []
+        for doc_id, mark, places, own, words in zip(*(late[c].to_pylist() for c in ("doc_id", "mark", "places", "lines", "words")), strict=True):
+            if found := common_places(lines, own, words, least):
+                out.append((doc_id, mark, [places[k] for k in found]))
+        kinds = (("doc_id", pa.int64()), ("mark", pa.int64()), ("places", pa.list_(pa.int64())))
+        return pa.table({name: pa.array([row[k] for row in out], kind) for k, (name, kind) in enumerate(kinds)})
 
-        return rows
+    gone = early.groupBy("owner", "part").cogroup(late.groupBy("owner", "part")).applyInArrow(align, "doc_id long, mark long, places array<long>")
+    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+
+
+def _without(lines: Column, places: Column) -> Column:
+    """``lines`` without those at sorted ``places``, as the stretches between them."""
+
+    def rest(held: Column) -> Column:
+        first = lambda k: F.when(k == 0, 0).otherwise(F.get(places, k - 1).cast("int") + 1)
+        end = lambda k: F.coalesce(F.get(places, k).cast("int"), F.size(held))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), lambda k: F.slice(held, first(k) + 1, end(k) - first(k))))
 
-    gone = arrow_rows(met, "doc_id long, mark long, places array<long>", align)
-    return gone.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    return let(lines, rest)
 
 
 def without_repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_deleted`` for each row of ``docs``: its text without passages of earlier documents.
 
-    Null texts stay null, empty ones empty, and both lose nothing; equal rows lose the same lines. A text of which every
-    line goes becomes empty. An empty table gives an empty result. Other columns are not read.
+    Null texts stay null, empty ones empty, and both lose nothing; equal rows lose the same lines, and none to each other.
+    Of several earlier documents with a passage the least id counts. A text of which every line goes becomes empty. An
+    empty table gives an empty result. Other columns are not read.
     """
     gone = repeated_lines(docs, least=least, id_col=id_col, text_col=text_col).withColumnRenamed("doc_id", "_id")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("_mark", F.xxhash64("text"))
     both = slim.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("mark")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("places"), i.cast("long")))
-    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(_without(F.split("text", "\n", -1), F.col("places")), "\n"))
     return both.select("doc_id", text.alias("text"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_deleted"))

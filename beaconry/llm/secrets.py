@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -34,11 +36,6 @@ ALLOWED = (
 )
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _before(lengths: Column, chunk: int = 256) -> Column:
     """Sums of all earlier elements, for each element."""
     zero = F.lit(0)
@@ -48,9 +45,9 @@ def _before(lengths: Column, chunk: int = 256) -> Column:
         part = lambda k: F.slice(x, k * chunk + 1, F.lit(chunk))
         chunks = F.sequence(zero, F.floor((F.size(x) - 1) / chunk).cast("int"))
         bases = F.aggregate(F.transform(chunks, lambda k: F.aggregate(part(k), zero, lambda a, v: a + v)), F.array(zero), push)
-        return _let(bases, lambda b: F.flatten(F.transform(chunks, lambda k: F.slice(F.aggregate(part(k), F.array(F.get(b, k)), push), F.lit(1), F.size(part(k))))))
+        return let(bases, lambda b: F.flatten(F.transform(chunks, lambda k: F.slice(F.aggregate(part(k), F.array(F.get(b, k)), push), F.lit(1), F.size(part(k))))))
 
-    return _let(lengths, sums)
+    return let(lengths, sums)
 
 
 def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -60,12 +57,12 @@ def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
     def placed(m: Column) -> Column:
         def at(g: Column) -> Column:
             lengths = F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x))
-            spans = lambda v: _let(_before(lengths), lambda b: F.transform(m, lambda x, i: F.struct((F.get(b, i) + F.length(F.get(g, i))).alias("start"), (F.get(b, i) + F.length(F.get(g, i)) + F.length(x)).alias("end"), F.get(v, i).alias("value"))))
-            return spans(m) if group is None else _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), spans)
+            spans = lambda v: let(_before(lengths), lambda b: F.transform(m, lambda x, i: F.struct((F.get(b, i) + F.length(F.get(g, i))).alias("start"), (F.get(b, i) + F.length(F.get(g, i)) + F.length(x)).alias("end"), F.get(v, i).alias("value"))))
+            return spans(m) if group is None else let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), spans)
 
-        return _let(gaps, at)
+        return let(gaps, at)
 
-    return _let(found, placed)
+    return let(found, placed)
 
 
 def entropy_peak(value: Column, window: int = WINDOW) -> Column:
@@ -87,7 +84,7 @@ def entropy_peak(value: Column, window: int = WINDOW) -> Column:
         return moved
 
     codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
-    return _let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), start, step(c), lambda s: s["best"]))
+    return let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), start, step(c), lambda s: s["best"]))
 
 
 def _suspicious(value: Column) -> Column:
