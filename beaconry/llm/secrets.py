@@ -2,16 +2,18 @@
 
 Three patterns give base spans: assignments to telling names, access keys, long hex strings. Beside them, any long string
 of key characters is a candidate, if a base span doesn't overlap it and no allow-list entry explains it. A window slides
-over a candidate; the window's counts of characters, and with them the sum of c * log2(c), change only by the character
-that enters and the one that leaves. The highest Shannon entropy of any window is held against the limit of the
-candidate's character class.
+over a candidate; the window's sum of c * log2(c) over its counts of characters changes only by the character that enters
+and the one that leaves. The highest Shannon entropy of any window is held against the limit of the candidate's character
+class.
 
 Positions count code points, ends exclusive. Matches and the stretches between them have known lengths, so positions are
-running sums of lengths, taken in two levels: a text may hold very many matches.
+running sums of lengths; what overlaps is found in one pass over the spans in order. Running values are taken in two
+levels, so work grows with the length of a text and the number of its matches, however many, and never with their square.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,26 +30,33 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: Characters of the sliding window, and per class a pattern for the whole candidate and the least entropy in bits.
 WINDOW = 20
-CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 2.8), ("alnum", r"^(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.7), ("base64", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+={0,2}$", 3.7))
-#: What a candidate may be without being a secret: no digit, digits only, an identifier of words, a UUID, a counting run.
+CLASSES = (
+    ("hex", r"^[0-9A-Fa-f]+$", 2.8), ("alnum", r"^(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.7), ("base64", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+={0,2}$", 3.7),
+    ("parts", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]+={0,2}$", 3.7),
+)
+#: What a candidate may be without being a secret: no digit, digits only, an identifier of words, a path of words and
+#: numbers, a UUID, a counting run.
 ALLOWED = (
-    r"^[^0-9]*$", r"^[0-9_/+-]+=*$", r"^(?:[A-Za-z]+[_/+-]+)+[A-Za-z]*[0-9]{0,4}$",
+    r"^[^0-9]*$", r"^[0-9_/+-]+=*$", r"^(?:[A-Za-z]+[_/+-]+)+[A-Za-z]*[0-9]{0,4}$", r"^(?:(?:[a-z]+|[0-9]+)[_/+-]+)+[a-z0-9]{0,8}$",
     r"^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"0123456789|abcdefghij|ABCDEFGHIJ",
 )
 
 
-def _before(lengths: Column, chunk: int = 256) -> Column:
-    """Sums of all earlier elements, for each element."""
-    zero = F.lit(0)
-    push = lambda a, v: F.array_append(a, F.element_at(a, -1) + v)
+def _before(values: Column, zero: Column, joined: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """For each element, ``joined`` over all earlier ones, from ``zero``."""
+    push = lambda a, v: F.array_append(a, joined(F.element_at(a, -1), v))
 
-    def sums(x: Column) -> Column:
+    def running(x: Column) -> Column:
         part = lambda k: F.slice(x, k * chunk + 1, F.lit(chunk))
-        chunks = F.sequence(zero, F.floor((F.size(x) - 1) / chunk).cast("int"))
-        bases = F.aggregate(F.transform(chunks, lambda k: F.aggregate(part(k), zero, lambda a, v: a + v)), F.array(zero), push)
+        chunks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int"))
+        bases = F.aggregate(F.transform(chunks, lambda k: F.aggregate(part(k), zero, joined)), F.array(zero), push)
         return let(bases, lambda b: F.flatten(F.transform(chunks, lambda k: F.slice(F.aggregate(part(k), F.array(F.get(b, k)), push), F.lit(1), F.size(part(k))))))
 
-    return let(lengths, sums)
+    return let(values, running)
+
+
+def _sums(lengths: Column) -> Column:
+    return _before(lengths, F.lit(0), lambda a, v: a + v)
 
 
 def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -57,7 +66,7 @@ def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
     def placed(m: Column) -> Column:
         def at(g: Column) -> Column:
             lengths = F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x))
-            spans = lambda v: let(_before(lengths), lambda b: F.transform(m, lambda x, i: F.struct((F.get(b, i) + F.length(F.get(g, i))).alias("start"), (F.get(b, i) + F.length(F.get(g, i)) + F.length(x)).alias("end"), F.get(v, i).alias("value"))))
+            spans = lambda v: let(_sums(lengths), lambda b: F.transform(m, lambda x, i: F.struct((F.get(b, i) + F.length(F.get(g, i))).alias("start"), (F.get(b, i) + F.length(F.get(g, i)) + F.length(x)).alias("end"), F.get(v, i).alias("value"))))
             return spans(m) if group is None else let(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), spans)
 
         return let(gaps, at)
@@ -66,37 +75,66 @@ def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
 
 
 def entropy_peak(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of ``window`` successive ASCII characters; 0 for shorter values."""
-    clog = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("count"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    """The highest Shannon entropy, in bits, of ``window`` successive ASCII characters; 0 for shorter values.
+
+    A character that enters a window with c like it adds (c + 1) * log2(c + 1) - c * log2(c) to the sum, and one that
+    leaves takes the same away for the count that it leaves behind. Counts are taken inside the window alone.
+    """
+    gain = F.array(*(F.lit((c + 1) * math.log2(c + 1) - c * math.log2(c) if c else 0.0) for c in range(window)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def steps(codes: Column) -> Column:
+        near = lambda first, n, x: F.size(F.filter(F.slice(codes, first + 1, n), lambda c: c == x))
+
+        def step(x: Column, i: Column) -> Column:
+            first, out = F.greatest(i - window + 1, F.lit(0)), F.get(codes, F.greatest(i - window, F.lit(0)))
+            left = F.when(i >= window, F.get(gain, near(first, F.lit(window - 1), out))).otherwise(0.0)
+            return F.struct((F.get(gain, near(first, i - first, x)) - left).alias("by"), (i >= window - 1).alias("full"))
+
+        return F.transform(codes, step)
 
-    def step(codes: Column) -> Callable[[Column, Column], Column]:
-        def moved(state: Column, i: Column) -> Column:
-            enters = F.get(codes, i)
-            leaves = F.when(i >= window, F.get(codes, F.greatest(i - window, F.lit(0)))).otherwise(F.lit(-1))
-            less = F.when(leaves >= 0, F.get(state["count"], F.greatest(leaves, F.lit(0)))).otherwise(F.lit(0))
-            more = F.get(state["count"], enters) - F.when(enters == leaves, 1).otherwise(0)
-            total = state["sum"] - clog(less) + clog(less - 1) - clog(more) + clog(more + 1)
-            count = F.transform(state["count"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int"))
-            bits = F.when(i >= window - 1, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(0.0))
-            return F.struct(count.alias("count"), total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
+    def moved(state: Column, step: Column) -> Column:
+        total = state["sum"] + step["by"]
+        bits = F.when(step["full"], F.lit(math.log2(window)) - total / window).otherwise(0.0)
+        return F.struct(total.alias("sum"), F.greatest(state["best"], bits).alias("best"))
 
-        return moved
+    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
+    return let(codes, lambda c: F.aggregate(steps(c), start, moved, lambda s: s["best"]))
 
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substring(value, i, F.lit(1))))
-    return let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), start, step(c), lambda s: s["best"]))
+
+def _iterative(pattern: str) -> str:
+    """``pattern`` for the JVM, whose repeated groups take a stack frame a turn unless they are possessive.
+
+    No turn of these groups can end elsewhere than where it does, so nothing else changes.
+    """
+    return pattern.replace("]+)", "]++)").replace("]+|", "]++|").replace(")+", ")++")
 
 
 def _suspicious(value: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | F.regexp_like(value, F.lit(pattern))
+        allowed = allowed | F.regexp_like(value, F.lit(_iterative(pattern)))
     limit = F.lit(99.0)
     for _, pattern, bits in reversed(CLASSES):
         limit = F.when(F.regexp_like(value, F.lit(pattern)), F.lit(bits)).otherwise(limit)
     return F.when(allowed, F.lit(False)).otherwise(F.when(limit < 9, entropy_peak(value) >= limit).otherwise(F.lit(False)))
 
 
+def _apart(spans: Column, taken: Column) -> Column:
+    """The ``spans`` that overlap none of ``taken``: none that starts before them ends in them, the next starts behind them."""
+    fields = lambda s, own: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["value"].alias("value"))
+    far = F.lit((1 << 31) - 1)
+
+    def kept(every: Column) -> Column:
+        ends = _before(F.transform(every, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(0)), F.lit(0), lambda a, v: F.greatest(a, v))
+        starts = F.reverse(_before(F.reverse(F.transform(every, lambda s: F.when(s["own"] == 0, s["start"]).otherwise(far))), far, lambda a, v: F.least(a, v)))
+        pick = lambda e, n: F.filter(every, lambda s, i: (s["own"] == 1) & (F.get(e, i) <= s["start"]) & (F.get(n, i) >= s["end"]))
+        return let(ends, lambda e: let(starts, lambda n: pick(e, n)))
+
+    both = F.array_sort(F.concat(F.transform(taken, lambda s: fields(s, 0)), F.transform(spans, lambda s: fields(s, 1))))
+    return F.transform(let(both, kept), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
 _NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
 
@@ -113,8 +151,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.when(F.regexp_like(t, F.lit(HEX)), _matches(t, HEX)).otherwise(none).alias("hex"),
     )
     taken = F.concat("assign", "access", "hex")
-    free = lambda m: ~F.exists(taken, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    more = F.filter(_matches(F.col("long"), CANDIDATE), lambda m: F.when(_suspicious(m["value"]), free(m)).otherwise(F.lit(False)))
+    more = let(F.filter(_matches(F.col("long"), CANDIDATE), lambda m: _suspicious(m["value"])), lambda found: F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(_apart(found, taken)))
     return base.withColumn("entropy", F.when(F.col("long").isNotNull(), more).otherwise(none)).drop("long")
 
 
@@ -131,8 +168,9 @@ def _told(kinds: tuple[str, ...]) -> Column:
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans`` for each row of ``docs``.
 
-    A null text counts as empty: no spans, and the checksum of the empty string. Repeated rows give repeated rows, an
-    empty table an empty result. Other columns are not read.
+    A null text counts as empty: no spans, and the checksum of the empty string. Texts, candidates and numbers of matches
+    may be of any size. Spans that start alike are told by kind, then by end. Repeated rows give repeated rows, an empty
+    table an empty result. Other columns are not read.
     """
     found = _found(docs, id_col, text_col)
     counts = (F.size(k).cast("long").alias(f"n_{k}") for k in KINDS)

@@ -68,8 +68,39 @@ def test_added_spans(spark):
     assert got[8] == 1 and got[9] == 0 and got[10] == 40 and got[7] == 0
 
 
+def mixed_texts():
+    r = random.Random(7)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(r.choice(letters) for _ in range(n))
+    made = [
+        lambda: f"token={key(24)}", lambda: key(30), lambda: "AKIA" + key(18).upper(), lambda: f"{key(9)}AKIA{key(20).upper()}", lambda: key(40).lower(),
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(30)), lambda: f"secret: {key(3)}/{key(25)}", lambda: f"key-{key(30).lower()}", lambda: "some/path/2024/of-words-and-12-numbers",
+        lambda: " ", lambda: "é", lambda: "=", lambda: "-",
+    ]
+    return ["".join(r.choice(made)() + r.choice(("", " ")) for _ in range(r.randrange(1, 14))) for _ in range(150)]
+
+
+def test_long_texts(spark):
+    """A candidate of a million characters, words of that length, and very many matches of both sorts in one text."""
+    r = random.Random(3)
+    blob = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(300_000))
+    many = "".join(f"{blob[24 * k : 24 * k + 24]} token=abcdef{k} " for k in range(12_000))
+    texts = [blob, "ab-" * 100_000 + "1", "ab-12-" * 60_000 + "x1y2x1y2z", many]
+    got = {x["doc_id"]: x for x in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k]["n_entropy"] for k in range(3)] == [1, 0, 0]
+    assert got[3]["n_assign"] == 12_000 and got[3]["n_entropy"] > 11_000
+    assert [x for x in got[3]["spans"].split(",") if x.startswith("assign")] == base(many)
+
+
+def test_parts_of_one_case(spark):
+    texts = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "articles/2024/05/a-title-of-words-and-7", "ABCD-1934-EFGH-5678-IJKL-90MN"]
+    got = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["n_entropy"] for x in got] == [1, 0, 1]
+
+
 def test_sql_agrees(spark, odd, empty):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    texts = TEXTS + mixed_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     with duckdb.connect() as con:
         con.register("documents", df.toPandas())
         want = sorted(con.execute(f"SELECT doc_id, n_entropy, base_sha256, spans FROM ({secrets.ORACLE})").fetchall())
