@@ -26,8 +26,8 @@ from .common import Scratch, arrow_rows, as_bytes, joined_by_key, let
 
 #: Words of a block of aligned lines that make it a repeated passage.
 LEAST_WORDS = 8
-#: Lines of all followers in a group that meets an owner.
-GROUP_LINES = 200_000
+#: Followers, and lines of all of them, in a group that meets an owner.
+GROUP, GROUP_LINES = 500, 50_000
 
 
 def hashed_lines(text: bytes | None) -> Iterator[tuple[int, bytes, int]]:
@@ -154,7 +154,7 @@ def repeated_lines(docs: DataFrame, *, least: int = LEAST_WORDS, id_col: str = "
     total = lined.agg(F.sum(F.size("stretches"))).first()[0] or 0
     met = joined_by_key(long, shared, "stretch", "df", total).where(F.col("doc") > F.col("owner"))
     pairs = scratch.write(met.groupBy("doc", "owner").agg(F.min("i").alias("i"), F.max("j").alias("j")), "pairs")
-    owners = scratch.write(pairs.groupBy("owner").agg(F.count("*").alias("many"), F.expr(f"(sum(j - i) + {GROUP_LINES - 1}) div {GROUP_LINES}").alias("groups")), "owners")
+    owners = scratch.write(pairs.groupBy("owner").agg(F.count("*").alias("many"), F.expr(f"greatest((count(*) + {GROUP - 1}) div {GROUP}, (sum(j - i) + {GROUP_LINES - 1}) div {GROUP_LINES})").alias("groups")), "owners")
     dealt = joined_by_key(pairs, owners, "owner", "many", pairs.count())
 
     one = lined.dropDuplicates(["doc"])
