@@ -176,7 +176,7 @@ def joined_by_key(rows: DataFrame, told: DataFrame, key: str, many: str, total:
     Rows of a hot key stay where they are and meet a broadcast row; the others are dealt by key, so none fills a task.
     """
     limit = F.lit(total / HOT)
-    hot, cold = F.broadcast(told.where(F.col(many) > limit).drop(many)), told.where(F.col(many) <= limit).drop(many)
+    hot, cold = F.broadcast(told.where(F.col(many) > limit)), told.where(F.col(many) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 

@@ -2,15 +2,22 @@
 
 1. Each text becomes the set of its word shingles, hashed once; the k least hashes are its sketch. Texts with equal sets
    form a class, so copies never meet as pairs.
-2. Inverted lists of retained values generate overlaps. A pair at the threshold shares far more than NEED of the LISTS
-   least values, so each class enters only the lists of all but its NEED - 1 most frequent values.
+2. Inverted lists of retained values generate overlaps. A pair at the threshold shares at least NEED of the LISTS least
+   values, so each class enters only the lists of all but its NEED - 1 most frequent values.
 3. Inside a list, the k least values of two sketches' union estimate the Jaccard similarity. Pairs that may reach the
-   threshold connect; only which members hang together leaves the task. These loose clusters contain every link.
+   threshold connect; these loose clusters contain every link.
 4. The full sets of a loose cluster's members decide, and links become connected components.
 
-Lists and clusters are dealt into blocks, and each two blocks are one task's group: no task holds a whole list, no pairs
-are written, and what leaves a task grows with its members. A link at similarity 0.8 is missed only if fewer than NEED of
-32 retained values are shared (below 1e-9) or the estimate is SLACK too low (five standard deviations).
+A group, list or cluster, of more than a block meets one block of pivots first: each other block is compared with the pivots
+alone, so that costs as much as the group has members. Where all members then hang together, which near copies of one text
+do, nothing is left to tell. Else the members outside the group's largest part are dealt into blocks, which meet each other
+and the blocks of that part. At first a class enters only the list of its most frequent value among those it may enter; the
+other lists are opened only where their members don't hang together yet. Blocks are bounded in members and in bytes, no
+pairs are written, and what leaves a task grows with its members.
+
+Two sets of similarity 0.8 share fewer than 16 of 32 least values with probability 1.3e-8, and are estimated below 0.55 of
+64 values with 4.2e-6 (binomial tails): that is the chance to miss a link at the threshold, and it falls fast above it. With
+``exact=True`` sets are kept whole, lists follow from the sets' sizes, full sets decide at once, and no link is missed.
 """
 
 from __future__ import annotations
@@ -24,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, marked, window_hashes, without_rows, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, joined_by_key, kept_in_worker, marked, window_hashes, without_rows, words_of
 
-#: Values of a sketch, values that open inverted lists, list values that a pair must share, and members of a block.
-KEPT, LISTS, NEED, BLOCK = 64, 32, 10, 512
+#: Values of a sketch, values that open inverted lists, list values that a pair must share, members and bytes of a block.
+KEPT, LISTS, NEED, BLOCK, BLOCK_BYTES = 64, 32, 16, 512, 16 << 20
 #: Columns of an incidence matrix at a time.
 COLUMNS = 4096
 #: Larger than any hash.
@@ -47,7 +54,7 @@ def fingerprint(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", kept: int | None = KEPT) -> DataFrame:
     """``doc_id, mark, n_shingles, fp, sketch`` for each row; ``fp`` and ``sketch`` are null without words."""
 
     def make():
@@ -55,7 +62,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
         def rows(doc_id: int | None, mark: int, text: bytes | None) -> Iterator[tuple]:
             found = shingle_set(words_of(text.lower() if text else None), width, hashes)
-            yield (doc_id, mark, len(found), fingerprint(found), found[:KEPT].tobytes()) if len(found) else (doc_id, mark, 0, None, None)
+            yield (doc_id, mark, len(found), fingerprint(found), found[:kept].tobytes()) if len(found) else (doc_id, mark, 0, None, None)
 
         return rows
 
@@ -87,16 +94,19 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
     return sets.join(of, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["fp"]).select("fp", "full")
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """``value, fp`` for each inverted list that a class enters and that has another class."""
-    held = F.least(F.expr("length(sketch) div 8"), F.lit(LISTS)).cast("int")
-    at = F.explode(F.sequence(F.lit(0), held - 1))
-    long = classes.select("fp", held.alias("s"), F.expr("sketch").alias("sketch"), at.alias("at")).select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
-    often = long.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+def _lists(classes: DataFrame, scratch: Scratch, percent: int, exact: bool) -> DataFrame:
+    """``value, fp, first`` for each inverted list that a class enters and that has another class; ``first`` marks its most frequent one."""
+    held = F.expr("length(sketch) div 8") if exact else F.least(F.expr("length(sketch) div 8"), F.lit(LISTS))
+    long = classes.select("fp", held.cast("int").alias("s"), "sketch").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    long = long.select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
+    often = scratch.write(long.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    total = classes.agg(F.sum(held)).first()[0] or 0
     w = W.partitionBy("fp").orderBy(F.desc("df"), "value")
-    need = F.expr(f"s * {NEED} div {LISTS}")
-    kept = long.join(often, "value").withColumn("hot", F.row_number().over(w)).where(F.col("hot") > F.greatest(need, F.lit(1)) - 1)
-    return kept.select("value", "fp")
+    need = F.greatest(F.expr(f"(s * {percent} + 99) div 100" if exact else f"s * {NEED} div {LISTS}"), F.lit(1))
+    kept = joined_by_key(long, often, "value", "df", total).withColumn("hot", F.row_number().over(w)).where(F.col("hot") >= need)
+    out = scratch.write(kept.select("value", "fp", (F.col("hot") == need).alias("first")), "lists")
+    scratch.drop("often")
+    return out
 
 
 def _labels(near: np.ndarray) -> np.ndarray:
@@ -164,63 +174,116 @@ def _maybe_close(values: list[np.ndarray], percent: int) -> np.ndarray:
     return sure
 
 
-def _hang_together(groups: DataFrame, test, percent: int) -> DataFrame:
-    """``a, b``: for groups of ``(key, fp, payload)``, edges that connect what pairs passing ``test`` connect, and no more."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("nb"))
-    dealt = groups.join(sizes, "key").withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    met = met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "payload")
+def _told(met: DataFrame, payloads: DataFrame, test, percent: int) -> DataFrame:
+    """``a, b``: edges that connect what pairs passing ``test`` connect in each group of ``met (key, i, j, fp)``, and no more."""
 
     def run(t: pa.Table) -> pa.Table:
-        fps, mine = t["fp"].to_pylist(), np.asarray(t["mine"])
+        fps = t["fp"].to_pylist()
         near = test([np.frombuffer(x.as_buffer(), np.int64) for x in t["payload"]], percent)
-        np.fill_diagonal(near, False)
-        whole, told = _labels(near), np.arange(len(fps))
-        if t["i"][0].as_py() != t["j"][0].as_py():
-            told = _labels(near & (mine[:, None] == mine[None, :]))  # another group tells these
-        ends = np.flatnonzero((told == np.arange(len(fps))) & (whole != told))
+        whole = _labels(near)
+        ends = np.flatnonzero(whole != np.arange(len(fps)))
         return pa.table({"a": pa.array([fps[k] for k in ends], pa.binary()), "b": pa.array([fps[whole[k]] for k in ends], pa.binary())})
 
-    return met.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    return met.join(payloads, "fp").select("key", "i", "j", "fp", "payload").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.expr(f"greatest(({n} + {BLOCK - 1}) div {BLOCK}, ({size} + {BLOCK_BYTES - 1}) div {BLOCK_BYTES})")
+
+
+def _with_pivots(entries: DataFrame, total: int) -> DataFrame:
+    """``key, i, j, fp`` from ``entries (key, fp, size)``: groups of one block whole, of larger ones each block with the pivots, block 0."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1").select("key", "m", _blocks("m", "bytes").alias("nb"))
+    dealt = joined_by_key(entries, sizes, "key", "m", total).withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
+    zero = F.lit(0).cast("long")
+    others = F.when((F.col("mine") == 0) & (F.col("nb") > 1), F.sequence(F.lit(1).cast("long"), F.greatest(F.col("nb") - 1, F.lit(1)))).otherwise(F.array("mine"))
+    return dealt.withColumn("j", F.explode(others)).select("key", zero.alias("i"), "j", "fp")
+
 
+def _with_all(entries: DataFrame, total: int) -> DataFrame:
+    """``key, i, j, fp`` from ``entries (key, fp, size, root)``: blocks of members outside the largest root of a group meet all blocks."""
+    per = entries.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
+    sizes = per.groupBy("key").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.max(F.struct("m", "bytes", "root")).alias("top"))
+    sizes = sizes.select("key", "m", F.col("top.root").alias("_top"), _blocks("m", "bytes").alias("nb"), _blocks("(m - top.m)", "(bytes - top.bytes)").alias("nr"), _blocks("top.m", "top.bytes").alias("nc"))
+    dealt = joined_by_key(entries, sizes, "key", "m", total)
+    long = lambda v: F.lit(v).cast("long")
+    rest = F.col("root") != F.col("_top")
+    mine = F.when(F.col("nb") == 1, long(0)).when(rest, F.expr("pmod(xxhash64(fp), nr)")).otherwise(F.expr("nr + pmod(xxhash64(fp), nc)"))
+    others = F.when(F.col("nb") == 1, F.array(long(0))).when(rest, F.sequence(long(0), F.expr("nr + nc - 1"))).otherwise(F.sequence(long(0), F.greatest(F.col("nr") - 1, long(0))))
+    met = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _hang_together(entries: DataFrame, payloads: DataFrame, test, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """``node, root``: what pairs of ``payloads (fp, payload)`` that pass ``test`` connect inside the groups of ``entries (key, fp, size, first)``.
+
+    Groups of the ``first`` entries meet pivots; after that, whole groups whose members don't hang together yet are opened.
+    """
+    total = entries.count()
+    some = components(_told(_with_pivots(entries.where("first").select("key", "fp", "size"), total), payloads, test, percent), scratch, f"{name}-some")
+    some = scratch.write(some, f"{name}-roots")
+    rooted = entries.join(some.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "size", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.write(rooted, f"{name}-rooted")
+    # a group that was one block of first entries has been told whole
+    apart = rooted.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("root").alias("least"), F.max("root").alias("most"), F.bool_and("first").alias("told"))
+    apart = scratch.write(apart.where("least <> most").where(~F.col("told") | (_blocks("m", "bytes") > 1)).select("key", "m"), f"{name}-apart")
+    if apart.isEmpty():
+        return some
+    more = _told(_with_all(joined_by_key(rooted, apart, "key", "m", total).select("key", "fp", "size", "root"), total), payloads, test, percent)
+    return scratch.write(components(more.unionByName(some.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, f"{name}-all"), f"{name}-whole")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     ``docs`` links where ``100 * shared >= percent * union`` of the sets of ``width``-word shingles, lower-cased in A-Z.
     Texts of fewer words are one shingle. A null or empty text, or one without words, has an empty set, is linked with
     nothing and is kept. ``component_id`` is the least ``doc_id`` of the component (nulls don't count; null if all are
     null, and then the rows are kept). Rows that repeat a ``doc_id`` are judged each by its text; those that hold the
-    component's least id are all kept. An empty table gives an empty result. Other columns of ``docs`` are not read.
+    component's least id are all kept. Texts of any length count whole. An empty table gives an empty result. Other
+    columns of ``docs`` are not read. ``exact`` spares the chance named above at the price of whole sets for sketches.
     """
-    return _decided(docs, width, percent, id_col, text_col).drop("mark")
+    return _decided(docs, width, percent, id_col, text_col, exact).drop("mark")
 
 
-def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """What ``near_duplicates`` tells, with the ``mark`` of each row's text."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.write(sketches(docs, width, id_col, text_col), "rows")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    rows = scratch.write(sketches(docs, width, id_col, text_col, None if exact else KEPT), "rows")
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
     rows = scratch.write(rows.select("doc_id", "mark", "n_shingles", "fp"), "slim")
     scratch.drop("rows")
 
-    listed = _lists(classes).join(classes.select("fp", F.col("sketch").alias("payload")), "fp").select(F.col("value").alias("key"), "fp", "payload")
-    loose = components(_hang_together(listed, _maybe_close, percent), scratch, "loose")
-    loose = scratch.write(loose, "clusters")
-    full = _full_sets(docs, classes.select("fp", "rep").join(loose.select(F.col("node").alias("fp")), "fp", "left_semi"), width, id_col, text_col)
-    clusters = full.join(loose.withColumnRenamed("node", "fp"), "fp").select(F.col("root").alias("key"), "fp", F.col("full").alias("payload"))
-    roots = scratch.write(components(_hang_together(clusters, _close, percent), scratch, "links"), "roots")
-    scratch.drop("clusters")
-
-    told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = told.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = scratch.write(told.join(least, "root").select("fp", "component_id"), "known")
-    scratch.drop("classes", "roots")
-    out = rows.join(known, "fp", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    listed = _lists(classes, scratch, percent, exact).withColumnRenamed("value", "key")
+    if exact:
+        listed = listed.join(classes.select("fp", (8 * F.col("n")).alias("size")), "fp")
+    else:
+        listed = listed.withColumn("size", F.lit(8 * KEPT).cast("long"))
+    loose = _hang_together(listed, classes.select("fp", F.col("sketch").alias("payload")), _close if exact else _maybe_close, percent, scratch, "loose")
+    scratch.drop("lists")
+    roots = loose if exact else _linked(docs, classes, loose, width, percent, id_col, text_col, scratch)
+
+    told = classes.select("fp", "rep", "rows").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    told = scratch.write(told, "told")
+    least = told.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
+    known = scratch.write(joined_by_key(told, least, "root", "m", told.count()).select("fp", "component_id", "rows"), "known")
+    scratch.drop("classes", "told", *(f"loose-{x}" for x in ("roots", "rooted", "apart", "whole")), *(f"links-{x}" for x in ("roots", "rooted", "apart", "whole")))
+    worded = joined_by_key(rows.where("fp is not null"), known, "fp", "rows", rows.count()).select("doc_id", "mark", "n_shingles", "component_id")
+    out = worded.unionByName(rows.where("fp is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _linked(docs: DataFrame, classes: DataFrame, loose: DataFrame, width: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """``node, root`` of the components inside the loose clusters, by full sets."""
+    inside = scratch.write(classes.select("fp", "rep", "n").join(loose.withColumnRenamed("node", "fp"), "fp"), "inside")
+    full = scratch.write(_full_sets(docs, inside.select("fp", "rep"), width, id_col, text_col), "full")
+    clusters = inside.select(F.col("root").alias("key"), "fp", (8 * F.col("n")).alias("size"), F.lit(True).alias("first"))
+    out = _hang_together(clusters, full.withColumnRenamed("full", "payload"), _close, percent, scratch, "links")
+    scratch.drop("inside", "full")
+    return out
+
+
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
     decided = _decided(docs.select("doc_id", "text"), width, percent)
