@@ -1,11 +1,14 @@
 """Benchmark decontamination: n-gram seeds join passages to test items, local alignment scores what they join.
 
-One pass over the corpus finds every place where three successive words of a text are three successive words of an item.
-Every n-gram of an item is a seed: which of them an edited copy keeps can't be told from how frequent they are. Passages
-with a seed whose words can reach the threshold in any order are aligned with the item by Smith-Waterman over words, which
-scores edited and paraphrased copies too. A copy that keeps no three successive words of its item isn't found.
-
-Items are taken in blocks of bounded size, and only a block is broadcast; the corpus is read once for each block.
+One pass over the corpus finds every place where three successive words of a text are a seed of an item. Seeds are the
+item's n-grams that are rare among the items: those that at most FAN items hold, and where these are fewer than half of its
+n-grams, the rarest half. Which of them an edited copy keeps can't be told in advance, so no rare n-gram is left out; a
+sentence that very many items share doesn't join a text that quotes it with all of them. Passages with a seed whose words
+can reach the threshold in any order are aligned with the item by Smith-Waterman over words, which scores edited and
+paraphrased copies too. A copy that keeps no three successive words of its item beside shared sentences isn't found.
+
+Items are taken in blocks of bounded size, the shorter ones first, and only a block is broadcast; the corpus is read once
+for each block. Items of more than PIECE words are searched by overlapping pieces, so that no item outgrows a block.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, as_bytes, marked, without_rows
 
-#: Words of an n-gram, words of all items of a block.
-WIDTH, BLOCK_WORDS = 3, 500_000
+#: Words of an n-gram, words of all items of a block, words of a piece of a long item, items that may share a seed.
+WIDTH, BLOCK_WORDS, PIECE, FAN = 3, 500_000, 2_000, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the score of an exact copy, and least score as matching words, at most those of the item.
 THRESHOLD, LEAST_WORDS = 0.5, 8
@@ -36,9 +39,9 @@ def plain_words(text: bytes | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Items:
-    """A block of test items: their words as numbers from 1, and their n-grams, sorted.
+    """A block of test items: their words as numbers from 1, and their seeds, sorted.
 
-    Items with n-gram ``g`` are ``holders[starts[g] : starts[g + 1]]``.
+    Items with seed ``g`` are ``holders[starts[g] : starts[g + 1]]``.
     """
 
     ids: list[int | None]
@@ -52,13 +55,32 @@ class Items:
     def of(cls, rows: list[tuple[int | None, list[bytes]]]) -> Items:
         vocabulary: dict[bytes, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in item], np.int64) for _, item in rows]
-        keys = [np.unique(keyed(w)) for w in words]
+        keys = rare([np.unique(keyed(w)) for w in words])
         grams, at = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True)
         order = np.argsort(at, kind="stable")
         holders = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
         return cls([i for i, _ in rows], words, vocabulary, grams, np.searchsorted(at[order], np.arange(len(grams) + 1)), holders)
 
 
+def rare(keys: list[np.ndarray], fan: int = FAN) -> list[np.ndarray]:
+    """Of each item's distinct n-grams those that at most ``fan`` items hold, but no fewer than the rarest half of them."""
+    _, at, many = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_inverse=True, return_counts=True)
+    out, first = [], 0
+    for k in keys:
+        held = many[at[first : first + len(k)]]
+        first += len(k)
+        most = max(fan, int(np.sort(held)[(len(k) - 1) // 2])) if len(k) else fan
+        out.append(k[held <= most])
+    return out
+
+
+def pieces(words: list[bytes]) -> Iterator[list[bytes]]:
+    """An item, or a long one's stretches of PIECE words, each half over the one before."""
+    yield words[:PIECE]
+    for end in range(PIECE + PIECE // 2, len(words) + PIECE // 2, PIECE // 2):
+        yield words[min(end, len(words)) - PIECE : end]
+
+
 def keyed(words: np.ndarray) -> np.ndarray:
     """An exact key for each n-gram of word numbers under 2 ** 21; -1 where one is 0 (not an item's word)."""
     n = len(words) - WIDTH + 1
@@ -107,9 +129,8 @@ def best_span(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def in_common(text: np.ndarray, item: np.ndarray) -> int:
-    """How many words of ``item`` are in ``text``, in any order: no alignment matches more."""
-    words, many = np.unique(item, return_counts=True)
+def in_common(text: np.ndarray, words: np.ndarray, many: np.ndarray) -> int:
+    """How many of an item's ``words``, each as often as ``many`` says, are in ``text``, in any order: no alignment matches more."""
     text = np.sort(text)
     return int(np.minimum(many, np.searchsorted(text, words, "right") - np.searchsorted(text, words)).sum())
 
@@ -119,7 +140,12 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.vocabulary, items.grams, items.starts, items.holders))  # at most BLOCK_WORDS words
 
     def align():
-        items = Items(*sent.value)
+        items, bags = Items(*sent.value), {}
+
+        def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in bags:
+                bags[k] = np.unique(items.words[k], return_counts=True)
+            return bags[k]
 
         def found(start: int, text: np.ndarray, places: np.ndarray, grams: np.ndarray) -> Iterator[tuple]:
             by_item = defaultdict(list)
@@ -132,7 +158,7 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 enough = lambda score, n=n: score / (MATCH * n) >= threshold and score >= MATCH * min(LEAST_WORDS, n)
                 for group in np.split(np.array(at), cut):
                     lo, hi = max(0, int(group[0]) - 2 * n), int(group[-1]) + WIDTH + 2 * n
-                    if not enough(MATCH * in_common(text[lo:hi], item)):
+                    if not enough(MATCH * in_common(text[lo:hi], *bag(k))):
                         continue
                     score, a, z = best_span(text[lo:hi], item)
                     if enough(score) and (last is None or score / (MATCH * n) > last[0]):
@@ -153,9 +179,10 @@ def _block(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, score, start_word, end_word``: documents that hold a copy of a test item, exact or edited.
 
-    ``score`` is the alignment's share of an exact copy's; a row appears per document, item and found passage. Null and
-    empty texts hold nothing; null, empty and shorter items than an n-gram match nothing. Repeated items and documents
-    give a row each. Empty tables give an empty result. Other columns are not read.
+    ``score`` is the alignment's share of an exact copy's; a row appears per document, item and found passage, the first
+    of equal ones. A piece of an item of more than PIECE words counts as an item with its id. Null and empty texts hold
+    nothing; null, empty and shorter items than an n-gram match nothing; texts of any length are read whole. Repeated items
+    and documents give a row each. Empty tables give an empty result. Other columns are not read.
     """
     return _leaks(docs, benchmark, threshold, id_col, text_col).drop("mark")
 
@@ -170,9 +197,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: str
         out.append(_block(slim, Items.of(block), threshold))
         block, size = [], 0
 
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), as_bytes("text").alias("text")).orderBy("item_id", "text").toLocalIterator():
-        words = plain_words(r["text"])
-        if len(words) >= WIDTH:
+    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), as_bytes("text").alias("text")).orderBy(F.length("text"), "item_id", "text").toLocalIterator():
+        for words in pieces(plain_words(r["text"])):
+            if len(words) < WIDTH:
+                continue
             if block and size + len(words) > BLOCK_WORDS:
                 flush()
             block.append((r["item_id"], words))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -60,8 +61,6 @@ def plain_score(a, b):
 
 
 def test_alignment():
-    import numpy as np
-
     r = random.Random(0)
     for _ in range(200):
         a, b = ([r.randrange(4) for _ in range(r.randrange(1, 20))] for _ in range(2))
@@ -114,6 +113,38 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()) == [(k, k) for k in range(4)]
 
 
+def test_pieces(spark):
+    for n in (0, 5, 2000, 2001, 2999, 3000, 3001, 7777):
+        words = list(range(n))
+        got = list(decontaminate.pieces(words))
+        assert {w for p in got for w in p} == set(words) and all(len(p) == min(n, decontaminate.PIECE) for p in got)
+        assert len(got) <= 1 + max(0, 2 * n // decontaminate.PIECE)
+    long = prose(900, 6000).split()
+    docs = [(1, prose(901, 50) + " " + " ".join(long[1500:4500])), (2, prose(902, 400)), (3, " ".join(long))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, IDS), spark.createDataFrame([(7, " ".join(long))], "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1, 7), (3, 7)}
+
+
+def test_items_that_share_a_sentence(spark, monkeypatch):
+    """All of it against brute force: texts that quote the sentence aren't joined with every item, copies are found."""
+    sentence, r = prose(700, 12), random.Random(1)
+    items = [(k, f"{sentence} {prose(710 + k, 18)}") for k in range(150)]
+    docs = [(k, f"{prose(2000 + k, 30)} {sentence} {prose(3000 + k, 30)}") for k in range(60)]
+    for k in range(60):
+        words = items[2 * k][1].split()
+        for at in r.sample(range(30), k % 9):
+            words[at] = f"x{at}"
+        docs.append((100 + k, f"{prose(4000 + k, 20)} {' '.join(words)} {prose(5000 + k, 20)}"))
+    want = {(d, i) for d, t in docs for i, item in items if plain_score(t.split(), item.split()) >= decontaminate.THRESHOLD * 2 * 30}
+    assert {(100 + k, 2 * k) for k in range(60) if k % 9 < 4} <= want and not any(d < 100 for d, _ in want)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, IDS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+    held = decontaminate.Items.of([(i, decontaminate.plain_words(t.encode())) for i, t in items])
+    number = held.vocabulary
+    shared = decontaminate.keyed(np.array([number[w] for w in sentence.encode().split()]))
+    assert not set(shared.tolist()) & set(held.grams.tolist())
+
+
 def test_patience():
     r = random.Random(2)
     assert linedup.patience(list("abcdef"), list("xbcyef")) == [(1, 1), (2, 2), (4, 4), (5, 5)]
