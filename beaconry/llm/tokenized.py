@@ -12,8 +12,10 @@ import re
 
 import numpy as np
 
-#: Stretches whose ids a Python worker remembers.
-REMEMBERED = 800_000
+#: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
+REMEMBERED, LONG = 800_000, 64
+#: Marks that often end a word.
+ENDS = frozenset(".,;:!?)\"")
 #: The pattern by which a byte-level BPE of this family cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,42 +44,58 @@ class Encoder:
         self.model, self.alphabet = self.all.model, byte_alphabet()
         self.find = regex.compile(PATTERN).findall
         self.awkward = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
+        self.awkward_ascii = [x for x in self.awkward if x.isascii()]
         self.far = re.compile(r"[^\x00-ɏ]").search
+        self.space = self.alphabet[0x20]
         self.known: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        width = self.dtype.itemsize
+        self.each = [k.to_bytes(width, "little") for k in range(max(self.all.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _cut(self, shown: str) -> bytes:
+        """Ids of a piece in the byte alphabet."""
+        each = self.each
+        return b"".join([each[x.id] for x in self.model.tokenize(shown)])
+
     def _piece(self, piece: str) -> bytes:
         """A piece as the pattern cuts it; one behind a space is remembered without it, like a stretch."""
         spaced = piece[0] == " " and len(piece) > 1
         memory, key = (self.after, piece[1:]) if spaced else (self.known, piece)
         if (found := memory.get(key)) is None:
-            found = self._packed([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))])
-            if len(memory) < REMEMBERED:
+            plain = spaced and key.isascii() and key.isalnum()
+            found = self._cut(self.space + key if plain else piece.encode().decode("latin-1").translate(self.alphabet))
+            if len(memory) < REMEMBERED and len(key) < LONG:
                 memory[key] = found
         return found
 
     def _stretch(self, text: str) -> bytes:
         """``text`` starts at a cut and ends before the next one."""
         if self.far(text):  # the library's own tables of letters and numbers decide
-            return self._packed([x.id for p, _ in self.all.pre_tokenizer.pre_tokenize_str(text) for x in self.model.tokenize(p)])
+            return b"".join([self._cut(p) for p, _ in self.all.pre_tokenizer.pre_tokenize_str(text)])
         return b"".join(map(self._piece, self.find(text)))
 
     def _behind(self, rest: str) -> bytes:
         """The stretch of a space and ``rest``, which wasn't remembered."""
-        if rest.isalpha() and not self.far(rest):
+        plain, head = rest.isalpha(), rest[:-1]
+        if plain and rest.isascii():
+            found = self._cut(self.space + rest)
+        elif rest[-1:] in ENDS and head.isascii() and head.isalpha():  # the pattern cuts before the mark
+            found = (self.after.get(head) or self._behind(head)) + self._piece(rest[-1])
+        elif plain and not self.far(rest):
             return self._piece(f" {rest}")
-        found = self._stretch(f" {rest}")
-        if len(self.after) < REMEMBERED and len(rest) < 64:
+        else:
+            found = self._stretch(f" {rest}")
+        if len(self.after) < REMEMBERED and len(rest) < LONG:
             self.after[rest] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.plain or any(x in text for x in self.special) or any(x in text for x in self.awkward):
+        if not self.plain or any(x in text for x in self.special) or any(x in text for x in (self.awkward_ascii if text.isascii() else self.awkward)):
             return self._packed(self.all.encode(text, add_special_tokens=False).ids)
         head, *rest = text.split(" ")
         found = list(map(self.after.get, rest))
