@@ -214,5 +214,5 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: str
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no test item."""
+    """The rows of ``docs``, with all their columns, that hold no test item; rows that share an id are judged each by its text."""
     return without_rows(docs, _leaks(docs, benchmark, threshold).select("doc_id", "mark"))

@@ -84,8 +84,9 @@ def measures(text: bytes | None) -> tuple[int, ...]:
 def ledger(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, MEASURES and ``failed_bits`` for each row of ``docs``.
 
-    Null and empty texts have no words and fail ``few_words``. Every row counts by itself, so repeated rows give repeated
-    rows. An empty table gives an empty ledger. Other columns are not read.
+    Null and empty texts have no words and fail ``few_words``; texts of any length are measured whole. A measure that
+    equals a rule's limit passes it. Every row counts by itself, so repeated rows give repeated rows. An empty table gives
+    an empty ledger. Other columns are not read.
     """
 
     def make():
@@ -120,7 +121,7 @@ def ablations(kept_ledger: DataFrame, policy: tuple[str, int] = CURRENT, rules:
 
 
 def quality_verdicts(docs: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_bits``."""
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_bits``; rows as in ``ledger``."""
     out = ledger(docs).withColumn("base_failed", ~passes(("base", 1))).withColumn("kept", ~F.col("base_failed") & passes(policy))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
@@ -155,3 +156,10 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed,
        failed_bits = 0 AS kept, failed_bits FROM f
 """.replace("BITS", " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in RULES))
+
+#: DuckDB SQL for the ablations of the current policy over the ledger.
+ABLATIONS = f"""
+WITH verdicts AS ({ORACLE}), rules AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES if POLICIES[CURRENT] >> r.bit & 1)}) AS t(rule, bit))
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS failed, count(*) FILTER (failed_bits & {POLICIES[CURRENT]} = bit) AS only_this
+FROM rules, verdicts GROUP BY rule
+"""

@@ -285,7 +285,10 @@ def _linked(docs: DataFrame, classes: DataFrame, loose: DataFrame, width: int, p
 
 
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without those that another row of their component stands for."""
+    """The rows of ``docs``, with all their columns, without those that another row of their component stands for.
+
+    Rows that share an id are judged each by its text; odd rows as in ``near_duplicates``.
+    """
     decided = _decided(docs.select("doc_id", "text"), width, percent)
     return without_rows(docs, decided.where("not kept").select("doc_id", "mark"))
 

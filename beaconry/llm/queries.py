@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .cube import cube_mix
 from .decontaminate import contaminated
+from .ledger import ABLATIONS as ABLATIONS_SQL
 from .ledger import ORACLE as LEDGER_SQL
-from .ledger import quality_verdicts
+from .ledger import ablations, ledger, quality_verdicts
 from .linedup import without_repeated_lines
 from .minhash import ORACLE as NEAR_SQL
 from .minhash import near_duplicates
@@ -41,6 +42,11 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and rejects alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), byte_level_pieces(TOKENIZER), name=TOKENIZER)
+    return token_counts(table(spark, sf_dir, "documents"), byte_level_pieces(TOKENIZER))
 
 
 def op8_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +87,12 @@ QUERIES: dict[str, Query] = {
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "ledger_ablations": ledger_ablations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_rule_ledger": LEDGER_SQL,
+    "ledger_ablations": ABLATIONS_SQL,
     "op8_entropy_secrets": SECRETS_SQL,
     "op10_minhash_near_dedup": NEAR_SQL,
 }

@@ -282,7 +282,12 @@ def read_token_ids(spark, path: str, *, with_ids: bool = True) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, tokenizer: str, *, end_id: int | None = None) -> DataFrame:
-    """Write ``docs`` in the file format to a folder among the shared ones, and describe each document from those files."""
+    """Write ``docs`` in the file format to a folder among the shared ones, and describe each document from those files.
+
+    Rows are those of ``read_token_ids``. Null texts are empty ones, and texts of any length are encoded whole, one longer
+    than a block in a block of its own. Null ids come first; rows that repeat an id stay apart, in the order of their ids'
+    bytes. An empty table gives an empty result. Other columns are not read.
+    """
     path = f"{Scratch(docs.sparkSession, 'rans').root}/out"
     write_token_ids(docs, path, tokenizer, end_id=end_id)
     return read_token_ids(docs.sparkSession, path, with_ids=False)

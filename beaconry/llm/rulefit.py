@@ -183,8 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
-    Null and empty texts are scored as texts without words. Rows that repeat a ``doc_id`` are scored each by its text; a
-    null id is never held out. An empty table gives an empty result; without labels the score is a constant.
+    Null and empty texts are scored as texts without words, texts of any length whole. Rows that repeat a ``doc_id`` are
+    scored each by its text; a null id is never held out; a score of ``threshold`` is accepted. Where labels repeat an id,
+    each row trains. An empty table gives an empty result; without labels the score is a constant. Other columns are not
+    read.
     """
     model = train(docs, labels)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_statistics(as_bytes("text")).alias("s")).select("doc_id", model.score("s").alias("score"))
@@ -192,6 +194,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier accepts."""
+    """The rows of ``docs``, with all their columns, that the classifier accepts; odd rows as in ``quality_scores``."""
     model, name = train(docs, labels), unused(docs, "_statistics")
     return docs.withColumn(name, text_statistics(as_bytes("text"))).where(model.score(f"`{name}`") >= threshold).drop(name)

@@ -12,14 +12,15 @@ import json
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, as_bytes, kept_in_worker, words_of
 from .tokenized import byte_alphabet
 
-#: Words whose counts a Python worker remembers.
-REMEMBERED = 800_000
+#: Words whose counts a Python worker remembers, and the bytes from which it doesn't.
+REMEMBERED, LONG = 800_000, 64
 #: The two roots.
 START, INSIDE, NONE = 0, 1, -1
 
@@ -83,9 +84,11 @@ class Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.automaton.pieces(word)
+        found = self.automaton.pieces(word)
+        if len(word) < LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -97,16 +100,17 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
     return sorted(starting), sorted(t for t in tokens if t and not t[:1].isspace())
 
 
-def token_counts(docs: DataFrame, pieces: tuple[list[bytes], list[bytes]], *, name: str = "wordpiece", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_tokens`` for each row of ``docs``; null, empty and blank texts have none.
+def token_counts(docs: DataFrame, pieces: tuple[list[bytes], list[bytes]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_tokens`` for each row of ``docs``; null, empty and blank texts have none, long ones count whole.
 
     ``pieces`` are the starting and inner pieces, of which each executor gets a copy: a vocabulary, whatever the corpus.
     Repeated rows give equal rows, an empty table an empty result. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    name = xxhash.xxh3_128_digest(b"".join(len(p).to_bytes(4, "little") + p for side in (*pieces[:1], [b""], *pieces[1:]) for p in side))
 
     def make():
-        counts = kept_in_worker(("pieces", name, len(sent.value[0]), len(sent.value[1])), lambda: Counts(Automaton(*sent.value)))
+        counts = kept_in_worker(("pieces", name), lambda: Counts(Automaton(*sent.value)))
 
         def rows(doc_id: int | None, text: bytes | None) -> Iterator[tuple]:
             words = words_of(text)

@@ -1,3 +1,7 @@
+import math
+import re
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +48,56 @@ def test_policies_and_ablations(spark):
             assert (r["failed"], r["only_this"]) == (sum(b & bit > 0 for b in bits), sum(b == bit for b in bits))
 
 
+def test_ablations_by_sql(spark):
+    rows = [(k, " ".join([prose(k, k % 23), "LOUD WORDS " * (k % 4), "#$ " * (k % 7), "x" * 31 * (k % 2), "a b c d e " * (k % 3)])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with duckdb.connect() as con:
+        con.register("documents", df.toPandas())
+        want = sorted(con.execute(f"SELECT rule, failed, only_this FROM ({ledger.ABLATIONS})").fetchall())
+    assert sorted(map(tuple, ledger.ablations(ledger.ledger(df)).select("rule", "failed", "only_this").collect())) == want
+
+
+def plain_statistics(text):
+    """The statistics by their definitions, word by word."""
+    words = (text or "").split(" ")
+    words = [w for x in words for w in re.split("[\t\n\x0b\x0c\r]", x) if w]
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+    n, many = max(1, len(words)), max(1, len(lines))
+    letters = [w for w in words if any(c.isalpha() for c in w)]
+    return (
+        math.log(1 + len(words)), sum(map(len, words)) / n, sum(c in "#*$%&|<>" for c in text or "") / n, (len(lines) - len(set(lines))) / many, brute_repeats(words) / n,
+        len(letters) / n, sum(w == w.upper() != w.lower() and len(w) > 1 for w in letters) / n, len(words) / many, len(set(words)) / n, max(map(words.count, words), default=0) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(c in "0123456789" for c in text or "") / n, sum(c in ".,;:!?\"'()-" for c in text or "") / n,
+    )
+
+
+def test_statistics():
+    r = np.random.default_rng(4)
+    some = ["a", "Wörter", "LOUD", "x1", "9", "#$", "re-do,", "\n", "\n\n", "\t", "same same", "漢字", "\x0b"]
+    for n in (0, 1, 7, 30, 90):
+        for _ in range(20):
+            text = " ".join(some[k] for k in r.integers(0, len(some), n))
+            assert rulefit.statistics(text.encode()) == pytest.approx(plain_statistics(text)), text
+    assert rulefit.statistics(None) == plain_statistics(None)
+
+
+def test_scores_by_hand(spark):
+    """The query's scores are the rules' weights, added up by reading each rule, through the logistic function."""
+    junk = lambda k: " ".join(f"{w}###" for w in prose(k, 60).split()) if k % 3 == 0 else prose(k, 60) + "." * (k % 5)
+    rows = [(k, junk(k)) for k in range(200)] + [(200, None), (201, ""), (202, prose(5, 30_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0 if k % 3 == 0 else 1) for k in range(200)], "doc_id long, quality int")
+    model = rulefit.train(docs, labels)
+    assert model.rules
+    got = {x["doc_id"]: x["score"] for x in rulefit.quality_scores(docs, labels).collect()}
+    for k, text in rows[:202]:
+        s, total = plain_statistics(text), model.bias
+        for rule in model.rules:
+            total += rule.weight * all((s[i] > at) == above for i, above, at in rule.terms)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)))
+    assert 0 <= got[202] <= 1
+
+
 def test_rules_compile_to_the_same_scores(spark):
     r = np.random.default_rng(0)
     x = r.random((400, len(rulefit.STATISTICS)))
