@@ -2,6 +2,9 @@
 
 A stage gets ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ids, empty tables and further columns;
+what they give is told by the function that the stage calls. Rows that share an id, or have none, stand each for itself.
 """
 
 from __future__ import annotations
