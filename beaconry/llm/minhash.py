@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, joined_by_key, kept_in_worker, marked, window_hashes, without_rows, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, marked, window_hashes, without_rows, words_of
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, members and bytes of a block.
 KEPT, LISTS, NEED, BLOCK, BLOCK_BYTES = 64, 32, 16, 512, 16 << 20
@@ -100,10 +100,9 @@ def _lists(classes: DataFrame, scratch: Scratch, percent: int, exact: bool) -> D
     long = classes.select("fp", held.cast("int").alias("s"), "sketch").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     long = long.select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
     often = scratch.write(long.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    total = classes.agg(F.sum(held)).first()[0] or 0
     w = W.partitionBy("fp").orderBy(F.desc("df"), "value")
     need = F.greatest(F.expr(f"(s * {percent} + 99) div 100" if exact else f"s * {NEED} div {LISTS}"), F.lit(1))
-    kept = joined_by_key(long, often, "value", "df", total).withColumn("hot", F.row_number().over(w)).where(F.col("hot") >= need)
+    kept = long.join(often, "value").withColumn("hot", F.row_number().over(w)).where(F.col("hot") >= need)
     out = scratch.write(kept.select("value", "fp", (F.col("hot") == need).alias("first")), "lists")
     scratch.drop("often")
     return out
@@ -175,62 +174,78 @@ def _maybe_close(values: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _told(met: DataFrame, payloads: DataFrame, test, percent: int) -> DataFrame:
-    """``a, b``: edges that connect what pairs passing ``test`` connect in each group of ``met (key, i, j, fp)``, and no more."""
+    """``a, b, whole``: edges that connect what pairs passing ``test`` connect in each group of ``met (key, i, j, nb, fp, root)``, and no more.
+
+    Edges lead between the members' roots, to the least of a component; ``whole`` says that a group was all of its key.
+    """
 
     def run(t: pa.Table) -> pa.Table:
-        fps = t["fp"].to_pylist()
         near = test([np.frombuffer(x.as_buffer(), np.int64) for x in t["payload"]], percent)
-        whole = _labels(near)
-        ends = np.flatnonzero(whole != np.arange(len(fps)))
-        return pa.table({"a": pa.array([fps[k] for k in ends], pa.binary()), "b": pa.array([fps[whole[k]] for k in ends], pa.binary())})
+        roots, label = t["root"].to_pylist(), _labels(near).tolist()
+        least = dict(sorted(zip(label, roots, strict=True), reverse=True))
+        edges = sorted({(r, least[k]) for r, k in zip(roots, label, strict=True) if r != least[k]})
+        whole = t["nb"][0].as_py() == 1
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary()), "whole": pa.array([whole] * len(edges), pa.bool_())})
 
-    return met.join(payloads, "fp").select("key", "i", "j", "fp", "payload").groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    grouped = met.join(payloads, "fp").select("key", "i", "j", "nb", "root", "payload").groupBy("key", "i", "j")
+    return grouped.applyInArrow(run, "a binary, b binary, whole boolean").distinct()
 
 
 def _blocks(n: str, size: str) -> Column:
     return F.expr(f"greatest(({n} + {BLOCK - 1}) div {BLOCK}, ({size} + {BLOCK_BYTES - 1}) div {BLOCK_BYTES})")
 
 
-def _with_pivots(entries: DataFrame, total: int) -> DataFrame:
-    """``key, i, j, fp`` from ``entries (key, fp, size)``: groups of one block whole, of larger ones each block with the pivots, block 0."""
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1").select("key", "m", _blocks("m", "bytes").alias("nb"))
-    dealt = joined_by_key(entries, sizes, "key", "m", total).withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
-    zero = F.lit(0).cast("long")
-    others = F.when((F.col("mine") == 0) & (F.col("nb") > 1), F.sequence(F.lit(1).cast("long"), F.greatest(F.col("nb") - 1, F.lit(1)))).otherwise(F.array("mine"))
-    return dealt.withColumn("j", F.explode(others)).select("key", zero.alias("i"), "j", "fp")
+def _with_pivots(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of ``entries (key, fp, size)``: of one block whole, of larger ones each block with the pivots, block 0."""
+    dealt = entries.join(sizes, "key").withColumn("mine", F.expr("pmod(xxhash64(fp), nb)"))
+    one = F.lit(1).cast("long")
+    others = F.when((F.col("mine") == 0) & (F.col("nb") > 1), F.sequence(one, F.greatest(F.col("nb") - 1, one))).otherwise(F.array("mine"))
+    return dealt.withColumn("j", F.explode(others)).select("key", F.lit(0).cast("long").alias("i"), "j", "nb", "fp", F.col("fp").alias("root"))
 
 
-def _with_all(entries: DataFrame, total: int) -> DataFrame:
-    """``key, i, j, fp`` from ``entries (key, fp, size, root)``: blocks of members outside the largest root of a group meet all blocks."""
-    per = entries.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"))
-    sizes = per.groupBy("key").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.max(F.struct("m", "bytes", "root")).alias("top"))
-    sizes = sizes.select("key", "m", F.col("top.root").alias("_top"), _blocks("m", "bytes").alias("nb"), _blocks("(m - top.m)", "(bytes - top.bytes)").alias("nr"), _blocks("top.m", "top.bytes").alias("nc"))
-    dealt = joined_by_key(entries, sizes, "key", "m", total)
+def _with_all(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of ``entries (key, fp, size, root)``: blocks of members outside the largest root of a key meet all its blocks."""
     long = lambda v: F.lit(v).cast("long")
-    rest = F.col("root") != F.col("_top")
+    dealt, rest = entries.join(sizes, "key"), F.col("root") != F.col("top")
     mine = F.when(F.col("nb") == 1, long(0)).when(rest, F.expr("pmod(xxhash64(fp), nr)")).otherwise(F.expr("nr + pmod(xxhash64(fp), nc)"))
     others = F.when(F.col("nb") == 1, F.array(long(0))).when(rest, F.sequence(long(0), F.expr("nr + nc - 1"))).otherwise(F.sequence(long(0), F.greatest(F.col("nr") - 1, long(0))))
     met = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
-    return met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
+    return met.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "nb", "fp", "root")
+
+
+def _rooted(pairs: DataFrame) -> DataFrame:
+    """``node, root`` with a row for each root beside those of the other members."""
+    members = pairs.where("node <> root")
+    return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
 
 
 def _hang_together(entries: DataFrame, payloads: DataFrame, test, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """``node, root``: what pairs of ``payloads (fp, payload)`` that pass ``test`` connect inside the groups of ``entries (key, fp, size, first)``.
 
-    Groups of the ``first`` entries meet pivots; after that, whole groups whose members don't hang together yet are opened.
+    A class has one ``first`` entry. Groups of these meet pivots; after that, groups whose members don't hang together yet
+    are opened whole. Tables by key are written before they are joined, so that the engine sees their size and, where it
+    has to shuffle them, splits a hot key's rows.
     """
-    total = entries.count()
-    some = components(_told(_with_pivots(entries.where("first").select("key", "fp", "size"), total), payloads, test, percent), scratch, f"{name}-some")
-    some = scratch.write(some, f"{name}-roots")
+    first = entries.where("first")
+    sizes = first.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1").select("key", _blocks("m", "bytes").alias("nb"))
+    sizes = scratch.write(sizes, f"{name}-sizes")
+    edges = scratch.write(_told(_with_pivots(first, sizes), payloads, test, percent), f"{name}-edges")
+    some = edges.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not sizes.where("nb > 1").isEmpty():
+        some = some.unionByName(components(edges.where(~F.col("whole")), scratch, f"{name}-some"))
     rooted = entries.join(some.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "size", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.write(rooted, f"{name}-rooted")
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.bool_and("first").alias("first"))
+    per = per.groupBy("key").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes"), F.max(F.struct("m", "bytes", "root")).alias("t"), F.count("*").alias("roots"), F.bool_and("first").alias("first"))
+    apart = per.select("key", F.col("t.root").alias("top"), _blocks("m", "bytes").alias("nb"), _blocks("(m - t.m)", "(bytes - t.bytes)").alias("nr"), _blocks("t.m", "t.bytes").alias("nc"), "roots", "first")
     # a group that was one block of first entries has been told whole
-    apart = rooted.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes"), F.min("root").alias("least"), F.max("root").alias("most"), F.bool_and("first").alias("told"))
-    apart = scratch.write(apart.where("least <> most").where(~F.col("told") | (_blocks("m", "bytes") > 1)).select("key", "m"), f"{name}-apart")
+    apart = scratch.write(apart.where("roots > 1 and not (first and nb = 1)").drop("roots", "first"), f"{name}-apart")
     if apart.isEmpty():
-        return some
-    more = _told(_with_all(joined_by_key(rooted, apart, "key", "m", total).select("key", "fp", "size", "root"), total), payloads, test, percent)
-    return scratch.write(components(more.unionByName(some.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, f"{name}-all"), f"{name}-whole")
+        return scratch.write(_rooted(some), f"{name}-whole")
+    more = _told(_with_all(rooted.select("key", "fp", "size", "root"), apart), payloads, test, percent)
+    more = components(more, scratch, f"{name}-more").select(F.col("node").alias("root"), F.col("root").alias("over"))
+    joined = some.where("node <> root").join(more, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    return scratch.write(_rooted(joined.unionByName(more.select(F.col("root").alias("node"), F.col("over").alias("root")))), f"{name}-whole")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +265,7 @@ def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
     """What ``near_duplicates`` tells, with the ``mark`` of each row's text."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.write(sketches(docs, width, id_col, text_col, None if exact else KEPT), "rows")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
     rows = scratch.write(rows.select("doc_id", "mark", "n_shingles", "fp"), "slim")
     scratch.drop("rows")
@@ -264,13 +279,12 @@ def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
     scratch.drop("lists")
     roots = loose if exact else _linked(docs, classes, loose, width, percent, id_col, text_col, scratch)
 
-    told = classes.select("fp", "rep", "rows").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     told = scratch.write(told, "told")
-    least = told.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
-    known = scratch.write(joined_by_key(told, least, "root", "m", told.count()).select("fp", "component_id", "rows"), "known")
-    scratch.drop("classes", "told", *(f"loose-{x}" for x in ("roots", "rooted", "apart", "whole")), *(f"links-{x}" for x in ("roots", "rooted", "apart", "whole")))
-    worded = joined_by_key(rows.where("fp is not null"), known, "fp", "rows", rows.count()).select("doc_id", "mark", "n_shingles", "component_id")
-    out = worded.unionByName(rows.where("fp is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = scratch.write(told.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    known = scratch.write(told.join(least, "root").select("fp", "component_id"), "known")
+    scratch.drop("classes", "told", "least", *(f"{a}-{b}" for a in ("loose", "links") for b in ("sizes", "edges", "rooted", "apart", "whole")))
+    out = rows.join(known, "fp", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

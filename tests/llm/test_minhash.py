@@ -51,10 +51,11 @@ def test_odd_rows(odd, odd_rows, empty):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"]) == [1, 5, 6, 7, 8, 9, 11, 12, 13, 14]
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_chains_and_groups(spark, monkeypatch, block):
-    """Near copies of near copies, and one passage in many documents, in lists larger than a block."""
+@pytest.mark.parametrize(("block", "size", "exact"), [(8, 1 << 24, False), (512, 1 << 24, False), (512, 4000, False), (8, 4000, True), (512, 1 << 24, True)])
+def test_chains_and_groups(spark, monkeypatch, block, size, exact):
+    """Near copies of near copies, and one passage in many documents, in lists larger than a block in members or bytes."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     r, rows, passage = random.Random(5), [], prose(9, 40)
     for g in range(6):
         words = prose(100 + g, 80).split()
@@ -65,6 +66,32 @@ def test_chains_and_groups(spark, monkeypatch, block):
     rows += [(1000 + k, passage + " " + prose(500 + k, 20)) for k in range(40)]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(df, width=4, exact=exact)) == brute(rows, 4)
+
+
+def test_templates_around_the_threshold(spark, monkeypatch):
+    """One long passage in many documents beside more or less of their own, so that some link, some don't, and chains do."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    template, r = prose(1, 100), random.Random(4)
+    rows = [(k, f"{template} {prose(100 + k, r.choice((6, 9, 11, 12, 13, 14, 20, 40)))}") for k in range(150)]
+    rows += [(1000 + k, f"{template} {prose(300 + k // 3, 20)} {prose(400 + k, 4)}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 4)
+    assert 3 < len({c for _, _, c, _ in want}) < 200
+    assert got(minhash.near_duplicates(df, width=4)) == want == got(minhash.near_duplicates(df, width=4, exact=True))
+
+
+def test_long_texts_of_one_cluster(spark, monkeypatch):
+    """Sets whose bytes fill a block each are dealt one by one."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 100_000)
+    words = [f"u{k}" for k in range(30_000)]
+    rows = []
+    for k in range(6):
+        own = list(words)
+        own[k::40] = [f"{w}x{k}" for w in own[k::40]]
+        rows.append((k, " ".join(own)))
+    rows.append((9, " ".join(words[:20_000])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(minhash.near_duplicates(df, width=4)) == brute(rows, 4)
 
 
