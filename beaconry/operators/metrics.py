@@ -1,4 +1,8 @@
-"""Position errors, accuracies and their distribution; every metric is one aggregate Column."""
+"""Position errors, accuracies and their distribution.
+
+A metric is an aggregate Column, or a percentile: those are read from ranks over all errors, which ranges of errors give, so
+that no task holds every error.
+"""
 
 from __future__ import annotations
 
@@ -28,11 +32,15 @@ def same(name: str) -> Column:
     return F.col(f"pred_{name}").eqNullSafe(F.col(f"gt_{name}"))
 
 
-#: Name, unit and aggregate of each metric.
+class Percentile(float):
+    """A metric that is read from ranks."""
+
+
+#: Name, unit and aggregate, or percentile, of each metric.
 METRICS: dict[str, tuple[str, object]] = {
     "mean_position_error": ("m", lambda **_: F.avg(ERROR)),
-    "median_position_error": ("m", lambda **_: F.percentile(ERROR, F.lit(0.5))),
-    "percentile_error": ("m", lambda percentile=75, **_: F.percentile(ERROR, F.lit(percentile / 100.0))),
+    "median_position_error": ("m", lambda **_: Percentile(50)),
+    "percentile_error": ("m", lambda percentile=75, **_: Percentile(percentile)),
     "max_position_error": ("m", lambda **_: F.max(ERROR)),
     "rms_position_error": ("m", lambda **_: F.sqrt(F.avg(F.col(ERROR) * F.col(ERROR)))),
     "floor_accuracy": ("%", lambda **_: share(same("floor"))),
@@ -42,8 +50,27 @@ METRICS: dict[str, tuple[str, object]] = {
 DEFAULT = ("mean_position_error", "median_position_error", "percentile_error", "rms_position_error", "floor_accuracy", "building_accuracy")
 
 
-def metric(name: str, **options) -> Column:
-    return METRICS[name][1](**options).alias(name)
+def percentiles(errors: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """One row: by name the exact percentile (0 to 100) of ERROR, between two errors in proportion; null without errors."""
+    known = errors.select(ERROR).where(F.col(ERROR).isNotNull())
+    ranked = global_rank(known, [ERROR], "_rank")
+    ranked = ranked.crossJoin(F.broadcast(known.agg(F.count("*").alias("_n"))))  # one number
+    at = {name: F.lit(p / 100.0) * (F.col("_n") - 1) for name, p in wanted.items()}
+    error = lambda place: F.max(F.when(F.col("_rank") - 1 == place, F.col(ERROR)))
+    ends = [c for name, h in at.items() for c in (error(F.floor(h)).alias(f"_lo_{name}"), error(F.ceil(h)).alias(f"_hi_{name}"), F.max(h - F.floor(h)).alias(f"_part_{name}"))]
+    between = lambda name: F.col(f"_lo_{name}") + F.col(f"_part_{name}") * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
+    return ranked.agg(*ends).select(*(between(name).alias(name) for name in wanted))
+
+
+def told(df: DataFrame, figures: dict[str, Column | Percentile]) -> DataFrame:
+    """One row with ``figures`` over ``df``, which has ERROR: aggregates from one pass, percentiles from the ranks."""
+    ranks = {name: float(f) for name, f in figures.items() if isinstance(f, Percentile)}
+    sums = [f.alias(name) for name, f in figures.items() if name not in ranks]
+    one = df.agg(*sums) if sums else None
+    if ranks:
+        two = percentiles(df, ranks)
+        one = one.crossJoin(two) if one is not None else two  # one row each
+    return one.select(*figures)
 
 
 def register_metric(name: str, unit: str, build) -> None:
@@ -54,9 +81,9 @@ def register_metric(name: str, unit: str, build) -> None:
 
 
 def evaluated(df: DataFrame, metrics: tuple[str | tuple[str, dict], ...] = DEFAULT) -> DataFrame:
-    """One row with all metrics from one aggregation; no rows give nulls."""
+    """One row with all metrics; no rows give nulls."""
     wanted = [(m, {}) if isinstance(m, str) else m for m in metrics]
-    return with_error(df).agg(*(metric(name, **options) for name, options in wanted))
+    return told(with_error(df), {name: METRICS[name][1](**options) for name, options in wanted})
 
 
 def within(limits: tuple[float, ...] = LIMITS) -> list[Column]:
@@ -66,12 +93,11 @@ def within(limits: tuple[float, ...] = LIMITS) -> list[Column]:
 
 def results(df: DataFrame) -> DataFrame:
     """The summary row: eleven figures with the population deviation."""
-    at = lambda p: F.percentile(ERROR, F.lit(p))
-    return with_error(df).agg(
-        F.avg(ERROR).alias("mean_error"), at(0.5).alias("median_error"), F.stddev_pop(ERROR).alias("std_error"), F.min(ERROR).alias("min_error"),
-        F.max(ERROR).alias("max_error"), F.sqrt(F.avg(F.col(ERROR) * F.col(ERROR))).alias("rms_error"), at(0.75).alias("p75_error"),
-        at(0.9).alias("p90_error"), at(0.95).alias("p95_error"), share(same("floor")).alias("floor_accuracy"), share(same("building")).alias("building_accuracy"),
-    )
+    return told(with_error(df), {
+        "mean_error": F.avg(ERROR), "median_error": Percentile(50), "std_error": F.stddev_pop(ERROR), "min_error": F.min(ERROR), "max_error": F.max(ERROR),
+        "rms_error": F.sqrt(F.avg(F.col(ERROR) * F.col(ERROR))), "p75_error": Percentile(75), "p90_error": Percentile(90), "p95_error": Percentile(95),
+        "floor_accuracy": share(same("floor")), "building_accuracy": share(same("building")),
+    })
 
 
 def cdf_curve(errors: DataFrame, points: int = 100) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .metrics import global_rank
+
 
 def steps(samples: DataFrame, value: str = "magnitude", *, key: str = "sample_id", order: str = "idx", threshold: float = 1.0) -> DataFrame:
     """Rows that are a strict local peak and stand more than ``threshold`` above the lower neighbour; ends never do."""
@@ -54,9 +56,9 @@ def axis_scaled(samples: DataFrame, columns: tuple[str, ...], method: str = "sta
 
 
 def first_seen(rows: DataFrame, label: str, order: str) -> DataFrame:
-    """``label, place``: labels numbered from 0 in order of their first row. One row per label meets in one task."""
+    """``label, place``: labels numbered from 0 in order of their first row, by ranges."""
     first = rows.groupBy(label).agg(F.min(order).alias("_first"))
-    return first.withColumn("place", F.row_number().over(W.orderBy("_first")) - 1).drop("_first")
+    return global_rank(first, ["_first", label], "place").withColumn("place", (F.col("place") - 1).cast("int")).drop("_first")
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, *, key: str, time: str, name: str) -> DataFrame:

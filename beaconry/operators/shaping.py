@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .metrics import global_rank
 
 
@@ -31,9 +32,12 @@ def gathered(long: DataFrame, key: list[str], key_column: str = "id", value: str
     return one.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key_column, "_v")))).alias("readings"))
 
 
-def vocabulary(long: DataFrame, name: str = "id") -> DataFrame:
-    """One row: the sorted distinct ids. A vocabulary of transmitters is small beside the readings."""
-    return long.select(name).distinct().agg(F.array_sort(F.collect_list(name)).alias("vocabulary"))
+def vocabulary(long: DataFrame, name: str = "id", most: int = 100_000) -> DataFrame:
+    """One row: the sorted distinct ids. More than ``most`` of them, by a count, are refused: such readings stay sparse."""
+    ids = written(long.select(name).distinct(), "vocabulary")
+    if (n := ids.count()) > most:
+        raise ValueError(f"{n} transmitters are more than the {most} that a dense vector may have")
+    return ids.agg(F.array_sort(F.collect_list(name)).alias("vocabulary"))
 
 
 def grouped_scans(rows: DataFrame, key: list[str], items: list[str], order: str) -> DataFrame:

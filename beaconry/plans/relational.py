@@ -13,19 +13,19 @@ from .registry import query, table
 from .views import FP, RANGES, SCANS, fingerprints, ranges, rounded, scans
 
 PAIRED = f"""{SCANS}, slots AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY ap) AS slot FROM long),
-wide AS (SELECT scan, {', '.join(f"max(CASE WHEN slot = {k} THEN ap END) AS ap_{k}, max(CASE WHEN slot = {k} THEN rssi END) AS rssi_{k}" for k in range(1, 8))} FROM slots WHERE slot <= 7 GROUP BY scan)"""
+wide AS (SELECT scan, (slot - 1) // 7 AS line, {', '.join(f"max(CASE WHEN (slot - 1) % 7 = {k - 1} THEN ap END) AS ap_{k}, max(CASE WHEN (slot - 1) % 7 = {k - 1} THEN rssi END) AS rssi_{k}" for k in range(1, 8))} FROM slots GROUP BY 1, 2)"""
 
 
 def paired(spark, sf_dir):
-    """Wide rows of up to seven (id, RSSI) pairs."""
-    slots = scans(spark, sf_dir).withColumn("slot", F.row_number().over(W.partitionBy("scan").orderBy("ap"))).where("slot <= 7")
-    at = lambda c, k: F.max(F.when(F.col("slot") == k, F.col(c)))
-    return slots.groupBy("scan").agg(*(at(c, k).alias(f"{c}_{k}") for k in range(1, 8) for c in ("ap", "rssi")))
+    """Wide rows of up to seven (id, RSSI) pairs, as many lines a scan as its pairs need."""
+    slots = scans(spark, sf_dir).withColumn("slot", F.row_number().over(W.partitionBy("scan").orderBy("ap")) - 1)
+    at = lambda c, k: F.max(F.when(F.col("slot") % 7 == k - 1, F.col(c)))
+    return slots.groupBy("scan", F.expr("slot div 7").alias("line")).agg(*(at(c, k).alias(f"{c}_{k}") for k in range(1, 8) for c in ("ap", "rssi")))
 
 
 @query("pair_unpivot", f"WITH {PAIRED} SELECT scan, trim(i) AS id, v AS value FROM (SELECT scan, unnest([{', '.join(f'ap_{k}' for k in range(1, 8))}]) AS i, unnest([{', '.join(f'rssi_{k}' for k in range(1, 8))}]) AS v FROM wide) WHERE i IS NOT NULL AND v IS NOT NULL")
 def _(spark, sf_dir):
-    return P.unpivoted(paired(spark, sf_dir), [(f"ap_{k}", f"rssi_{k}") for k in range(1, 8)])
+    return P.unpivoted(paired(spark, sf_dir), [(f"ap_{k}", f"rssi_{k}") for k in range(1, 8)]).drop("line")
 
 
 @query("pair_gather", f"WITH {SCANS} SELECT scan, count(*)::INT AS n, arg_max(ap, (rssi, ap)) AS loudest FROM long GROUP BY scan")

@@ -36,8 +36,7 @@ def _(spark, sf_dir):
 
 @query("err_percentiles", f"WITH {PAIRS} SELECT round(quantile_cont(err, 0.5), 6) AS median_position_error, round(quantile_cont(err, 0.75), 6) AS p75, round(quantile_cont(err, 0.9), 6) AS p90, round(quantile_cont(err, 0.95), 6) AS p95 FROM e")
 def _(spark, sf_dir):
-    at = lambda p: M.metric("percentile_error", percentile=p).alias(f"p{p}")
-    return rounded(errors(spark, sf_dir).agg(M.metric("median_position_error"), *map(at, (75, 90, 95))))
+    return rounded(M.percentiles(errors(spark, sf_dir), {"median_position_error": 50, "p75": 75, "p90": 90, "p95": 95}))
 
 
 @query("acc_metrics", f"WITH {PAIRS} SELECT round(100 * avg(fl::INT), 6) AS floor_accuracy, round(100 * avg(bu::INT), 6) AS building_accuracy, round(100 * avg((fl AND bu)::INT), 6) AS floor_building_accuracy FROM e")

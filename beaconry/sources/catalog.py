@@ -20,6 +20,8 @@ from ..operators.sequences import first_seen
 from . import layouts as L
 
 Loader = Callable[["Dataset", SparkSession, str, str, dict], DataFrame]
+#: The file of anchors' places, and the modulation of a light whose file tells none.
+ANCHORS, MODULATION = "anchor_positions.csv", "OOK"
 LABELS = ("x", "y", "z", "floor", "building", "building_id", "timestamp", "src_idx", "environment", "env", "id", "trajectory", "scenario", "room", "area")
 
 
@@ -38,6 +40,7 @@ class Dataset:
     marks: tuple[str, ...] = ("csi",)
     only: dict[str, str] = field(default_factory=dict)  # a filter's name: the column that it selects by
     group: str | None = None
+    places: tuple[str, ...] = ("",)  # what stands before x and y in the columns of places, the first that a file has
 
     def paths(self, root: str, split: str) -> list[str]:
         return [f"{root}/{f}" for f in self.files.get(split, self.files.get("all", []))]
@@ -109,14 +112,14 @@ def _wlan(spec, spark, root, split, options):
 def _wide(spec, spark, root, split, options):
     """A header, labels, and features in the columns whose names hold a mark, or all others if the marks are empty."""
     df = L.header_csv(spark, spec.paths(root, split))
-    pick = lambda columns: [c for m in spec.marks for c in columns if m in c.lower() and c not in LABELS] if spec.marks else [c for c in columns if c not in LABELS]
+    pick = lambda columns: [c for c in columns if c not in LABELS and (not spec.marks or any(m in c.lower() for m in spec.marks))]
     if spec.name == "csi2pos":
         kind = {"csi": ("csi",), "per": ("per",), "both": ("csi", "per")}[options.get("feature_type", "csi")]
-        pick = lambda columns: [c for m in kind for c in columns if m in c.lower()]
+        pick = lambda columns: [c for c in columns if any(m in c.lower() for m in kind)]
     if spec.name == "opencsi":
         pick = lambda columns: [c for c in columns if c not in ("x", "y", "trajectory")][:1200]
     df = L.wide(df, pick, fill=spec.absent, width=spec.width)
-    x, y = L.number(df, "x", "uwb_coordinate_x", "grid_x"), L.number(df, "y", "uwb_coordinate_y", "grid_y")
+    x, y = (L.number(df, *(f"{prefix}{c}" for prefix in spec.places)) for c in "xy")
     if spec.name == "wifi_csi_d2d":
         x, y = polar(L.number(df, "distance"), L.number(df, "angle"))
     z = L.number(df, "z", "gps_z", "altitude")
@@ -130,7 +133,7 @@ def _pairs_dense(spec, spark, root, split, options):
     df = L.header_csv(spark, spec.paths(root, split))
     pairs = L.paired(df.columns, r"BSSID_?(\d+)", r"RSSI_?(\d+)")
     rows = L.readings(df, pairs).select("src_idx", "readings", L.number(df, "x").alias("x"), L.number(df, "y").alias("y"), L.number(df, "floor").cast("int").alias("floor"))
-    return L.densified(rows, spec.absent)[0]
+    return L.densified(rows, spec.absent)
 
 
 def _ble(spec, spark, root, split, options):
@@ -160,10 +163,20 @@ def _ble_uci(spec, spark, root, split, options):
 
 
 def _anchors(spec, spark, root, split, options):
-    """anchor{N}_id and anchor{N}_distance cells to a map; samples without a known anchor go."""
+    """anchor{N}_id and anchor{N}_distance cells to a map; samples without a known anchor go.
+
+    ``positions`` has the places of those anchors that a file of them knows, if there is one.
+    """
     df = L.header_csv(spark, spec.paths(root, split))
     rows = L.readings(df, L.paired(df.columns, r"anchor(\d+)_id", r"anchor(\d+)_distance"))
-    return rows.select("src_idx", "readings", *(L.number(df, c).alias(c) for c in "xyz"), L.number(df, "floor").cast("int").alias("floor"))
+    rows = rows.select("src_idx", "readings", *(L.number(df, c).alias(c) for c in "xyz"), L.number(df, "floor").cast("int").alias("floor"))
+    if not L.there(spark, at := f"{root}/{ANCHORS}"):
+        return rows.withColumn("positions", F.expr("cast(map() as map<string, struct<x: double, y: double, z: double>>)"))
+    dim = L.header_csv(spark, at).select(F.trim("anchor_id").alias("id"), *(F.col(c).try_cast("double").alias(c) for c in "xyz"), "src_idx")
+    dim = dim.groupBy("id").agg(F.max_by(F.struct(*"xyz"), "src_idx").alias("at"))  # of repeated ids the last line stays
+    long = looked_up(rows.select("src_idx", F.explode(F.map_keys("readings")).alias("id")), dim, "id").where("at is not null")
+    places = long.groupBy("src_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "at")))).alias("positions"))
+    return rows.join(places, "src_idx", "left").withColumn("positions", F.coalesce("positions", F.expr("cast(map() as map<string, struct<x: double, y: double, z: double>>)")))
 
 
 def _measurements(spec, spark, root, split, options):
@@ -171,11 +184,13 @@ def _measurements(spec, spark, root, split, options):
     df = L.header_csv(spark, f"{root}/{spec.files['all'][0]}")
     dim = spark.read.option("header", True).csv(f"{root}/{spec.files['all'][1]}")
     key = "led_id" if spec.signal == "vlc" else "anchor_id"
-    value = L.number(df, "rssi", default=-100.0) if spec.signal == "vlc" else L.number(df, "distance")
+    light = spec.signal == "vlc"
+    value = L.number(df, "rssi", default=spec.absent) if light else L.number(df, "distance")
+    more = [L.number(df, "snr").alias("snr"), (F.col("modulation") if "modulation" in df.columns else F.lit(MODULATION)).alias("modulation")] if light else []
     group = F.col("measurement_id").cast("string") if "measurement_id" in df.columns else F.concat_ws("/", "x", "y", "z")
-    rows = df.select("src_idx", group.alias("measurement_id"), *(L.number(df, c).alias(c) for c in "xyz"), F.col(key), value.alias("value"))
+    rows = df.select("src_idx", group.alias("measurement_id"), *(L.number(df, c).alias(c) for c in "xyz"), F.col(key), value.alias("value"), *more)
     placed = looked_up(rows, dim.select(F.col(key), *(F.col(c).try_cast("double").alias(f"{key[:-3]}_{c}") for c in "xyz")), key)
-    item = F.struct(F.col("src_idx").alias("k"), F.col(key), "value", *(f"{key[:-3]}_{c}" for c in "xyz"))
+    item = F.struct(F.col("src_idx").alias("k"), F.col(key), "value", *(f"{key[:-3]}_{c}" for c in "xyz"), *(("snr", "modulation") if light else ()))
     return placed.groupBy("measurement_id").agg(F.min("src_idx").alias("src_idx"), *(F.min_by(c, "src_idx").alias(c) for c in "xyz"), F.array_sort(F.collect_list(item)).alias("transmitters"))
 
 
@@ -211,7 +226,7 @@ def _hybrid(spec, spark, root, split, options):
         sides = [wifi.select("sample_id", "src_idx", L.vector(wap(wifi), spec.absent).alias("wifi"))]
         if ble_pairs:
             told = L.readings(ble, ble_pairs).select("sample_id", "src_idx", "readings")
-            sides.append(L.densified(told, -100.0)[0].select("sample_id", "src_idx", F.col("features").alias("ble")))
+            sides.append(L.densified(told, -100.0).select("sample_id", "src_idx", F.col("features").alias("ble")))
         sides.append(mag.select("sample_id", "src_idx", L.vector(axes["magnetic"], None).alias("magnetic")))
         df = labels
         for side in sides:
@@ -219,8 +234,8 @@ def _hybrid(spec, spark, root, split, options):
         made = [side.columns[-1] for side in sides]
     elif len(parts) == 3:
         wifi, imu, labels = parts
-        place = lambda d, *c: L.numbered(d.drop("src_idx").coalesce(1)).select("src_idx", *c)  # noqa: E731  row numbers of whole files
-        df = by_position([L.numbered(labels.drop("src_idx").coalesce(1)), place(wifi, L.vector(wap(wifi), spec.absent).alias("wifi")), place(imu, L.vector([c for c in axes["imu"] if c in imu.columns], None).alias("imu"))])
+        place = lambda d, *c: L.counted(d).select("src_idx", *c)
+        df = by_position([L.counted(labels), place(wifi, L.vector(wap(wifi), spec.absent).alias("wifi")), place(imu, L.vector([c for c in axes["imu"] if c in imu.columns], None).alias("imu"))])
         made = ["wifi", "imu"]
     else:
         df = parts[0]
@@ -255,11 +270,12 @@ def _two(train: str, test: str) -> dict[str, list[str]]:
     return {"train": [train], "test": [test]}
 
 
-def _csi(name: str, *, aliases: tuple[str, ...] = (), absent: float | None = None, width: int | None = None, marks: tuple[str, ...] = ("csi",), only: dict | None = None, file: str = "data.csv") -> Dataset:
-    return Dataset(name, "csi", _wide, {"all": [file]}, absent, aliases=aliases, width=width, marks=marks, only=only or {})
+def _csi(name: str, *, aliases: tuple[str, ...] = (), absent: float | None = None, width: int | None = None, marks: tuple[str, ...] = ("csi",), only: dict | None = None, file: str = "data.csv", places: tuple[str, ...] = ("",)) -> Dataset:
+    return Dataset(name, "csi", _wide, {"all": [file]}, absent, aliases=aliases, width=width, marks=marks, only=only or {}, places=places)
 
 
 _FLOORS = [0, 1, 2, 3, 4]
+#: Names of the public datasets, of their files and columns, and their markers of missing values.
 CATALOG: dict[str, Dataset] = {d.name: d for d in (
     Dataset("ujindoorloc", "wifi", _uji, _two("trainingData.csv", "validationData.csv"), 100.0, aliases=("uji",), only={"building": "building"}),
     Dataset("sodindoorloc", "wifi", _site_files, {"train": ["CETC331/Training_CETC331.csv", "HCXY/Training_HCXY_All_30.csv", "SYL/Training_SYL_All_30.csv"], "test": ["CETC331/Testing_CETC331.csv", "HCXY/Testing_HCXY.csv", "SYL/Testing_SYL.csv"]}, 100.0, aliases=("sod",)),
@@ -283,8 +299,8 @@ CATALOG: dict[str, Dataset] = {d.name: d for d in (
     Dataset("sensor_fusion", "hybrid", _hybrid, {s: [f"{s}/{k}.csv" for k in ("wifi", "ble", "magnetic", "labels")] for s in ("train", "test")}, 100.0),
     _csi("csi_indoor", aliases=("csi",), absent=-80.0, marks=("csi_amp",), only={"floor": "floor"}, file="csi_measurements.csv"),
     _csi("csi_fingerprint", width=90, marks=("csi", "amp"), only={"area": "area"}),
-    _csi("hwild", width=90, only={"environment": "environment"}),
-    _csi("csu_indoorloc", aliases=("csu",), absent=-100.0, marks=("csi", "rssi", "wap"), only={"building": "building"}),
+    _csi("hwild", width=90, only={"environment": "environment"}, places=("uwb_coordinate_", "")),
+    _csi("csu", absent=-100.0, marks=("csi", "rssi", "wap"), only={"building": "building"}),
     _csi("wild_v2", aliases=("wildv2",), marks=(), only={"env": "env"}),
     _csi("opencsi", absent=None),
     _csi("haloc", only={"trajectory": "trajectory"}),
@@ -292,7 +308,7 @@ CATALOG: dict[str, Dataset] = {d.name: d for d in (
     _csi("mamimo_csi", aliases=("mamimo",), width=6656, marks=("csi", "h_")),
     _csi("dichasus", width=2048, marks=("csi", "h_"), only={"scenario": "scenario"}),
     _csi("espargos", width=512),
-    _csi("csi2pos"),
+    _csi("csi2pos", places=("", "grid_")),
     _csi("csi2taoa", width=1024, marks=("csi", "taoa")),
     Dataset("deepmimo", "csi", _mimo, {"all": []}, ratio=0.8),
     _csi("mamimo_uav", marks=("csi", "h_"), only={"trajectory": "trajectory"}),

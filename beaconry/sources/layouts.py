@@ -8,17 +8,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shaping import usable, vocabulary
+from ..functions.signals import to_dense
+from ..operators.metrics import global_rank
+from ..operators.shaping import united, usable, vocabulary
+
+#: What row numbers of one file stay below, with as many as 2 ** 17 splits.
+FILE = 1 << 50
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Row numbers that rise with the place in a file; splits of a file are read in order."""
+    """Row numbers that rise with the place in a file; splits of one file are read in order."""
     return df.withColumn("src_idx", F.monotonically_increasing_id())
 
 
+def in_order(read: Callable[[str], DataFrame], paths: str | list[str]) -> DataFrame:
+    """The rows of all files, numbered file by file in the order of ``paths``; columns that a file lacks are null."""
+    paths = [paths] if isinstance(paths, str) else paths
+    return united(*(numbered(read(p)).withColumn("src_idx", F.col("src_idx") + F.lit(k * FILE)) for k, p in enumerate(paths)))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``df`` with its row numbers counted from 1 without gaps, so that rows of files of one length meet."""
+    return global_rank(df, ["src_idx"], "_row").withColumn("src_idx", F.col("_row")).drop("_row")
+
+
 def header_csv(spark: SparkSession, paths: str | list[str], separator: str = ",") -> DataFrame:
-    """A CSV file with a header; every cell is text until a layout casts it."""
-    return numbered(spark.read.option("header", True).option("sep", separator).csv(paths))
+    """CSV files with a header; every cell is text until a layout casts it."""
+    return in_order(spark.read.option("header", True).option("sep", separator).csv, paths)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def csv_columns(spark: SparkSession, path: str, separator: str = ",", skip: int = 0) -> DataFrame:
@@ -74,9 +96,9 @@ def positional_csv(spark: SparkSession, path: str, features: int, names: list[st
 def text_matrix(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of numbers between white space, of which the last three are x, y and floor; unreadable cells drop a line."""
     cells = F.transform(F.split(F.trim("value"), r"\s+"), lambda v: v.try_cast("double"))
-    rows = numbered(spark.read.text(paths)).withColumn("c", cells).where(~F.exists("c", lambda v: v.isNull()) & (F.size("c") > 3))
+    rows = in_order(lambda p: spark.read.text(p).withColumn("file", F.input_file_name()), paths).withColumn("c", cells).where(~F.exists("c", lambda v: v.isNull()) & (F.size("c") > 3))
     n = F.size("c")
-    return rows.select("src_idx", F.slice("c", F.lit(1), n - 3).alias("features"), F.get("c", n - 3).alias("x"), F.get("c", n - 2).alias("y"), F.get("c", n - 1).cast("int").alias("floor"), F.input_file_name().alias("file"))
+    return rows.select("src_idx", F.slice("c", F.lit(1), n - 3).alias("features"), F.get("c", n - 3).alias("x"), F.get("c", n - 2).alias("y"), F.get("c", n - 1).cast("int").alias("floor"), "file")
 
 
 def text_records(spark: SparkSession, path: str, least: int) -> DataFrame:
@@ -100,11 +122,10 @@ def readings(df: DataFrame, pairs: list[tuple[str, ...]]) -> DataFrame:
     return told.withColumn("readings", F.map_from_entries(F.transform("_r", lambda e: F.struct(e["id"], e["v"])))).drop("_r")
 
 
-def densified(df: DataFrame, fill: float) -> tuple[DataFrame, list[str]]:
-    """``features`` over all rows' sorted ids, and those ids: the transmitters of a site, a few thousand at most."""
-    words = vocabulary(df.select(F.explode(F.map_keys("readings")).alias("id"))).first()["vocabulary"]
-    known = F.array(*map(F.lit, words)) if words else F.expr("cast(array() as array<string>)")
-    return df.withColumn("features", F.transform(known, lambda k: F.coalesce(F.try_element_at("readings", k), F.lit(float(fill))))), words
+def densified(df: DataFrame, fill: float) -> DataFrame:
+    """``df`` with ``features`` over the sorted ids of all rows: the transmitters of a site, whose number is checked."""
+    known = vocabulary(df.select(F.explode(F.map_keys("readings")).alias("id"))).withColumnRenamed("vocabulary", "_known")
+    return df.crossJoin(F.broadcast(known)).withColumn("features", to_dense(F.col("readings"), F.col("_known"), fill)).drop("_known")  # one row
 
 
 def arrays_from_files(spark: SparkSession, path: str, opened: Callable[[bytes], dict]) -> DataFrame:

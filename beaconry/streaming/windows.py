@@ -54,14 +54,15 @@ def stream_steps(samples: DataFrame, threshold: float = 1.0, key: str = "user_id
     schema = f"{key} long, {order} long, {value} double"
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = list(state.get) if state.exists else []
-        held = [(before[i], before[i + 1]) for i in range(0, len(before), 2)]
+        n, *before = state.get if state.exists else (0,)
+        held = [(before[i], before[i + 1]) for i in range(0, 2 * n, 2)]
         for part in parts:
-            held += list(zip(part[order].astype(float), part[value], strict=True))
+            held += [(int(i), float(v)) for i, v in zip(part[order], part[value], strict=True)]
         held.sort()
-        out = [(k[0], int(b[0]), b[1]) for a, b, c in zip(held, held[1:], held[2:], strict=False) if b[1] > a[1] and b[1] > c[1] and b[1] - min(a[1], c[1]) > threshold]
-        tail = [x for pair in held[-2:] for x in pair] + [float("nan")] * (4 - 2 * len(held[-2:]))
-        state.update(tuple(tail if len(held) > 1 else [float("-inf"), float("inf"), *tail[:2]]))
+        out = [(k[0], *b) for a, b, c in zip(held, held[1:], held[2:], strict=False) if b[1] > a[1] and b[1] > c[1] and b[1] - min(a[1], c[1]) > threshold]
+        tail = held[-2:]
+        state.update((len(tail), *(x for pair in [*tail, (0, 0.0), (0, 0.0)][:2] for x in pair)))
         yield pd.DataFrame(out, columns=[key, order, value])
 
-    return samples.select(key, order, value).groupBy(key).applyInPandasWithState(run, schema, "a double, b double, c double, d double", "append", "NoTimeout")
+    known = samples.select(key, order, value).where(F.col(order).isNotNull() & F.col(value).isNotNull())
+    return known.groupBy(key).applyInPandasWithState(run, schema, "n int, i long, v double, j long, w double", "append", "NoTimeout")
