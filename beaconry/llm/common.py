@@ -180,17 +180,42 @@ def joined_by_key(rows: DataFrame, told: DataFrame, key: str, many: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
+#: Edges that one task may hold; above that, components are found in rounds over all tasks.
+ONE_TASK = 50_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` of a bounded number of edges, by merging sets."""
+    above: dict = {}
+
+    def top(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (p := top(u)) != (q := top(v)):
+                above[max(p, q)] = min(p, q)
+    if above:
+        yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(map(top, list(above)))], names=["node", "root"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of ``edges``: one row ``(node, root)`` for each node with an edge; the root is the least node.
 
-    Alternating large-star and small-star steps: each is an aggregate and a join over the edges. The hub of a large
-    component is a hot key, whose least neighbour is broadcast. Each round is written to the shared folder.
+    Up to ONE_TASK edges, by their count, are merged in one task. More take alternating large-star and small-star steps:
+    each is an aggregate and a join over the edges. The hub of a large component is a hot key, whose least neighbour is
+    broadcast. Each round is written to the shared folder.
     """
     flat = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     now = scratch.write(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    step, before = 0, None
+    step, before, n = 0, None, now.count()
+    if n <= ONE_TASK:
+        kind = dict(now.dtypes)["u"]
+        return scratch.write(now.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}"), f"{name}-1")
     while True:
-        total = 2 * (now.count() if before is None else before[0])
+        total = 2 * (n if before is None else before[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = joined_by_key(both, least, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -188,7 +188,7 @@ def _told(met: DataFrame, payloads: DataFrame, test, percent: int) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary()), "whole": pa.array([whole] * len(edges), pa.bool_())})
 
     grouped = met.join(payloads, "fp").select("key", "i", "j", "nb", "root", "payload").groupBy("key", "i", "j")
-    return grouped.applyInArrow(run, "a binary, b binary, whole boolean").distinct()
+    return grouped.applyInArrow(run, "a binary, b binary, whole boolean")
 
 
 def _blocks(n: str, size: str) -> Column:
