@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMA = "dataset string, method string, mean_error double, floor_accuracy double, building_accuracy double, year int, source string, is_sota boolean, ord int"
@@ -81,6 +82,28 @@ def compared(results: DataFrame, table: DataFrame) -> DataFrame:
     return counted.join(state_of_the_art(table), "dataset").withColumn("gap_to_sota", gap).withColumn("gap_to_sota_percent", F.when(F.col("sota_error") != 0, 100 * gap / F.col("sota_error")))
 
 
+def result_comparison(spark: SparkSession, results: DataFrame, dataset: str) -> DataFrame:
+    """A summary row beside a dataset's published results, best first; ours is marked. Without published results no rows.
+
+    Gaps are ours less theirs, in metres; equal errors rank by the order of publication, ours last.
+    """
+    theirs = published(spark, dataset).select("method", "mean_error", "floor_accuracy", "building_accuracy", "year", "source", "ord", F.lit(False).alias("ours"))
+    mine = results.select(F.lit("this run").alias("method"), *("mean_error", "floor_accuracy", "building_accuracy"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("source"), F.lit(1 << 30).alias("ord"), F.lit(True).alias("ours"))
+    known = theirs.agg(F.count("*").alias("_n"))
+    both = theirs.unionByName(mine).crossJoin(F.broadcast(known)).where("_n > 0")  # one number
+    own = F.max(F.when(F.col("ours"), F.col("mean_error"))).over(W.partitionBy("_n"))
+    place = F.row_number().over(W.partitionBy("_n").orderBy("mean_error", "ord"))  # a dataset's published results: a few rows
+    return both.withColumn("place", place).withColumn("gap", own - F.col("mean_error")).drop("ord", "_n").orderBy("place")
+
+
+def comparison_text(rows: list) -> str:
+    """A printable table of ``result_comparison``."""
+    number = lambda v, unit: f"{v:.2f} {unit}" if v is not None else "-"
+    head = f"{'':<4}{'method':<24}{'error':>10}{'floor':>10}{'building':>11}{'gap':>10}  source"
+    line = lambda r: f"{r['place']:<4}{('> ' if r['ours'] else '') + r['method']:<24}{number(r['mean_error'], 'm'):>10}{number(r['floor_accuracy'], '%'):>10}{number(r['building_accuracy'], '%'):>11}{number(r['gap'], 'm'):>10}  {r['source'] or ''}"
+    return "\n".join([head, *(line(r).rstrip() for r in rows)])
+
+
 def first_by_author(table: DataFrame) -> DataFrame:
     """One source per dataset and first author, the first listed."""
     author = F.lower(F.trim(F.get(F.split("source", ","), F.lit(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import with_truth
-from ..operators.knn import WKNNLocalizer, neighbours, regress, vote
+from ..operators.knn import WKNNLocalizer, neighbours, regress, vote, within
 from ..operators.metrics import with_error
 from .registry import query
 from .views import SPLIT, halves, rounded
@@ -87,16 +87,12 @@ def _(spark, sf_dir):
     return rounded(both.select("query_id", "pred_x", "pred_y", "position_uncertainty", "confidence", "pred_floor", "floor_confidence", "pred_building", "building_confidence", "error_2d"))
 
 
-@query("lsh_join")
+@query("similarity_join", f"""WITH {SPLIT}, pairs AS (SELECT a.sample_id AS query_id, b.sample_id AS reference_id, list_distance(a.unit, b.unit) AS d FROM test a, train b)
+SELECT query_id, reference_id, round(d, 6) AS distance FROM pairs WHERE d < 0.9""")
 def _(spark, sf_dir):
-    """Pairs of similar fingerprints by locality-sensitive hashing; approximate, so without SQL."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    train, test = (d.select("sample_id", array_to_vector("features").alias("v")) for d in halves(spark, sf_dir))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=4, seed=42).fit(train)
-    met = model.approxSimilarityJoin(test, train, 0.9, "distance")
-    return met.select(F.col("datasetA.sample_id").alias("query_id"), F.col("datasetB.sample_id").alias("reference_id"), "distance")
+    """All pairs of similar fingerprints."""
+    train, test = halves(spark, sf_dir)
+    return rounded(within(test, train, 0.9))
 
 
 @query("learned_heads")

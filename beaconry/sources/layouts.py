@@ -145,7 +145,20 @@ def arrays_from_files(spark: SparkSession, path: str, opened: Callable[[bytes],
                     rows.append((file, name, list(a.shape), flat.real.tolist(), flat.imag.tolist()))
                 yield pd.DataFrame(rows, columns=["file", "name", "shape", "re", "im"])
 
-    return files.mapInPandas(run, "file string, name string, shape array<int>, re array<double>, im array<double>")
+    return files.mapInPandas(run, ARRAYS)
+
+
+ARRAYS = "file string, name string, shape array<int>, re array<double>, im array<double>"
+
+
+def saved_arrays(arrays: DataFrame, path: str) -> None:
+    """Named arrays, as ``arrays_from_files`` gives them, as Parquet with gzip: a row for each, groups as names with a slash."""
+    arrays.write.mode("overwrite").option("compression", "gzip").parquet(path)
+
+
+def stored_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """What ``saved_arrays`` wrote."""
+    return spark.read.schema(ARRAYS).parquet(path)
 
 
 def hdf5_arrays(keys: tuple[str, ...] | None = None) -> Callable[[bytes], dict]:
