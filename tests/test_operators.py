@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beaconry.models import create_model, evaluate, with_truth
-from beaconry.operators import leaderboard, metrics, sequences, shaping
+from beaconry.operators import knn, leaderboard, metrics, sequences, shaping
 from beaconry.operators.knn import KNNLocalizer, WKNNLocalizer, neighbours
 from beaconry.operators.ranging import trilaterated
 
@@ -139,3 +139,24 @@ def test_leaderboard(spark):
     assert (r["beats_count"], r["ranking"], r["num_entries"]) == (6, 8, 14)
     own = leaderboard.registered(spark, board, "Mine", [("a", 1.0, None, None, 2020, "s", False)])
     assert own.where("dataset = 'mine'").count() == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+@pytest.mark.parametrize(("size", "scale"), [(7, 1.0), (1000, 1e6)])
+def test_neighbours_by_brute_force(spark, monkeypatch, metric, size, scale):
+    """Ties, equal vectors, far origins and blocks of few rows or bytes."""
+    monkeypatch.setattr(knn, "REFERENCES", size)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 40 * size)
+    r = np.random.default_rng(1)
+    q, t = (scale + r.integers(0, 4, (n, 3)).astype(float) for n in (12, 60))
+    q[0] = t[0] = 0
+    frame = lambda a: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(a)], "sample_id long, features array<double>")
+    got = {}
+    for x in knn.neighbours(frame(q), frame(t), 4, metric=metric).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["reference_id"], x["distance"]))
+    near = [(a["query_id"], a["reference_id"]) for a in knn.within(frame(q), frame(t), 1.5, metric=metric).collect()]
+    for k, one in enumerate(q):
+        d = knn.distances(one, t, metric, 2.0)
+        order = sorted(range(len(t)), key=lambda j: (d[j], j))[:4]
+        assert [(i, pytest.approx(x)) for _, i, x in sorted(got[k])] == [(j, d[j]) for j in order]
+        assert sorted(j for i, j in near if i == k) == np.flatnonzero(d < 1.5).tolist()
