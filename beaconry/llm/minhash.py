@@ -11,7 +11,8 @@
 A group, list or cluster, of more than a block meets one block of pivots first: each other block is compared with the pivots
 alone, so that costs as much as the group has members. Where all members then hang together, which near copies of one text
 do, nothing is left to tell. Else the members outside the group's largest part are dealt into blocks, which meet each other
-and the blocks of that part. At first a class enters only the list of its most frequent value among those it may enter; the
+and the blocks of that part: that is linear for a few of them, and quadratic in blocks for a group that neither links nor
+falls apart, such as a template with a third of its own in each text. At first a class enters only the list of its most frequent value among those it may enter; the
 other lists are opened only where their members don't hang together yet. Blocks are bounded in members and in bytes, no
 pairs are written, and what leaves a task grows with its members.
 
@@ -97,8 +98,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text
 def _lists(classes: DataFrame, scratch: Scratch, percent: int, exact: bool) -> DataFrame:
     """``value, fp, first`` for each inverted list that a class enters and that has another class; ``first`` marks its most frequent one."""
     held = F.expr("length(sketch) div 8") if exact else F.least(F.expr("length(sketch) div 8"), F.lit(LISTS))
-    long = classes.select("fp", held.cast("int").alias("s"), "sketch").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    long = long.select("fp", "s", F.expr("substring(sketch, at * 8 + 1, 8)").alias("value"))
+    values = F.expr("transform(sequence(0, s - 1), at -> substring(sketch, at * 8 + 1, 8))")  # an array, so that no row carries a whole sketch
+    long = classes.select("fp", held.cast("int").alias("s"), "sketch").select("fp", "s", F.explode(values).alias("value"))
     often = scratch.write(long.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "often")
     w = W.partitionBy("fp").orderBy(F.desc("df"), "value")
     need = F.greatest(F.expr(f"(s * {percent} + 99) div 100" if exact else f"s * {NEED} div {LISTS}"), F.lit(1))
@@ -256,7 +257,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, exact
     nothing and is kept. ``component_id`` is the least ``doc_id`` of the component (nulls don't count; null if all are
     null, and then the rows are kept). Rows that repeat a ``doc_id`` are judged each by its text; those that hold the
     component's least id are all kept. Texts of any length count whole. An empty table gives an empty result. Other
-    columns of ``docs`` are not read. ``exact`` spares the chance named above at the price of whole sets for sketches.
+    columns of ``docs`` are not read. ``exact`` spares the chance named above at the price of whole sets for sketches, which
+    travel once for each list that is opened: it is meant for texts of some thousand words.
     """
     return _decided(docs, width, percent, id_col, text_col, exact).drop("mark")
 
