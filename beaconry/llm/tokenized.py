@@ -49,8 +49,10 @@ class Encoder:
         self.space = self.alphabet[0x20]
         self.known: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
         width = self.dtype.itemsize
         self.each = [k.to_bytes(width, "little") for k in range(max(self.all.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
+        self.newline = self._piece("\n") if self.plain else b""
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -79,6 +81,9 @@ class Encoder:
 
     def _behind(self, rest: str) -> bytes:
         """The stretch of a space and ``rest``, which wasn't remembered."""
+        if "\n" in rest and len(lines := rest.split("\n")) == len(rest.split()):  # single line breaks between words are pieces
+            word, *lines = lines
+            return (self.after.get(word) or self._behind(word)) + b"".join([self.newline + (self.lines.get(x) or self._line(x)) for x in lines])
         plain, head = rest.isalpha(), rest[:-1]
         if plain and rest.isascii():
             found = self._cut(self.space + rest)
@@ -92,6 +97,13 @@ class Encoder:
             self.after[rest] = found
         return found
 
+    def _line(self, text: str) -> bytes:
+        """The stretch between a line break and a space, or the next line break."""
+        found = self._stretch(text)
+        if len(self.lines) < REMEMBERED and len(text) < LONG:
+            self.lines[text] = found
+        return found
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
