@@ -101,9 +101,13 @@ class Scratch:
 
 
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:
-    """What ``make`` returns, made once in a Python worker's process and found again by its later tasks."""
+    """What ``make`` returns, made once in a Python worker's process and found again by its later tasks.
+
+    A worker keeps one thing, the last that was asked for, so what one operator remembers makes room for the next one's.
+    """
     held = vars(sys.modules.setdefault("_beaconry_worker", types.ModuleType("_beaconry_worker"))).setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 

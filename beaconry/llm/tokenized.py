@@ -14,8 +14,8 @@ import numpy as np
 
 #: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
 REMEMBERED, LONG = 800_000, 64
-#: Marks that often end a word.
-ENDS = frozenset(".,;:!?)\"")
+#: Marks that often end a word, and what stands before them then.
+ENDS, ALNUM = ".,;:!?)\"", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: The pattern by which a byte-level BPE of this family cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +52,8 @@ class Encoder:
         self.lines: dict[str, bytes] = {}
         width = self.dtype.itemsize
         self.each = [k.to_bytes(width, "little") for k in range(max(self.all.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
+        self.after[""] = self._piece(" ") if self.plain else b""  # a space at the end of a text
+        self.marks = {c: self._piece(c) for c in ENDS} if self.plain else {}
         self.newline = self._piece("\n") if self.plain else b""
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -81,14 +83,14 @@ class Encoder:
 
     def _behind(self, rest: str) -> bytes:
         """The stretch of a space and ``rest``, which wasn't remembered."""
-        if "\n" in rest and len(lines := rest.split("\n")) == len(rest.split()):  # single line breaks between words are pieces
+        if "\n" in rest and (lines := rest.split("\n")) == rest.split():  # single line breaks between words are pieces
             word, *lines = lines
             return (self.after.get(word) or self._behind(word)) + b"".join([self.newline + (self.lines.get(x) or self._line(x)) for x in lines])
         plain, head = rest.isalpha(), rest[:-1]
         if plain and rest.isascii():
             found = self._cut(self.space + rest)
-        elif rest[-1:] in ENDS and head.isascii() and head.isalpha():  # the pattern cuts before the mark
-            found = (self.after.get(head) or self._behind(head)) + self._piece(rest[-1])
+        elif rest[-1] in self.marks and rest[-2:-1] in ALNUM and "\n" not in rest:
+            return (self.after.get(head) or self._behind(head)) + self.marks[rest[-1]]
         elif plain and not self.far(rest):
             return self._piece(f" {rest}")
         else:
@@ -110,9 +112,14 @@ class Encoder:
         if not self.plain or any(x in text for x in self.special) or any(x in text for x in (self.awkward_ascii if text.isascii() else self.awkward)):
             return self._packed(self.all.encode(text, add_special_tokens=False).ids)
         head, *rest = text.split(" ")
-        found = list(map(self.after.get, rest))
-        k = -1
+        after, marks, k = self.after, self.marks, -1
+        found = list(map(after.get, rest))
         for _ in range(found.count(None)):
             k = found.index(None, k + 1)
-            found[k] = self._behind(rest[k])
+            word = rest[k]
+            # the pattern cuts between a letter or digit and a mark, so a marked word isn't remembered beside the bare one
+            if (mark := marks.get(word[-1])) and word[-2:-1] in ALNUM and (ids := after.get(word[:-1])):
+                found[k] = ids + mark
+            else:
+                found[k] = self._behind(word)
         return (self._stretch(head) if head else b"") + b"".join(found)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -46,6 +47,17 @@ def test_many_rare_ids():
     assert freq.sum() == 1 << bits and freq.min() == 1
 
 
+def test_line_breaks_and_marks(coder):
+    """Words joined by line breaks, odd white space beside them, marks behind letters, digits and other marks, often repeated."""
+    r = random.Random(1)
+    parts = ["a", "Zb", "é", "漢", "1", "½", " ", "  ", "\n", " \n", ",", ".", "'s", "'", "<|endoftext|>", "\t", "\u2028", "\xa0", "!?", "x)", "(", "\x1c", "²", "ʼ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(8000)] + ["", " ", "a ", "!?,\xa0\n\xa0\u2028(²'s", " !?,\xa0\n\xa0\u2028(²'s"]
+    for _ in range(2):
+        for text in texts:
+            want = np.array(coder[1].encode(text, add_special_tokens=False).ids, coder[0].dtype).tobytes()
+            assert coder[0].encode(text) == want, text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r 'sdtabé漢٣²1.,!-"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_ids_are_the_librarys(coder, text):
