@@ -104,5 +104,15 @@ def group_number(df: DataFrame, by: list[str], name: str = "group_id") -> DataFr
     return df.join(numbered, by)
 
 
+def as_json(df: DataFrame, name: str = "value") -> DataFrame:
+    """One text column: each row as JSON, nulls left out."""
+    return df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(name))
+
+
+def from_json(df: DataFrame, schema: str, name: str = "value") -> DataFrame:
+    """Rows of ``schema`` from a text column of JSON; fields that a text lacks are null, and a text that isn't JSON gives nulls."""
+    return df.select(F.from_json(name, schema).alias("_j")).select("_j.*")
+
+
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

@@ -17,6 +17,7 @@ from ..functions.geometry import polar
 from ..functions.signals import beacon_id
 from ..operators.shaping import by_position, first_matches, group_split, looked_up, random_split, row_split, united, usable
 from ..operators.sequences import first_seen
+from ..registry import TRANSFORMS
 from . import layouts as L
 
 Loader = Callable[["Dataset", SparkSession, str, str, dict], DataFrame]
@@ -344,7 +345,8 @@ def catalog_table(spark: SparkSession) -> DataFrame:
 def load_dataset(spark: SparkSession, name: str, root: str, split: str | None = None, **options):
     """The rows of one split ``train`` or ``test``, of both (``all``, one table), or a pair of tables (None).
 
-    ``options``: the dataset's filters, ``train_ratio``, ``feature_type``; ``required=True`` raises ValueError for no rows.
+    ``options``: the dataset's filters, ``train_ratio``, ``feature_type``; ``required=True`` raises ValueError for no rows;
+    ``transform`` is a function of a table, the name of one in the registry of transforms, or a list of these, in order.
     """
     spec = CATALOG[resolve(name)]
     if split is None:
@@ -356,4 +358,11 @@ def load_dataset(spark: SparkSession, name: str, root: str, split: str | None =
     out = named(parted(selected(spec.load(spec, spark, root, split, options), spec, options), spec, split, options))
     if options.get("required") and out.isEmpty():
         raise ValueError(f"{spec.name}: no rows are left")
-    return out
+    return transformed(out, options.get("transform"))
+
+
+def transformed(df: DataFrame, steps) -> DataFrame:
+    """``df`` through one or more functions of a table, given themselves, by name, or as settings with ``type``."""
+    for step in steps if isinstance(steps, (list, tuple)) else [steps] if steps else []:
+        df = step(df) if callable(step) else TRANSFORMS.build(step if isinstance(step, dict) else {"type": step}, df=df)
+    return df

@@ -148,3 +148,24 @@ def test_stream_ids_stay_exact(spark, tmp_path):
     run_ = stream_steps(stream).writeStream.format("memory").queryName("exact").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     run_.awaitTermination(120)
     assert sorted(r["event_id"] for r in spark.table("exact").collect()) == [big + 2, big + 8]
+
+
+def test_transforms(spark, tmp_path):
+    from beaconry.registry import TRANSFORMS
+
+    put(tmp_path, "rfid_data.csv", "x,y,floor\n1,2,3\n4,5,6\n")
+    TRANSFORMS.register("moved", force=True)(lambda df, by=1.0: df.withColumn("x", F.col("x") + by))
+    read = lambda t: sorted(r["x"] for r in load_dataset(spark, "rfid", str(tmp_path), "all", transform=t).collect())
+    assert read(None) == [1, 4] and read("moved") == [2, 5]
+    assert read([{"type": "moved", "by": 10.0}, lambda df: df.where("x > 12")]) == [14]
+    with pytest.raises(KeyError):
+        read("nothing")
+
+
+def test_rows_as_json(spark):
+    from beaconry.operators.shaping import as_json, from_json
+
+    df = spark.createDataFrame([(1, "a", [1.5, None], None), (2**60, None, None, True)], "id long, name string, v array<double>, b boolean")
+    text = as_json(df)
+    assert sorted(map(str, from_json(text, "id long, name string, v array<double>, b boolean").collect())) == sorted(map(str, df.collect()))
+    assert from_json(text.limit(0).unionByName(spark.createDataFrame([("no json",)], "value string")), "id long").first()["id"] is None
