@@ -152,17 +152,18 @@ def _tokens(docs: DataFrame, file: str, end_id: int, bounds: list[int], id_col:
     sent = docs.sparkSession.sparkContext.broadcast(file)  # a vocabulary: a few MB, whatever the corpus
     key = zlib.crc32(file.encode())
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept_in_worker(("encoder", key), lambda: Encoder(sent.value))
         end = np.array([end_id], coder.dtype).tobytes()
-
-        def rows(doc_id: int | None, text: str | None) -> Iterator[tuple]:
-            yield 0 if doc_id is None else bisect_right(bounds, doc_id), doc_id, coder.encode(text or "") + end
-
-        return rows
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                doc_ids, ids = part.column(0).to_pylist(), [x + end for x in coder.encode_all(part.column(1))]
+                parts = [0 if d is None else bisect_right(bounds, d) for d in doc_ids]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_rows(slim, "part int, doc_id long, ids binary", make, most=500)
+    return slim.mapInArrow(run, "part int, doc_id long, ids binary")
 
 
 def _packs(ordered: DataFrame, width: int) -> DataFrame:

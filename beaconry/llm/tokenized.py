@@ -9,11 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
 REMEMBERED, LONG = 800_000, 64
+#: Bytes of the texts whose words are looked up together.
+STRETCH = 8 << 20
 #: Marks that often end a word, and what stands before them then.
 ENDS, ALNUM = ".,;:!?)\"", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: The pattern by which a byte-level BPE of this family cuts text.
@@ -53,8 +58,8 @@ class Encoder:
         width = self.dtype.itemsize
         self.each = [k.to_bytes(width, "little") for k in range(max(self.all.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
         self.after[""] = self._piece(" ") if self.plain else b""  # a space at the end of a text
-        self.marks = {c: self._piece(c) for c in ENDS} if self.plain else {}
         self.newline = self._piece("\n") if self.plain else b""
+        self.marks = {c: self._piece(c) for c in ENDS} if self.plain else {}
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -109,17 +114,75 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.plain or any(x in text for x in self.special) or any(x in text for x in (self.awkward_ascii if text.isascii() else self.awkward)):
+        if self._whole(text):
             return self._packed(self.all.encode(text, add_special_tokens=False).ids)
         head, *rest = text.split(" ")
+        return (self._stretch(head) if head else b"") + b"".join(self._words(rest))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each behind a space."""
         after, marks, k = self.after, self.marks, -1
-        found = list(map(after.get, rest))
+        found = list(map(after.get, words))
         for _ in range(found.count(None)):
             k = found.index(None, k + 1)
-            word = rest[k]
+            word = words[k]
             # the pattern cuts between a letter or digit and a mark, so a marked word isn't remembered beside the bare one
             if (mark := marks.get(word[-1])) and word[-2:-1] in ALNUM and (ids := after.get(word[:-1])):
                 found[k] = ids + mark
             else:
                 found[k] = self._behind(word)
-        return (self._stretch(head) if head else b"") + b"".join(found)
+        return found
+
+    def _whole(self, text: str) -> bool:
+        """Whether a text goes to the library whole."""
+        return not self.plain or any(x in text for x in self.special) or any(x in text for x in (self.awkward_ascii if text.isascii() else self.awkward))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a string array, null as empty.
+
+        Arrow cuts texts of at most STRETCH bytes into words, each distinct one is looked up once, and its ids are gathered
+        where it stands. A text of more bytes than that is cut by itself.
+        """
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + STRETCH, "right")))
+            yield from self._stretch_of(texts.slice(at, end - at)) if int(ends[end - 1]) - before <= STRETCH else [self.encode(texts[at].as_py())]
+            at = end
+
+    def _stretch_of(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose words are looked up together; texts that must go to the library whole are left to ``encode``."""
+        lists = pc.split_pattern(texts, " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        words, first = lists.flatten(), edges[:-1] - edges[0]
+        behind = np.ones(len(words), bool)
+        behind[first] = False
+        heads = words.take(pa.array(first)).to_pylist()
+        coded = words.filter(pa.array(behind)).dictionary_encode()
+        kinds, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        many = np.concatenate([[0], np.cumsum(np.diff(edges) - 1)])  # words behind a space before each text
+
+        whole = np.zeros(len(texts), bool) | (not self.plain)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        odd = np.fromiter((not w or w[0].isspace() for w in kinds), bool, len(kinds))
+        if odd.any():
+            at = np.flatnonzero(odd[codes])
+            text = np.searchsorted(many, at, "right") - 1
+            blank = np.array([not w for w in kinds])[codes[at]]
+            whole[text[~(blank & (at + 1 == many[text + 1]))]] = True  # a single space may end a text
+            kinds = ["" if o else w for w, o in zip(kinds, odd.tolist(), strict=True)]
+
+        found = self._words(kinds)
+        flat, size = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        own = size[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        shift = (np.cumsum(size) - size)[codes] - ends[:-1]
+        ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(shift.astype(np.int32), own)]
+        cuts = ends[many].tolist()
+        out = [(self.lines.get(h) or self._line(h) if h else b"") + ids[a:z].tobytes() for h, a, z in zip(heads, cuts, cuts[1:], strict=False)]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self.encode(texts[k].as_py())
+        return out

@@ -3,12 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from beaconry.llm import rans
+from beaconry.llm import rans, tokenized
 from beaconry.llm.tokenized import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,15 +48,18 @@ def test_many_rare_ids():
     assert freq.sum() == 1 << bits and freq.min() == 1
 
 
-def test_line_breaks_and_marks(coder):
+def test_line_breaks_and_marks(coder, monkeypatch):
     """Words joined by line breaks, odd white space beside them, marks behind letters, digits and other marks, often repeated."""
     r = random.Random(1)
     parts = ["a", "Zb", "é", "漢", "1", "½", " ", "  ", "\n", " \n", ",", ".", "'s", "'", "<|endoftext|>", "\t", "\u2028", "\xa0", "!?", "x)", "(", "\x1c", "²", "ʼ"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(8000)] + ["", " ", "a ", "!?,\xa0\n\xa0\u2028(²'s", " !?,\xa0\n\xa0\u2028(²'s"]
+    want = [np.array(coder[1].encode(t, add_special_tokens=False).ids, coder[0].dtype).tobytes() for t in texts]
     for _ in range(2):
-        for text in texts:
-            want = np.array(coder[1].encode(text, add_special_tokens=False).ids, coder[0].dtype).tobytes()
-            assert coder[0].encode(text) == want, text
+        assert [coder[0].encode(t) for t in texts] == want
+        for most in (8 << 20, 200, 3):
+            monkeypatch.setattr(tokenized, "STRETCH", most)
+            assert list(coder[0].encode_all(pa.array([*texts, None]))) == [*want, b""]
+    assert list(coder[0].encode_all(pa.array([], pa.string()))) == []
 
 
 @settings(max_examples=300, deadline=None)
