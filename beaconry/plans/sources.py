@@ -48,7 +48,10 @@ def _texts() -> Column:
 
 
 SEEN = "len(list_filter(features, lambda e: e <> 100))::INT"
-seen = F.size(F.filter("features", lambda v: v != ABSENT))
+
+
+def seen() -> Column:
+    return F.size(F.filter("features", lambda v: v != ABSENT))
 
 
 def _positional(spark, sf_dir):
@@ -60,7 +63,7 @@ def _positional(spark, sf_dir):
 
 
 query("source_positional", f"WITH {FP} SELECT sample_id::INT AS id, x, y, floor::INT AS floor, building, 520 AS width, {SEEN} AS seen FROM fp WHERE sample_id % 17 <> 0")(
-    _read("uji", "train", _positional, lambda d: d.select(F.col("space_id").alias("id"), "x", "y", "floor", "building", F.size("features").alias("width"), seen.alias("seen"))))
+    _read("uji", "train", _positional, lambda d: d.select(F.col("space_id").alias("id"), "x", "y", "floor", "building", F.size("features").alias("width"), seen().alias("seen"))))
 
 SITES = {"CETC331/Training_CETC331.csv": 64, "HCXY/Training_HCXY_All_30.csv": 40, "SYL/Training_SYL_All_30.csv": 16}
 
@@ -75,7 +78,7 @@ def _sites(spark, sf_dir):
 
 query("source_sites", f"""WITH {FP}, s AS (SELECT *, list_transform(features, lambda e, i: CASE WHEN i > [64, 40, 16][sample_id % 3 + 1] THEN 100 ELSE e END) AS own FROM fp)
 SELECT sample_id::DOUBLE AS id, y, floor::INT AS floor, (sample_id % 3 + 1)::VARCHAR AS building, 64 AS width, len(list_filter(own, lambda e: e <> 100))::INT AS seen FROM s""")(
-    _read("sod", "train", _sites, lambda d: d.select(F.col("x").alias("id"), "y", "floor", "building", F.size("features").alias("width"), seen.alias("seen"))))
+    _read("sod", "train", _sites, lambda d: d.select(F.col("x").alias("id"), "y", "floor", "building", F.size("features").alias("width"), seen().alias("seen"))))
 
 
 def _matrix(spark, sf_dir):
@@ -127,11 +130,17 @@ def _floors(spark, sf_dir):
     return {f"floor{f}_train.csv": rows.where(F.col("x") % 5 == f) for f in range(5)}
 
 
-_keys = F.array_join(F.array_sort(F.map_keys("readings")), ",")
-_total = F.aggregate(F.map_values("readings"), F.lit(0.0), lambda a, v: a + v)
+def _keys() -> Column:
+    return F.array_join(F.array_sort(F.map_keys("readings")), ",")
+
+
+def _total() -> Column:
+    return F.aggregate(F.map_values("readings"), F.lit(0.0), lambda a, v: a + v)
+
+
 query("source_floor_files", """SELECT c_custkey::DOUBLE AS id, (c_custkey % 5)::INT AS floor, 'm' || (c_custkey % 7) || CASE WHEN c_custkey % 3 > 0 THEN ',n' || (c_custkey % 5) ELSE '' END AS ids,
   (-(c_custkey % 40) - CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 50 ELSE 0 END)::DOUBLE AS total FROM customer WHERE c_custkey % 5 IN (1, 4)""")(
-    _read("ble", "train", _floors, lambda d: d.select(F.col("x").alias("id"), "floor", _keys.alias("ids"), _total.alias("total")), floor=[1, 4]))
+    _read("ble", "train", _floors, lambda d: d.select(F.col("x").alias("id"), "floor", _keys().alias("ids"), _total().alias("total")), floor=[1, 4]))
 
 
 def _beacons(spark, sf_dir):
@@ -142,7 +151,7 @@ def _beacons(spark, sf_dir):
 
 query("source_locations", """SELECT x, y, floor, count(*)::INT AS n, sum(rssi)::DOUBLE AS total, min(id) AS first FROM (SELECT DISTINCT (l_suppkey % 20)::DOUBLE AS x, (l_partkey % 10)::DOUBLE AS y, (l_linenumber % 3)::INT AS floor,
   'u:' || (l_suppkey % 5) || ':' || l_linenumber AS id, -(30 + l_suppkey % 5 * 10 + l_linenumber) AS rssi FROM lineitem WHERE l_partkey % 10 > 0) GROUP BY 1, 2, 3""")(
-    _read("ibeacon", "train", _beacons, lambda d: d.select("x", "y", "floor", F.size("readings").alias("n"), _total.alias("total"), F.array_min(F.map_keys("readings")).alias("first"))))
+    _read("ibeacon", "train", _beacons, lambda d: d.select("x", "y", "floor", F.size("readings").alias("n"), _total().alias("total"), F.array_min(F.map_keys("readings")).alias("first"))))
 
 
 def _labelled(spark, sf_dir):
@@ -165,7 +174,7 @@ def _anchored(spark, sf_dir):
 query("source_anchors", """WITH a AS (SELECT o_orderkey AS k, o_custkey AS c, unnest([1, 2, 3]) AS j FROM orders), s AS (SELECT k, 'A' || j || (c % 6) AS id, c, j, k % 29 + j AS d FROM a WHERE c % (j + 2) > 0)
 SELECT k::DOUBLE AS id, (k % 4)::INT AS floor, count(*)::INT AS n, sum(d)::DOUBLE AS total, count(*) FILTER (j = 1 AND c % 6 IN (SELECT r_regionkey FROM region))::INT AS placed,
   coalesce(sum(10 * (c % 6)) FILTER (j = 1 AND c % 6 IN (SELECT r_regionkey FROM region)), 0)::DOUBLE AS places FROM s GROUP BY k""")(
-    _read("uwb", "train", _anchored, lambda d: d.select(F.col("x").alias("id"), "floor", F.size("readings").alias("n"), _total.alias("total"), F.size("positions").alias("placed"), F.aggregate(F.map_values("positions"), F.lit(0.0), lambda a, p: a + p["x"]).alias("places"))))
+    _read("uwb", "train", _anchored, lambda d: d.select(F.col("x").alias("id"), "floor", F.size("readings").alias("n"), _total().alias("total"), F.size("positions").alias("placed"), F.aggregate(F.map_values("positions"), F.lit(0.0), lambda a, p: a + p["x"]).alias("places"))))
 
 
 def _ranged(spark, sf_dir):
@@ -211,7 +220,7 @@ def _flights(spark, sf_dir):
 
 query("source_flights", """SELECT c_custkey::DOUBLE AS id, ((c_custkey % 2 > 0)::INT + (c_custkey % 3 > 0)::INT) AS n, ((c_custkey % 2 > 0)::INT + (c_custkey % 3 > 0)::INT) * (c_custkey % 100) / 64.0::DOUBLE AS total,
   (((c_custkey % 2 > 0)::INT + (c_custkey % 3 > 0)::INT) * (c_custkey % 20))::DOUBLE AS metres FROM customer WHERE c_custkey % 2 > 0 OR c_custkey % 3 > 0""")(
-    _read("ultrasound", "all", _flights, lambda d: d.select(F.col("x").alias("id"), F.size("readings").alias("n"), _total.alias("total"), F.aggregate(F.map_values("distances"), F.lit(0.0), lambda a, v: a + v).alias("metres"))))
+    _read("ultrasound", "all", _flights, lambda d: d.select(F.col("x").alias("id"), F.size("readings").alias("n"), _total().alias("total"), F.aggregate(F.map_values("distances"), F.lit(0.0), lambda a, v: a + v).alias("metres"))))
 
 query("source_places", "SELECT s_suppkey::DOUBLE AS id, (s_suppkey % 8)::DOUBLE AS y, (s_suppkey % 3)::INT AS floor FROM supplier")(
     _read("rfid", "all", lambda s, d: {"rfid_data.csv": table(s, d, "supplier").select(F.col("s_suppkey").alias("x"), (F.col("s_suppkey") % 8).alias("y"), (F.col("s_suppkey") % 3).alias("floor"))}, lambda d: d.select(F.col("x").alias("id"), "y", "floor")))
@@ -221,16 +230,19 @@ def _channel(file: str, *columns: tuple[str, Callable]) -> Callable[[SparkSessio
     return lambda s, d: {file: table(s, d, "orders").select(*(c(F.col("o_orderkey")).alias(n) for n, c in columns))}
 
 
-_three = [F.get("features", F.lit(k)).alias(f"f{k + 1}") for k in range(3)]
+def _three() -> list[Column]:
+    return [F.get("features", F.lit(k)).alias(f"f{k + 1}") for k in range(3)]
+
+
 query("source_channels", "SELECT o_orderkey::DOUBLE AS id, 'area' || (o_orderkey % 2) AS area, (o_orderkey % 5)::DOUBLE AS f1, (o_orderkey % 7)::DOUBLE AS f2, (o_orderkey % 9)::DOUBLE AS f3, 3 AS width FROM orders WHERE o_orderkey % 2 = 1")(
     _read("csi_fingerprint", "all", _channel("data.csv", ("x", lambda k: k), ("y", lambda k: k % 3), ("area", lambda k: F.concat(F.lit("area"), k % 2)), ("csi_amp_1", lambda k: k % 5), ("noise", lambda k: k % 6), ("CSI_2", lambda k: k % 7), ("amp_3", lambda k: k % 9)),
-          lambda d: d.select(F.col("x").alias("id"), "area", *_three, F.size("features").alias("width")), area="area1"))
+          lambda d: d.select(F.col("x").alias("id"), "area", *_three(), F.size("features").alias("width")), area="area1"))
 query("source_two_places", "SELECT o_orderkey::DOUBLE AS x, (o_orderkey % 6)::DOUBLE AS y, 90 AS width, 0.0::DOUBLE AS first FROM orders")(
     _read("hwild", "all", _channel("data.csv", ("x", lambda k: k * 0 - 1), ("y", lambda k: k * 0 - 1), ("uwb_coordinate_x", lambda k: k), ("uwb_coordinate_y", lambda k: k % 6), ("other", lambda k: k)),
           lambda d: d.select("x", "y", F.size("features").alias("width"), F.get("features", F.lit(0)).alias("first"))))
 query("source_grid", "SELECT o_orderkey::DOUBLE AS x, (o_orderkey % 6)::DOUBLE AS y, (o_orderkey % 5)::DOUBLE AS f1, (o_orderkey % 7)::DOUBLE AS f2, (o_orderkey % 9)::DOUBLE AS f3 FROM orders")(
     _read("csi2pos", "all", _channel("data.csv", ("grid_x", lambda k: k), ("grid_y", lambda k: k % 6), ("csi_1", lambda k: k % 5), ("per_csi", lambda k: k % 7), ("per_2", lambda k: k % 9)),
-          lambda d: d.select("x", "y", *_three), feature_type="both"))
+          lambda d: d.select("x", "y", *_three()), feature_type="both"))
 query("source_polar", "SELECT round((o_orderkey % 50) * cos(radians(o_orderkey % 360)), 6) + 0.0 AS x, round((o_orderkey % 50) * sin(radians(o_orderkey % 360)), 6) + 0.0 AS y, o_orderkey::DOUBLE AS f1 FROM orders")(
     _read("wifi_csi_d2d", "all", _channel("data.csv", ("distance", lambda k: k % 50), ("angle", lambda k: k % 360), ("csi_1", lambda k: k)),
           lambda d: d.select((F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"), F.get("features", F.lit(0)).alias("f1"))))
