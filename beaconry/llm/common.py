@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def valid_text(column: str) -> Column:
+    """Text for Python: bytes that aren't UTF-8 become U+FFFD, as a decoder that replaces them gives."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def as_bytes(column: str) -> Column:
     """Text as UTF-8 bytes, so that Arrow hands it to Python without decoding."""
     return F.col(column).cast("string").cast("binary")

@@ -16,6 +16,7 @@ from .ledger import ablations, ledger, quality_verdicts
 from .linedup import without_repeated_lines
 from .minhash import ORACLE as NEAR_SQL
 from .minhash import near_duplicates
+from .prefixbpe import bpe_digests
 from .pseudonyms import pseudonymised
 from .rans import token_ids
 from .rulefit import quality_scores
@@ -71,8 +72,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
-#: A public byte-level BPE vocabulary, read from its package.
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), RANKS)
+
+
+#: A public byte-level BPE vocabulary, read from its package, and the same as ranks.
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The key of the pseudonyms in the query; a user brings their own.
 KEY = b"an example key"
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op13_prefix_bpe": op13_prefix_bpe,
     "ledger_ablations": ledger_ablations,
 }
 

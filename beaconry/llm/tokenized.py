@@ -115,10 +115,14 @@ class Encoder:
         if not text:
             return b""
         if self._whole(text):
-            return self._packed(self.all.encode(text, add_special_tokens=False).ids)
+            return self._entire(text)
         head, *rest = text.split(" ")
         return (self._stretch(head) if head else b"") + b"".join(self._words(rest))
 
+    def _entire(self, text: str) -> bytes:
+        """Ids of a text that isn't cut at spaces."""
+        return self._packed(self.all.encode(text, add_special_tokens=False).ids)
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words, each behind a space."""
         after, marks, k = self.after, self.marks, -1
