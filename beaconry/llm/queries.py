@@ -19,6 +19,8 @@ from .minhash import near_duplicates
 from .prefixbpe import bpe_digests
 from .pseudonyms import pseudonymised
 from .rans import token_ids
+from .resampling import ORACLE as RESAMPLED_SQL
+from .resampling import resampled
 from .rulefit import quality_scores
 from .secrets import ORACLE as SECRETS_SQL
 from .secrets import secret_spans
@@ -72,6 +74,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), RANKS)
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_prefix_bpe": op13_prefix_bpe,
     "ledger_ablations": ledger_ablations,
 }
@@ -101,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "ledger_ablations": ABLATIONS_SQL,
     "op8_entropy_secrets": SECRETS_SQL,
     "op10_minhash_near_dedup": NEAR_SQL,
+    "op12_importance_resampling": RESAMPLED_SQL,
 }
