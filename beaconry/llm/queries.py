@@ -24,6 +24,8 @@ from .resampling import resampled
 from .rulefit import quality_scores
 from .secrets import ORACLE as SECRETS_SQL
 from .secrets import secret_spans
+from .spelling import ORACLE as SPELLING_SQL
+from .spelling import spelling_variants
 from .wordpiece import byte_level_pieces, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +76,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_entropy_secrets": op8_entropy_secrets,
     "op9_rans_token_ids": op9_rans_token_ids,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_prefix_bpe": op13_prefix_bpe,
     "ledger_ablations": ledger_ablations,
@@ -108,5 +115,6 @@ ORACLE_SQL: dict[str, str] = {
     "ledger_ablations": ABLATIONS_SQL,
     "op8_entropy_secrets": SECRETS_SQL,
     "op10_minhash_near_dedup": NEAR_SQL,
+    "op11_spelling_variants": SPELLING_SQL,
     "op12_importance_resampling": RESAMPLED_SQL,
 }
