@@ -14,7 +14,7 @@ import base64
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +26,9 @@ from .common import kept_in_worker, valid_text
 from .tokenized import ENDS, PATTERN, Encoder
 
 #: Pairs of tokens whose fit a Python worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
+#: Stretches, words and lines whose ids it remembers each, and rows that are decoded at a time.
+REMEMBERED, ROWS = 250_000, 500
 #: A character of each class of the pattern, which stands for one that Python's tables don't know.
 STAND_INS = {"letter": "a", "number": "1", "other": "$"}
 
@@ -36,17 +38,22 @@ def ranks_of(file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file.splitlines()) if token}
 
 
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens by rank."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class Merges:
     """A vocabulary as tables: each token's parts, and a trie of the tokens' bytes."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
-        self.ranks, size = ranks, max(ranks.values()) + 1
-        self.tokens: list[bytes] = [b""] * size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.size = size
+        self.ranks, self.tokens = ranks, tokens_of(ranks)
+        self.size = size = len(self.tokens)
         #: When a token is made: single bytes are there from the start, merges follow by rank.
         self.made = [0] * size
         self.left, self.right = list(range(size)), list(range(size))
@@ -138,13 +145,12 @@ class Merges:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.ids(self.last_tokens(piece))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 class PrefixEncoder(Encoder):
     """Ids of texts by ``Merges``; each distinct piece is encoded once, words are looked up as in ``Encoder``."""
 
+    most = REMEMBERED
+
     def __init__(self, file: bytes, pattern: str = PATTERN) -> None:
         """``file``: a rank file's bytes. ``pattern``: how texts are cut; only the default is looked up by words."""
         import regex
@@ -263,11 +269,11 @@ def rank_file(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def _coder(docs: DataFrame, ranks: str):
-    """A function that gives a worker's encoder; the vocabulary, a few MB whatever the corpus, is broadcast."""
+def _kept(docs: DataFrame, ranks: str, kind: str, make: Callable[[bytes], object]) -> Callable[[], object]:
+    """A function that gives what a worker made of the vocabulary's file, which is broadcast: a few MB whatever the corpus."""
     file = rank_file(ranks)
     sent, key = docs.sparkSession.sparkContext.broadcast(file), zlib.crc32(file)
-    return lambda: kept_in_worker(("prefix encoder", key), lambda: PrefixEncoder(sent.value))
+    return lambda: kept_in_worker((kind, key), lambda: make(sent.value))
 
 
 def bpe_ids(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +283,7 @@ def bpe_ids(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: st
     aren't UTF-8 are read as U+FFFD. Texts of any length are encoded whole. Every row counts by itself, so repeated rows
     give equal rows, and null ids stay null. An empty table gives an empty result. Other columns are not read.
     """
-    coder = _coder(docs, ranks)
+    coder = _kept(docs, ranks, "prefix encoder", PrefixEncoder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,13 +296,16 @@ def bpe_ids(docs: DataFrame, ranks: str, *, id_col: str = "doc_id", text_col: st
 
 def bpe_texts(encoded: DataFrame, ranks: str, *, ids_col: str = "ids") -> DataFrame:
     """The rows of ``encoded`` with ``decoded``, the bytes that ids of ``bpe_ids`` stand for; null ids give null bytes."""
-    coder = _coder(encoded, ranks)
+    tokens = _kept(encoded, ranks, "tokens", lambda file: tokens_of(ranks_of(file)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = tokens().__getitem__
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            texts = [coder().merges.decode(np.frombuffer(x.as_buffer(), "<u4").tolist()) if x.is_valid else None for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = part.column(part.schema.get_field_index(ids_col))
+                texts = [b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) if x.is_valid else None for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     if "decoded" in {c.lower() for c in encoded.columns}:
         raise ValueError("there is a column decoded already")
@@ -312,7 +321,7 @@ def re_encoded(docs: DataFrame, edits: DataFrame, ranks: str) -> DataFrame:
     changes kept and computed. Documents without edits are encoded as they are, edits of unknown documents and of null ids
     change nothing, and each row of a repeated id takes the edits. An edit outside its text is an error.
     """
-    coder = _coder(docs, ranks)
+    coder = _kept(docs, ranks, "prefix encoder", PrefixEncoder)
     told = F.struct("seq", "at", "removed", "inserted")
     listed = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(told)).alias("edits"))
 

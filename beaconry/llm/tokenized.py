@@ -35,6 +35,8 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Ids of texts, as little-endian bytes of ``dtype``."""
 
+    most = REMEMBERED
+
     def __init__(self, file: str) -> None:
         """``file``: the text of a tokenizers JSON file with a byte-level BPE."""
         import regex
@@ -76,7 +78,7 @@ class Encoder:
         if (found := memory.get(key)) is None:
             plain = spaced and key.isascii() and key.isalnum()
             found = self._cut(self.space + key if plain else piece.encode().decode("latin-1").translate(self.alphabet))
-            if len(memory) < REMEMBERED and len(key) < LONG:
+            if len(memory) < self.most and len(key) < LONG:
                 memory[key] = found
         return found
 
@@ -100,14 +102,14 @@ class Encoder:
             return self._piece(f" {rest}")
         else:
             found = self._stretch(f" {rest}")
-        if len(self.after) < REMEMBERED and len(rest) < LONG:
+        if len(self.after) < self.most and len(rest) < LONG:
             self.after[rest] = found
         return found
 
     def _line(self, text: str) -> bytes:
         """The stretch between a line break and a space, or the next line break."""
         found = self._stretch(text)
-        if len(self.lines) < REMEMBERED and len(text) < LONG:
+        if len(self.lines) < self.most and len(text) < LONG:
             self.lines[text] = found
         return found
 
