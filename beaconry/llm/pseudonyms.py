@@ -17,7 +17,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, kept_in_worker
+from .common import arrow_rows, kept_in_worker, valid_text
 
 KINDS = ("email", "date", "ip", "card", "iban", "ssn", "phone")
 ROUNDS = 8
@@ -25,7 +25,7 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 #: Values whose pseudonyms a Python worker remembers.
 REMEMBERED = 100_000
 
-EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}")
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:(?:[^\W_]|-){1,63}\.)+[^\W\d_]{2,24}")
 NUMBERS = re.compile(r"""
   (?P<date>(?<![\d.-])(?:(?:19|20)\d\d(?P<s1>[-/.])\d\d(?P=s1)\d\d|\d\d?(?P<s2>[-/.])\d\d?(?P=s2)(?:19|20)\d\d)(?![\d]|[-/.]\d))
 | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
@@ -42,6 +42,11 @@ IBAN_LENGTHS = {
     "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
     "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
+#: Country calling codes of one and two digits, as the public numbering plan lists them; all others have three.
+CALLING_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 _digit = re.compile(r"[0-9]").search
 
 
@@ -179,7 +184,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", found)
         if not 7 <= len(digits) <= 15:
             return None
-        country = len(re.match(r"\+?(\d{1,3})(?=[ .(-])|", found)[1] or "") if found[0] == "+" else 0
+        country = next((n for n in (1, 2) if digits[:n] in CALLING_CODES), 3) if found[0] == "+" else 0
         return _laid(found, digits[:country] + self._digits(digits[country:], f"phone/{digits[:country]}"))
 
     def _email(self, found: str) -> str | None:
@@ -237,7 +242,9 @@ class Pseudonyms:
 def pseudonymised(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, n_replaced`` and ``n_<kind>`` for each row of ``docs``; a text without valid values is unchanged.
 
-    A null text stays null and holds nothing. Values that fail their validation (Luhn digit, calendar, octets, mod 97)
+    A null text stays null and holds nothing; bytes that aren't UTF-8 come out as U+FFFD. An international phone number
+    keeps its calling code, and all spellings of its digits get the same digits. The domain of an e-mail address stays in
+    the clear, and its names are permuted within it; domains may have letters of any script. Values that fail their validation (Luhn digit, calendar, octets, mod 97)
     stay; so do digits of other scripts outside e-mail names, and e-mail names beyond 64 characters, which aren't valid.
     Where two kinds fit at one place the first of KINDS' patterns decides. Texts of any length are read whole. Repeated
     rows give equal rows. An empty table gives an empty result. Other columns are not read.
@@ -252,5 +259,5 @@ def pseudonymised(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_c
 
         return rows
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text"))
     return arrow_rows(slim, "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{k} long" for k in KINDS), make)

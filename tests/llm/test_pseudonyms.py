@@ -118,3 +118,24 @@ def test_against_brute_force():
             hits += 1
             assert (k, q) in valid_spans(q) and gone.setdefault((k, re.sub(r"\D", "", p) if k == "card" else p), re.sub(r"\D", "", q) if k == "card" else q) == (re.sub(r"\D", "", q) if k == "card" else q)
     assert hits > 500
+
+
+def test_spellings_of_one_phone_number_are_linked():
+    names = pseudonyms.Pseudonyms(b"k")
+    for code, rest in (("49", "301234567"), ("1", "2025550123"), ("421", "212345678"), ("7", "4951234567")):
+        shapes = [f"+{code}{rest}", f"+{code} {rest[:3]} {rest[3:6]} {rest[6:]}", f"+{code}-{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"+{code} ({rest[:3]}) {rest[3:6]}{rest[6:]}", f"+{code}.{rest[:3]}.{rest[3:6]}.{rest[6:]}"]
+        new = [names.rewritten(f"call {x} now")[0][5:-4] for x in shapes]
+        assert all(a != b for a, b in zip(new, shapes, strict=True)), new
+        digits = {"".join(c for c in x if c.isdigit()) for x in new}
+        assert len(digits) == 1 and digits.pop().startswith(code)
+        assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", x) for x in shapes]
+
+
+def test_domains_of_other_scripts():
+    text, counts = pseudonyms.Pseudonyms(b"k").rewritten("mail jo@exämple.com or anna@почта.рф")
+    assert counts["email"] == 2 and "@exämple.com" in text and "@почта.рф" in text and "jo@" not in text
+
+
+def test_bytes_that_are_not_utf8(spark):
+    row = pseudonyms.pseudonymised(spark.sql("select 1L doc_id, cast(x'ff20313932' as string) text"), b"k").first()
+    assert row["text"] == "� 192" and row["n_replaced"] == 0
