@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the space and the five control characters from tab to carriage return.
@@ -35,8 +36,8 @@ def valid_text(column: str) -> Column:
 
 
 def as_bytes(column: str) -> Column:
-    """Text as UTF-8 bytes, so that Arrow hands it to Python without decoding."""
-    return F.col(column).cast("string").cast("binary")
+    """Text as UTF-8 bytes, so that Arrow hands it to Python without decoding; bytes that aren't UTF-8 as in ``valid_text``."""
+    return valid_text(column).cast("binary")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -189,12 +190,15 @@ def joined_by_key(rows: DataFrame, told: DataFrame, key: str, many: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
-#: Edges that one task may hold; above that, components are found in rounds over all tasks.
-ONE_TASK = 50_000
+#: Edges that one task should get, and nodes that it holds before it tells what it has and begins anew.
+PER_TASK, HELD = 250_000, 500_000
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, root`` of a bounded number of edges, by merging sets."""
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` for each node of the edges, roots included: what these edges connect, by merging sets.
+
+    A bounded number of nodes is held at a time; nodes that are told again with another root connect the two.
+    """
     above: dict = {}
 
     def top(x):
@@ -202,41 +206,57 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             above[x] = x = above[y]
         return x
 
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(above), pa.array(map(top, list(above)))], names=["node", "root"])
+
     for batch in batches:
         for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (p := top(u)) != (q := top(v)):
                 above[max(p, q)] = min(p, q)
+        if len(above) > HELD:
+            yield told()
+            above.clear()
     if above:
-        yield pa.RecordBatch.from_arrays([pa.array(above), pa.array(map(top, list(above)))], names=["node", "root"])
+        yield told()
+
+
+def _dealt(edges: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """``n`` edges for tasks of about PER_TASK: each edge goes to both its ends, a node with more edges than that to several tasks."""
+    tasks = -(-2 * n // PER_TASK)
+    if tasks == 1:
+        return edges.coalesce(1)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    hubs = both.groupBy("u").agg(F.count("*").alias("_n")).where(F.col("_n") > PER_TASK)
+    hubs = scratch.write(hubs.select("u", F.expr(f"_n div {PER_TASK} + 1").alias("_salts")), f"{name}-hubs")
+    salted = both if hubs.isEmpty() else both.join(hubs, "u", "left")
+    salt = F.lit(0) if salted is both else F.coalesce(F.expr("pmod(xxhash64(v), _salts)"), F.lit(0))
+    return salted.withColumn("_salt", salt).repartition(tasks, "u", "_salt").select("u", "v")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of ``edges``: one row ``(node, root)`` for each node with an edge; the root is the least node.
 
-    Up to ONE_TASK edges, by their count, are merged in one task. More take alternating large-star and small-star steps:
-    each is an aggregate and a join over the edges. The hub of a large component is a hot key, whose least neighbour is
-    broadcast. Each round is written to the shared folder.
+    1. Each task connects the edges that it has and tells a root for each of its nodes, a star in place of any edges.
+    2. A node with roots of several tasks connects these, so the roots are the nodes of the next, smaller graph. A node
+       that is no root anywhere is done with: its least root stands for it.
+    3. The edges between roots are dealt anew, to both ends, until none is left; then roots are handed back level by level.
+
+    The first step shuffles no edge. A node has a row for each task that tells it, so none is a hot key, and tasks hold a
+    bounded number of nodes. Each level is written to the shared folder.
     """
-    flat = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    now = scratch.write(flat.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    step, before, n = 0, None, now.count()
-    if n <= ONE_TASK:
-        kind = dict(now.dtypes)["u"]
-        return scratch.write(now.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}"), f"{name}-1")
+    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    kind, levels = dict(now.dtypes)["u"], []
     while True:
-        total = 2 * (n if before is None else before[0])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined_by_key(both, least, "u", "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        near = joined_by_key(large, small, "u", "n", total)
-        after = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        step += 1
-        after = scratch.write(after, f"{name}-{step}")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}-{step - 1}")
-        if mark == before:
+        told = now.mapInArrow(_stars, f"node {kind}, root {kind}").withColumn("least", F.min("root").over(W.partitionBy("node")))
+        levels.append(scratch.write(told, f"{name}-{len(levels)}"))
+        between = levels[-1].where("root <> least").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct()
+        between = scratch.write(between, f"{name}-between-{len(levels)}")
+        if not (n := between.count()):
             break
-        now, before = after, mark
-    roots = after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        now = _dealt(between, n, scratch, f"{name}-{len(levels)}")
+    out = levels.pop().select("node", F.col("least").alias("root")).distinct()
+    while levels:
+        over = out.select(F.col("node").alias("least"), F.col("root").alias("over"))
+        out = levels.pop().select("node", "least").distinct().join(over, "least", "left").select("node", F.coalesce("over", "least").alias("root"))
+        out = scratch.write(out, f"{name}-told-{len(levels)}")
+    return out

@@ -84,7 +84,7 @@ def measures(text: bytes | None) -> tuple[int, ...]:
 def ledger(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, MEASURES and ``failed_bits`` for each row of ``docs``.
 
-    Null and empty texts have no words and fail ``few_words``; texts of any length are measured whole. A measure that
+    Null and empty texts have no words and fail ``few_words``; bytes that aren't UTF-8 count as U+FFFD; texts of any length are measured whole. A measure that
     equals a rule's limit passes it. Every row counts by itself, so repeated rows give repeated rows. An empty table gives
     an empty ledger. Other columns are not read.
     """

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, marked, window_hashes, without_rows, words_of
+from .common import Scratch, WordHashes, arrow_rows, as_bytes, components, kept_in_worker, marked, unused, window_hashes, without_rows, words_of
 
 #: Values of a sketch, values that open inverted lists, list values that a pair must share, members and bytes of a block.
 KEPT, LISTS, NEED, BLOCK, BLOCK_BYTES = 64, 32, 16, 512, 16 << 20
@@ -260,14 +260,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, exact
     columns of ``docs`` are not read. ``exact`` spares the chance named above at the price of whole sets for sketches, which
     travel once for each list that is opened: it is meant for texts of some thousand words.
     """
-    return _decided(docs, width, percent, id_col, text_col, exact).drop("mark")
+    return _decided(docs, width, percent, id_col, text_col, exact).drop("mark", "first")
 
 
 def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """What ``near_duplicates`` tells, with the ``mark`` of each row's text."""
+    """What ``near_duplicates`` tells, with the ``mark`` of each row's text and the least one, ``first``, of its component (null without words)."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.write(sketches(docs, width, id_col, text_col, None if exact else KEPT), "rows")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes, "classes")
     rows = scratch.write(rows.select("doc_id", "mark", "n_shingles", "fp"), "slim")
     scratch.drop("rows")
@@ -281,12 +281,12 @@ def _decided(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
     scratch.drop("lists")
     roots = loose if exact else _linked(docs, classes, loose, width, percent, id_col, text_col, scratch)
 
-    told = classes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    told = classes.select("fp", "rep", "mark").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "mark", F.coalesce("root", "fp").alias("root"))
     told = scratch.write(told, "told")
-    least = scratch.write(told.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    known = scratch.write(told.join(least, "root").select("fp", "component_id"), "known")
+    least = scratch.write(told.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("mark").alias("first")), "least")
+    known = scratch.write(told.join(least, "root").select("fp", "component_id", "first"), "known")
     scratch.drop("classes", "told", "least", *(f"{a}-{b}" for a in ("loose", "links") for b in ("sizes", "edges", "rooted", "apart", "whole")))
-    out = rows.join(known, "fp", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.join(known, "fp", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -303,10 +303,16 @@ def _linked(docs: DataFrame, classes: DataFrame, loose: DataFrame, width: int, p
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that another row of their component stands for.
 
-    Rows that share an id are judged each by its text; odd rows as in ``near_duplicates``.
+    Rows that share an id are judged each by its text; odd rows as in ``near_duplicates``. Of a component without any id one
+    row stays, of the text with the least hash; texts without words all stay.
     """
     decided = _decided(docs.select("doc_id", "text"), width, percent)
-    return without_rows(docs, decided.where("not kept").select("doc_id", "mark"))
+    again = ~F.col("kept") | (F.col("component_id").isNull() & (F.col("mark") != F.col("first")))
+    rest = without_rows(docs, decided.where(again).select("doc_id", "mark"))
+    # copies without ids are alike in all that tells rows apart; the scan for them skips groups of rows that all have ids
+    alike, name = docs["doc_id"].isNull() & docs["text"].rlike(r"[^\x20\x09-\x0D]"), unused(docs, "_mark")
+    one = rest.where(alike).withColumn(name, F.xxhash64(F.col("text").cast("string"))).dropDuplicates([name]).drop(name)
+    return rest.where(~F.coalesce(alike, F.lit(False))).unionByName(one)
 
 
 #: DuckDB SQL for near_duplicates with four-word shingles: all pairs that share a shingle, and what links reach.

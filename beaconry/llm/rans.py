@@ -14,7 +14,9 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, arrow_rows, kept_in_worker
+from .common import Scratch, arrow_rows, kept_in_worker, valid_text
 from .tokenized import Encoder
 
 #: Ids of a block (a longer document has a block of its own), lanes, steps between checkpoints.
@@ -148,21 +150,38 @@ def tokenizer_file(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def _tokens(docs: DataFrame, file: str, end_id: int, bounds: list[int], id_col: str, text_col: str) -> DataFrame:
+class Parts:
+    """Ranges of ids, one part each; an id that fills several parts by itself, and nulls, which come first, are dealt to as many."""
+
+    def __init__(self, cuts: list[int], nulls: int, n: int, parts: int) -> None:
+        """``cuts``: the ids at ``parts - 1`` even steps of ``n`` rows, repeated where one id spans steps."""
+        often = Counter(cuts)
+        self.bounds = sorted({*often, *(v + 1 for v, c in often.items() if c > 1)})
+        widths = [max(1, -(-nulls * parts // max(1, n))), 1, *(max(1, often[v]) for v in self.bounds)]
+        self.first = [sum(widths[:k]) for k in range(len(widths) + 1)]
+        self.count = self.first[-1]
+
+    def of(self, doc_id: int | None, turn: int) -> int:
+        """The part of a row; ``turn`` deals rows of one id."""
+        k = 0 if doc_id is None else 1 + bisect_right(self.bounds, doc_id)
+        return self.first[k] + turn % (self.first[k + 1] - self.first[k])
+
+
+def _tokens(docs: DataFrame, file: str, end_id: int, ranges: Parts, id_col: str, text_col: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(file)  # a vocabulary: a few MB, whatever the corpus
     key = zlib.crc32(file.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = kept_in_worker(("encoder", key), lambda: Encoder(sent.value))
-        end = np.array([end_id], coder.dtype).tobytes()
+        end, turn = np.array([end_id], coder.dtype).tobytes(), count()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 doc_ids, ids = part.column(0).to_pylist(), [x + end for x in coder.encode_all(part.column(1))]
-                parts = [0 if d is None else bisect_right(bounds, d) for d in doc_ids]
+                parts = [ranges.of(d, next(turn)) for d in doc_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text"))
     return slim.mapInArrow(run, "part int, doc_id long, ids binary")
 
 
@@ -211,8 +230,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int |
     """Encode every text (null: empty), append ``end_id``, and write the ids in ascending ``doc_id`` order to ``path``.
 
     ``tokenizer`` is the path of a tokenizers JSON file on the driver. Null ids come first. Rows that repeat a ``doc_id``
-    stay apart, in the order of their ids' bytes, so equal input gives equal files. An empty table gives an empty table of
-    blocks. Other columns are not read.
+    stay apart, in the order of their ids' bytes within a part; an id, or null, that holds more rows than a part should is
+    dealt to several in turn. Bytes that aren't UTF-8 are read as U+FFFD. An empty table gives an empty table of blocks.
+    Other columns are not read.
     """
     spark = docs.sparkSession
     scratch, file = Scratch(spark, "token-ids"), tokenizer_file(tokenizer)
@@ -220,10 +240,11 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int |
     width, dtype = coder.dtype.itemsize, coder.dtype.str
     vocab = max(coder.all.get_vocab_size(), (end_id or 0) + 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("q")).first()["q"]
-    bounds = sorted(set(cuts or []))
-    tokens = _tokens(docs, file, end_id, bounds, id_col, text_col) if end_id is not None else _tokens(docs, file, 0, bounds, id_col, text_col).withColumn("ids", F.expr(f"substring(ids, 1, length(ids) - {width})"))
-    ordered = tokens.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "ids")
+    ids = F.col(id_col).cast("long")
+    told = docs.select(F.percentile_approx(ids, [k / parts for k in range(1, parts)] or [0.5], 100 * parts).alias("cuts"), F.count_if(ids.isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    ranges = Parts(told["cuts"] or [], told["nulls"], told["n"], parts)
+    tokens = _tokens(docs, file, end_id, ranges, id_col, text_col) if end_id is not None else _tokens(docs, file, 0, ranges, id_col, text_col).withColumn("ids", F.expr(f"substring(ids, 1, length(ids) - {width})"))
+    ordered = tokens.repartitionById(ranges.count, "part").sortWithinPartitions("part", "doc_id", "ids")
     packs = scratch.write(_packs(ordered, width), "packs")
     freq, bits = quantised(_counts(packs, dtype, vocab))
     seen = np.flatnonzero(freq)
@@ -286,8 +307,7 @@ def token_ids(docs: DataFrame, tokenizer: str, *, end_id: int | None = None) ->
     """Write ``docs`` in the file format to a folder among the shared ones, and describe each document from those files.
 
     Rows are those of ``read_token_ids``. Null texts are empty ones, and texts of any length are encoded whole, one longer
-    than a block in a block of its own. Null ids come first; rows that repeat an id stay apart, in the order of their ids'
-    bytes. An empty table gives an empty result. Other columns are not read.
+    than a block in a block of its own. Null ids and rows that repeat an id as in ``write_token_ids``. An empty table gives an empty result. Other columns are not read.
     """
     path = f"{Scratch(docs.sparkSession, 'rans').root}/out"
     write_token_ids(docs, path, tokenizer, end_id=end_id)
