@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,7 +104,11 @@ def comparison_text(rows: list) -> str:
     return "\n".join([head, *(line(r).rstrip() for r in rows)])
 
 
+def author() -> Column:
+    """The first author of a source, in lower case."""
+    return F.lower(F.trim(F.get(F.split("source", ","), F.lit(0))))
+
+
 def first_by_author(table: DataFrame) -> DataFrame:
     """One source per dataset and first author, the first listed."""
-    author = F.lower(F.trim(F.get(F.split("source", ","), F.lit(0))))
-    return table.groupBy("dataset", author.alias("author")).agg(F.min_by("source", "ord").alias("source"))
+    return table.groupBy("dataset", author().alias("author")).agg(F.min_by("source", "ord").alias("source"))

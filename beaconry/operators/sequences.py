@@ -68,3 +68,33 @@ def as_of(left: DataFrame, right: DataFrame, value: str, *, key: str, time: str,
     w = W.partitionBy(key).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     both = a.unionByName(b, allowMissingColumns=True)
     return both.withColumn(name, F.last("_value", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_value")
+
+
+def nearest_in_time(left: DataFrame, right: DataFrame, columns: tuple[str, ...], *, key: str, time: str, tolerance: float, gap: str = "gap", spans: int = 64) -> DataFrame:
+    """``left`` with ``columns`` of the ``right`` row of the same key whose ``time`` is nearest, and their ``gap`` in seconds.
+
+    Rows more than ``tolerance`` seconds away don't count, and then the columns are null. Of two equally near rows the
+    earlier one is taken, of rows at one time the least. ``time`` is in seconds. Rows of ``left`` with a null key or time
+    get nulls, those of ``right`` take no part.
+
+    Keys are cut into stretches of ``spans`` tolerances; a right row near an edge is also dealt to the next stretch, so each
+    stretch is joined by itself and a key that holds most rows is many tasks' work.
+    """
+    if tolerance < 0:
+        raise ValueError("the tolerance is below 0")
+    width = max(spans * tolerance, 1e-6)
+    stretch = lambda at: F.floor(at / F.lit(width))
+    struct = F.struct(*(F.col(c) for c in columns))
+    known = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, F.col(time).cast("double").alias("_at")).agg(F.min(struct).alias("_told"))
+    copies = known.withColumn("_s", F.explode(F.sequence(stretch(F.col("_at") - tolerance), stretch(F.col("_at") + tolerance))))
+    asked = left.withColumn("_at", F.col(time).cast("double")).withColumn("_s", stretch(F.col("_at"))).withColumn("_side", F.lit(1))
+    both = asked.unionByName(copies.select(key, "_at", "_s", F.lit(0).alias("_side"), F.struct(F.col("_at").alias("at"), F.col("_told").alias("told")).alias("_r")), allowMissingColumns=True)
+    near = W.partitionBy(key, "_s")
+    before = F.last("_r", ignorenulls=True).over(near.orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    after = F.last("_r", ignorenulls=True).over(near.orderBy(F.desc("_at"), "_side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = both.withColumn("_before", before).withColumn("_after", after).where("_side = 1")
+    back, ahead = F.col("_at") - F.col("_before.at"), F.col("_after.at") - F.col("_at")
+    best = F.when(back.isNotNull() & (ahead.isNull() | (back <= ahead)), F.col("_before")).otherwise(F.col("_after"))
+    out = ends.withColumn("_best", best).withColumn(gap, F.abs(F.col("_best.at") - F.col("_at"))).withColumn("_best", F.when(F.col(gap) <= tolerance, F.col("_best")))
+    named = {c: F.col("_best.told").getField(c) for c in columns} | {gap: F.when(F.col("_best").isNotNull(), F.col(gap))}
+    return out.withColumns(named).drop("_at", "_s", "_side", "_r", "_before", "_after", "_best")

@@ -99,9 +99,10 @@ def united(*parts: DataFrame) -> DataFrame:
 
 
 def group_number(df: DataFrame, by: list[str], name: str = "group_id") -> DataFrame:
-    """Groups numbered from 0 in order of their keys."""
-    numbered = global_rank(df.select(*by).distinct(), by, "_g").withColumn(name, F.col("_g") - 1).drop("_g")
-    return df.join(numbered, by)
+    """Groups numbered from 0 in order of their keys; null is a key like others and comes first."""
+    numbered = global_rank(df.select(*by).distinct(), by, "_g").select(*(F.col(c).alias(f"_{k}_key") for k, c in enumerate(by)), (F.col("_g") - 1).alias(name))
+    same = [df[c].eqNullSafe(numbered[f"_{k}_key"]) for k, c in enumerate(by)]
+    return df.join(numbered, same).select(*(df[c] for c in df.columns), name)
 
 
 def as_json(df: DataFrame, name: str = "value") -> DataFrame:

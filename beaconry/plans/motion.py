@@ -79,6 +79,17 @@ def _(spark, sf_dir):
     return rounded(Q.as_of(bought, views, "value", key="user_id", time="ts", name="viewed").select("event_id", "viewed"))
 
 
+@query("nearest_in_time", """WITH b AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t FROM events WHERE event_type = 'purchase'),
+v AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, min(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+p AS (SELECT event_id, value, abs(b.t - v.t) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(b.t - v.t), v.t) AS n FROM b JOIN v ON b.user_id = v.user_id AND abs(b.t - v.t) <= 7200)
+SELECT b.event_id, round(value, 6) AS viewed, round(gap, 6) AS gap FROM b LEFT JOIN p ON p.event_id = b.event_id AND n = 1""")
+def _(spark, sf_dir):
+    """The view nearest in time to each purchase, two hours before or after it at most."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").alias("viewed"), (F.expr("unix_micros(cast(ts as timestamp))") / 1_000_000.0).alias("t"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
+    return rounded(Q.nearest_in_time(bought, e.where("event_type = 'view'"), ("viewed",), key="user_id", time="t", tolerance=7200.0).select("event_id", "viewed", "gap"))
+
+
 @query("first_seen_index", "SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::INT AS place FROM events GROUP BY event_type")
 def _(spark, sf_dir):
     return Q.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")

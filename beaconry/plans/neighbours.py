@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..models import with_truth
+from ..operators.balls import BallIndex
 from ..operators.knn import WKNNLocalizer, neighbours, regress, vote, within
 from ..operators.metrics import with_error
+from ..operators.sparse import SparseIndex
 from .registry import query
-from .views import SPLIT, halves, rounded
+from .views import SCANS, SPLIT, halves, rounded, scans
 
 DISTANCES = {
     "euclidean": "sqrt(list_sum(list_transform(list_zip(q.unit, t.unit), lambda p: (p[1] - p[2]) ^ 2)))",
@@ -51,6 +53,24 @@ def _(spark, sf_dir):
     return rounded(neighbours(test, train, 5))
 
 
+@query("knn_ball_tree", f"{near('manhattan')} SELECT q AS query_id, t AS reference_id, round(d, 6) AS distance, rank::INT AS rank FROM nn")
+def _(spark, sf_dir):
+    """The same as meeting all blocks, from an index."""
+    train, test = halves(spark, sf_dir)
+    return rounded(BallIndex.built(train, metric="manhattan").neighbours(test, 5))
+
+
+@query("sparse_neighbours", f"""WITH {SCANS}, r AS (SELECT scan, ap, (rssi + 104)::DOUBLE AS w FROM long WHERE rssi > -104), n AS (SELECT scan, sum(w * w) AS s FROM r GROUP BY scan),
+dots AS (SELECT a.scan AS q, b.scan AS t, sum(a.w * b.w) AS p FROM r a JOIN r b USING (ap) WHERE a.scan % 20 = 0 GROUP BY 1, 2),
+d AS (SELECT a.scan AS q, b.scan AS t, sqrt(a.s + b.s - 2 * coalesce(p, 0)) AS d FROM n a JOIN n b ON a.scan % 20 = 0 LEFT JOIN dots ON q = a.scan AND t = b.scan)
+SELECT q AS query_id, t AS reference_id, round(d, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, t) AS rank FROM d) WHERE rank <= 5""")
+def _(spark, sf_dir):
+    """Scans nearest to every twentieth one, among all, from inverted lists of their transmitters; powers above -104 count."""
+    rows = scans(spark, sf_dir).withColumn("value", F.greatest(F.col("rssi") + 104, F.lit(0)).cast("double"))
+    index = SparseIndex(rows, id_col="scan", key="ap")
+    return rounded(index.neighbours(rows.where("scan % 20 = 0"), 5, id_col="scan", key="ap"))
+
+
 def _vote(spark, sf_dir, label, weights="distance"):
     train, test = halves(spark, sf_dir)
     return rounded(vote(neighbours(test, train, 5), train, label, weights=weights))

@@ -176,6 +176,14 @@ DATASETS = """SELECT * FROM (VALUES
   ('wifi_csi_d2d', 'csi')) AS t(name, signal)"""
 
 
-@query("catalog_list", DATASETS)
-def _(spark, sf_dir):
-    return catalog.catalog_table(spark).select("name", "signal")
+@query("catalog_list", f"""WITH {SCANS}, counts AS (SELECT 'wifi' AS signal, count(*) AS n FROM embeddings UNION ALL SELECT 'ble', count(DISTINCT scan) FROM long
+  UNION ALL SELECT 'magnetic', count(DISTINCT user_id) FROM events UNION ALL SELECT 'uwb', count(*) FROM orders)
+SELECT name, d.signal, n FROM ({DATASETS}) d LEFT JOIN counts USING (signal)""")
+def _(spark, sf_dir):
+    """The datasets, and how many samples of their kind of signal the views of the tables hold."""
+    kinds = {
+        "wifi": table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n")), "ble": scans(spark, sf_dir).agg(F.count_distinct("scan").alias("n")),
+        "magnetic": table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("n")), "uwb": table(spark, sf_dir, "orders").agg(F.count("*").alias("n")),
+    }
+    counts = P.united(*(df.withColumn("signal", F.lit(kind)) for kind, df in kinds.items()))
+    return catalog.catalog_table(spark).select("name", "signal").join(counts, "signal", "left").select("name", "signal", "n")

@@ -116,9 +116,12 @@ SOTA = "sota AS (SELECT dataset, arg_min(method, k) AS sota_method, arg_min(mean
 OURS = f"{PAIRS}, ours AS (SELECT dataset, round((SELECT avg(err) FROM e), 6) AS mean_error FROM (SELECT DISTINCT dataset FROM board))"
 
 
-@query("leaderboard_sota", f"WITH {BOARD}, {SOTA} SELECT * FROM sota")
+@query("leaderboard_sota", f"""WITH {BOARD}, {SOTA}, {PAIRS} SELECT dataset, sota_method, sota_error, count(*) AS n, sum((err < sota_error)::INT)::BIGINT AS n_better, gt_floor FROM e, sota GROUP BY ALL""")
 def _(spark, sf_dir):
-    return B.state_of_the_art(B.published(spark))
+    """How many predictions of each floor are nearer than the state of the art's mean."""
+    best = B.state_of_the_art(B.published(spark))
+    told = errors(spark, sf_dir).select("gt_floor", M.ERROR).crossJoin(F.broadcast(best))  # a row for each dataset
+    return told.groupBy("dataset", "sota_method", "sota_error", "gt_floor").agg(F.count("*").alias("n"), F.sum((F.col(M.ERROR) < F.col("sota_error")).cast("int")).alias("n_better"))
 
 
 @query("leaderboard_rank", f"""WITH {BOARD}, {SOTA}, {OURS}
@@ -132,18 +135,38 @@ def _(spark, sf_dir):
     return rounded(B.compared(ours, board))
 
 
-@query("leaderboard_sorted", f"WITH {BOARD} SELECT dataset, method, mean_error::DOUBLE AS mean_error, row_number() OVER (PARTITION BY dataset ORDER BY mean_error, ord)::INT AS place FROM board")
+#: Our mean error of each floor.
+FLOORS = f"{PAIRS}, floors AS (SELECT gt_floor, round(avg(err), 6) AS ours FROM e GROUP BY gt_floor)"
+
+
+def floors(spark, sf_dir):
+    return errors(spark, sf_dir).groupBy("gt_floor").agg(F.round(F.avg(M.ERROR), 6).alias("ours"))
+
+
+@query("leaderboard_sorted", f"""WITH {BOARD}, {FLOORS}, placed AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mean_error, ord) AS place FROM board)
+SELECT gt_floor, ours, dataset, (1 + count(*) FILTER (mean_error <= ours))::INT AS place, max(place) FILTER (mean_error <= ours)::INT AS behind FROM floors, placed GROUP BY ALL""")
 def _(spark, sf_dir):
+    """The place that each floor's mean error has in a dataset's sorted results, and the last place before it."""
     from pyspark.sql import Window as W
 
-    return B.published(spark).select("dataset", "method", "mean_error", F.row_number().over(W.partitionBy("dataset").orderBy("mean_error", "ord")).alias("place"))
+    board = B.published(spark).select("dataset", "mean_error", F.row_number().over(W.partitionBy("dataset").orderBy("mean_error", "ord")).alias("n"))
+    before = F.when(F.col("mean_error") <= F.col("ours"), F.col("n"))
+    both = floors(spark, sf_dir).crossJoin(F.broadcast(board))  # the published results
+    return both.groupBy("gt_floor", "ours", "dataset").agg((1 + F.count(before)).cast("int").alias("place"), F.max(before).alias("behind"))
 
 
-@query("leaderboard_lookup", f"WITH {BOARD} SELECT method, mean_error::DOUBLE AS mean_error, year FROM board WHERE dataset = 'ujindoorloc'")
+@query("leaderboard_lookup", f"WITH {BOARD}, {FLOORS} SELECT gt_floor, method, year, round(ours - mean_error, 6) AS gap FROM floors, board WHERE dataset = 'ujindoorloc'")
 def _(spark, sf_dir):
-    return B.published(spark, "UJI").select("method", "mean_error", "year")
+    """Each floor's mean error beside the results of one dataset, looked up by its alias."""
+    both = floors(spark, sf_dir).crossJoin(F.broadcast(B.published(spark, "UJI")))  # the published results
+    return rounded(both.select("gt_floor", "method", "year", (F.col("ours") - F.col("mean_error")).alias("gap")))
 
 
-@query("leaderboard_authors", f"WITH {BOARD} SELECT dataset, lower(trim(string_split(source, ',')[1])) AS author, arg_min(source, ord) AS source FROM board GROUP BY 1, 2")
+@query("leaderboard_authors", f"""WITH {BOARD}, {PAIRS}, authors AS (SELECT dataset, lower(trim(string_split(source, ',')[1])) AS author, arg_min(source, ord) AS source, min(mean_error)::DOUBLE AS best FROM board GROUP BY 1, 2)
+SELECT dataset, author, source, best, sum((err < best)::INT)::BIGINT AS n_better FROM authors, e GROUP BY ALL""")
 def _(spark, sf_dir):
-    return B.first_by_author(B.published(spark))
+    """How many predictions are nearer than the best mean that an author has published, with the author's first source."""
+    board = B.published(spark)
+    best = board.withColumn("author", B.author()).groupBy("dataset", "author").agg(F.min("mean_error").alias("best"))
+    told = errors(spark, sf_dir).select(M.ERROR).crossJoin(F.broadcast(B.first_by_author(board).join(best, ["dataset", "author"])))  # the published results
+    return told.groupBy("dataset", "author", "source", "best").agg(F.sum((F.col(M.ERROR) < F.col("best")).cast("int")).alias("n_better"))
