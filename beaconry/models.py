@@ -9,16 +9,34 @@ from pyspark.sql import functions as F
 
 from .operators.knn import KNNLocalizer, WKNNLocalizer
 from .operators.metrics import evaluated, results, same, with_error
+from .operators.network import NetworkLocalizer
 from .registry import LOCALIZERS
 
-for _name, _builder in (("knn", KNNLocalizer), ("KNNLocalizer", KNNLocalizer), ("wknn", WKNNLocalizer), ("WKNNLocalizer", WKNNLocalizer)):
+for _name, _builder in (("knn", KNNLocalizer), ("KNNLocalizer", KNNLocalizer), ("wknn", WKNNLocalizer), ("WKNNLocalizer", WKNNLocalizer), ("deep", NetworkLocalizer), ("DeepLocalizer", NetworkLocalizer)):
     LOCALIZERS.register(_name)(_builder)
+#: Fingerprints up to which ``auto`` takes neighbours; above, a network.
+FEW = 5000
 
 
-def create_model(name: str | dict = "auto", **options) -> KNNLocalizer:
-    """A locator by name or settings; ``auto`` is the weighted one."""
-    told = name if isinstance(name, dict) else {"type": "wknn" if name == "auto" else name}
-    return LOCALIZERS.build(told, **options)
+def create_model(name: str | dict = "auto", *, dataset: DataFrame | None = None, **options) -> KNNLocalizer | NetworkLocalizer:
+    """A locator by name or settings; ``auto`` is weighted neighbours up to FEW rows of ``dataset``, and a network above.
+
+    Without a ``dataset`` ``auto`` is weighted neighbours.
+    """
+    if name == "auto":
+        many = dataset is not None and dataset.limit(FEW + 1).count() > FEW
+        name = "deep" if many else "wknn"
+    return LOCALIZERS.build(name if isinstance(name, dict) else {"type": name}, **options)
+
+
+def labels(places: DataFrame) -> DataFrame:
+    """``sample_id, x, y, floor, building`` as numbers, for learners: an unknown floor or building is -1.
+
+    A building that isn't a whole number is an error, as it would be lost; ``StringIndexer`` numbers names.
+    """
+    number = F.col("building").try_cast("int")
+    checked = F.when(F.col("building").isNull(), -1).when(number.isNull(), F.raise_error(F.concat(F.lit("a building isn't a whole number: "), F.col("building").cast("string")))).otherwise(number)
+    return places.select("sample_id", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.coalesce(F.col("floor").cast("int"), F.lit(-1)).alias("floor"), checked.cast("int").alias("building"))
 
 
 def list_models() -> list[str]:
