@@ -36,8 +36,8 @@ def valid_text(column: str) -> Column:
 
 
 def as_bytes(column: str) -> Column:
-    """Text as UTF-8 bytes, so that Arrow hands it to Python without decoding; bytes that aren't UTF-8 as in ``valid_text``."""
-    return valid_text(column).cast("binary")
+    """Text as its bytes, so that Arrow hands it to Python without decoding."""
+    return F.col(column).cast("string").cast("binary")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, as_bytes, words_of
+from .common import arrow_rows, valid_text, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_shouted_words", "n_long_words")
 #: Words of a window whose recurrence counts as repetition.
@@ -95,7 +95,7 @@ def ledger(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "d
 
         return rows
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).cast("binary").alias("text"))
     return judged(arrow_rows(slim, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES), make), rules)
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, arrow_rows, kept_in_worker, valid_text
-from .tokenized import Encoder
+from .common import Scratch, arrow_rows, as_bytes, kept_in_worker
+from .tokenized import Encoder, as_text
 
 #: Ids of a block (a longer document has a block of its own), lanes, steps between checkpoints.
 BLOCK, LANES, STEPS = 1 << 19, 1024, 256
@@ -177,11 +177,11 @@ def _tokens(docs: DataFrame, file: str, end_id: int, ranges: Parts, id_col: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                doc_ids, ids = part.column(0).to_pylist(), [x + end for x in coder.encode_all(part.column(1))]
+                doc_ids, ids = part.column(0).to_pylist(), [x + end for x in coder.encode_all(as_text(part.column(1)))]
                 parts = [ranges.of(d, next(turn)) for d in doc_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), valid_text(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     return slim.mapInArrow(run, "part int, doc_id long, ids binary")
 
 

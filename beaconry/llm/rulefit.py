@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, unused
+from .common import unused, valid_text
 from .ledger import MEASURES, measures
 
 STATISTICS = (
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample:
     """An ensemble from at most ``sample`` labelled rows of ``docs`` that aren't held out; null labels and ids don't count."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y is not null")
     known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    told = docs.select(F.col("doc_id").cast("long").alias("_id"), as_bytes("text").alias("_t")).join(F.broadcast(known), "_id")
+    told = docs.select(F.col("doc_id").cast("long").alias("_id"), valid_text("text").cast("binary").alias("_t")).join(F.broadcast(known), "_id")
     rows = told.select("_id", "_y", text_statistics("_t").alias("s")).select("_id", "_y", "s.*").orderBy("_id", "_y").limit(2 * sample).toPandas()
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
 
@@ -189,11 +189,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     read.
     """
     model = train(docs, labels)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_statistics(as_bytes("text")).alias("s")).select("doc_id", model.score("s").alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_statistics(valid_text("text").cast("binary")).alias("s")).select("doc_id", model.score("s").alias("score"))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the classifier accepts; odd rows as in ``quality_scores``."""
     model, name = train(docs, labels), unused(docs, "_statistics")
-    return docs.withColumn(name, text_statistics(as_bytes("text"))).where(model.score(f"`{name}`") >= threshold).drop(name)
+    return docs.withColumn(name, text_statistics(valid_text("text").cast("binary"))).where(model.score(f"`{name}`") >= threshold).drop(name)

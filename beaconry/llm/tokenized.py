@@ -32,6 +32,14 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def as_text(texts: pa.Array) -> pa.Array:
+    """Bytes as text; those that aren't UTF-8 become U+FFFD."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
 class Encoder:
     """Ids of texts, as little-endian bytes of ``dtype``."""
 
