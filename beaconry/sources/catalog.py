@@ -19,6 +19,7 @@ from ..operators.shaping import by_position, first_matches, group_split, looked_
 from ..operators.sequences import first_seen
 from ..registry import TRANSFORMS
 from . import layouts as L
+from .mat import by_first, mat_slices, squeezed
 
 Loader = Callable[["Dataset", SparkSession, str, str, dict], DataFrame]
 #: The file of anchors' places, and the modulation of a light whose file tells none.
@@ -257,14 +258,29 @@ def _hybrid(spec, spark, root, split, options):
 
 
 def _mimo(spec, spark, root, split, options):
-    """Channels of MAT files: ``features`` are complex values, one row per user; scenarios are the files' names."""
+    """Channels of MAT files: ``features`` are complex values, one row per user; scenarios are the files' names.
+
+    Channels and places are arrays along users, or fields of a struct with an entry for each user, which then count alone. A
+    user without a place, or with fewer than two coordinates, is at 0.
+    """
     wanted = options.get("scenario")
     scenarios = wanted if isinstance(wanted, (list, tuple)) else [wanted] if wanted else ["*"]
-    arrays = united(*(L.arrays_from_files(spark, f"{root}/{s}.mat", L.mat_arrays()) for s in scenarios))
-    named_ = arrays.withColumn("what", F.when(F.lower("name").isin("channel", "channels", "h", "csi"), "h").when(F.lower("name").startswith("user"), "p"))
-    both = named_.where("what = 'h'").alias("h").join(named_.where("what = 'p'").alias("p"), F.col("h.file") == F.col("p.file"))
-    users = both.select(F.regexp_extract("h.file", r"([^/]+)\.mat$", 1).alias("scenario"), F.expr("cast(size(h.re) / h.shape[0] as int)").alias("w"), F.col("p.shape")[1].alias("d"), F.col("h.re").alias("re"), F.col("h.im").alias("im"), F.col("p.re").alias("at"), F.posexplode(F.sequence(F.lit(0), F.col("h.shape")[0] - 1)).alias("k", "i"))
-    return users.select((F.xxhash64("scenario") + F.col("i")).alias("src_idx"), F.expr("transform(sequence(i * w + 1, i * w + w), j -> struct(re[j - 1] as re, im[j - 1] as im))").alias("features"), F.expr("at[i * d]").alias("x"), F.expr("at[i * d + 1]").alias("y"), F.expr("if(d > 2, at[i * d + 2], 0D)").alias("z"), "scenario")
+    found, name = mat_slices(spark, [f"{root}/{s}.mat" for s in scenarios]), F.lower("name")
+    struct, field = name == "user", F.lower("field")
+    what = F.when((struct & (field == "channel")) | ((field == "") & name.isin("channel", "channels", "h", "csi")), "h")
+    what = what.when((struct & (field == "loc")) | ((field == "") & name.isin("user_loc", "user_locs", "locations", "loc", "pos", "position")), "p")
+    shape = F.when(struct, F.concat(F.array(F.lit(1)), "shape")).otherwise(squeezed(F.col("shape")))
+    rows = by_first(found.withColumn("_what", what).where("_what is not null").withColumn("shape", shape))
+    rows = rows.withColumn("what", F.when(F.lower("field").isin("channel") | name.isin("channel", "channels", "h", "csi"), "h").otherwise("p"))
+    rows = rows.withColumn("user", F.when(struct, F.col("index")).otherwise(F.col("i").cast("long")))
+    alone = rows.where(struct).select("file", "what").distinct()
+    rows = rows.where(struct).unionByName(rows.where(~struct).join(alone, ["file", "what"], "left_anti"))
+    told = rows.where("what = 'p'").select("file", "user", F.col("re").alias("place"))
+    both = rows.where("what = 'h'").join(told, ["file", "user"], "left")
+    values = F.zip_with("re", F.coalesce("im", F.array_repeat(F.lit(0.0), F.size("re"))), lambda a, b: F.struct(a.alias("re"), b.alias("im")))
+    at = lambda k, least: F.coalesce(F.when(F.size("place") >= least, F.get("place", F.lit(k))), F.lit(0.0))
+    scenario = F.regexp_extract("file", r"([^/]+)\.mat$", 1)
+    return both.select((F.xxhash64(scenario) + F.col("user")).alias("src_idx"), values.alias("features"), at(0, 2).alias("x"), at(1, 2).alias("y"), at(2, 3).alias("z"), scenario.alias("scenario"))
 
 
 def _two(train: str, test: str) -> dict[str, list[str]]:
