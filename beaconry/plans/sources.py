@@ -270,3 +270,70 @@ def _one_file(spark, sf_dir):
 
 query("source_modalities", """SELECT o_orderkey::DOUBLE AS id, (o_orderkey % 2)::INT AS floor, (o_orderkey % 50 + CASE WHEN o_orderkey % 3 > 0 THEN -(o_orderkey % 60) ELSE 100 END)::DOUBLE AS wifi, (o_orderkey % 5 + o_orderkey % 6 + o_orderkey % 7)::DOUBLE AS magnetic FROM orders""")(
     _read("wifi_magnetic", "all", _one_file, lambda d: d.select(F.col("x").alias("id"), "floor", *(F.aggregate(F.element_at("modalities", F.lit(m)), F.lit(0.0), lambda a, v: a + v).alias(m) for m in ("wifi", "magnetic")))))
+
+
+#: The channel datasets whose files have one column for each amplitude: the marker of an empty cell, and further columns.
+#: A dataset without a marker leaves the cell null.
+AMPLITUDES = {
+    "csi_indoor": (-80.0, "csi_measurements.csv"), "csu": (-100.0, "data.csv"), "opencsi": (None, "data.csv"), "csi_bench": (None, "data.csv"), "mamimo_csi": (None, "data.csv"),
+    "dichasus": (None, "data.csv"), "espargos": (None, "data.csv"), "csi2taoa": (None, "data.csv"), "mamimo_uav": (None, "data.csv"), "haloc": (None, "data.csv"), "wild_v2": (None, "data.csv"),
+}
+
+
+def _amplitudes(name: str, absent: float | None, file: str) -> None:
+    """A query of one dataset: places, the first two amplitudes, of which the second is empty in every third line, and the floor."""
+    hole = "NULL::DOUBLE" if absent is None else f"{absent}::DOUBLE"
+    floor = "(o_orderkey % 4)::INT" if name == "haloc" else "(o_orderkey % 6)::INT"
+    sql = f"""SELECT o_orderkey::DOUBLE AS x, (o_orderkey % 13)::DOUBLE AS y, (o_orderkey % 4)::DOUBLE AS z, {floor} AS floor, (o_orderkey % 17)::DOUBLE + 0.5 AS f1,
+  CASE WHEN o_orderkey % 3 = 0 THEN {hole} ELSE (-(o_orderkey % 19))::DOUBLE END AS f2 FROM orders WHERE {"o_orderkey % 6 = 2" if name == "csi_indoor" else "true"}"""
+    columns = (("x", lambda k: k), ("y", lambda k: k % 13), ("z", lambda k: k % 4), ("floor", lambda k: k % 6), ("csi_amp_1", lambda k: (k % 17) + 0.5), ("csi_amp_2", lambda k: F.when(k % 3 != 0, -(k % 19))))
+    # where all columns but the labels are features, z isn't one, and where the first ones are, they start with it
+    first = {"wild_v2": 0, "opencsi": 2}.get(name, 0)
+    options = {"floor": [2]} if name == "csi_indoor" else {}
+
+    def out(d: DataFrame) -> DataFrame:
+        cells = [F.get("features", F.lit(first + k)).alias(f"f{k + 1}") for k in range(2)]
+        return d.select("x", "y", "z", "floor", *cells)
+
+    query(f"source_{name}", sql)(_read(name, "all", _channel(file, *columns), out, **options))
+
+
+for _name, (_absent, _file) in AMPLITUDES.items():
+    _amplitudes(_name, _absent, _file)
+
+
+def _rss(spark, sf_dir):
+    f = fingerprints(spark, sf_dir)
+    return {"train_rss.csv": f.select(F.col("sample_id").alias("x"), "y", "floor", "building", *_cells("WAP{:03}", hidden=True))}
+
+
+query("source_rss", f"WITH {FP} SELECT sample_id::DOUBLE AS id, y, floor::INT AS floor, building, {SEEN} AS seen FROM fp WHERE floor IN (1, 3)")(
+    _read("rss_based", "train", _rss, lambda d: d.select(F.col("x").alias("id"), "y", "floor", "building", seen().alias("seen")), floor=[1, 3]))
+
+
+def _sum_of(modality: str) -> Column:
+    return F.aggregate(F.try_element_at("modalities", F.lit(modality)), F.lit(0.0), lambda a, v: a + v).alias(modality)
+
+
+def _three_files(spark, sf_dir):
+    """Files whose lines belong together by their place."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey").coalesce(1).sort("o_orderkey")
+    k = F.col("o_orderkey")
+    return {
+        "train_wifi.csv": o.select(k.alias("timestamp"), (k % 50).alias("wap1"), F.when(k % 2 > 0, k % 60).alias("wap2")),
+        "train_imu.csv": o.select(k.alias("timestamp"), (k % 7).alias("acc_x"), (k % 8).alias("acc_y"), (k % 9).alias("gyro_z")),
+        "train_labels.csv": o.select(k.alias("timestamp"), k.alias("x"), F.lit(1).alias("y"), (k % 2).alias("floor"), F.lit("b").alias("building")),
+    }
+
+
+query("source_by_place", "SELECT o_orderkey::DOUBLE AS id, (o_orderkey % 2)::INT AS floor, (o_orderkey % 50 + CASE WHEN o_orderkey % 2 > 0 THEN o_orderkey % 60 ELSE 100 END)::DOUBLE AS wifi, (o_orderkey % 7 + o_orderkey % 8 + o_orderkey % 9)::DOUBLE AS imu FROM orders")(
+    _read("wifi_imu", "train", _three_files, lambda d: d.select(F.col("x").alias("id"), "floor", _sum_of("wifi"), _sum_of("imu"))))
+
+
+def _many(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return {"train_data.csv": o.select(k.alias("x"), F.lit(1).alias("y"), (k % 2).alias("floor"), (k % 50).alias("wap1"), F.lit("m").alias("beacon1_mac"), F.when(k % 3 > 0, -(k % 60)).alias("beacon1_rssi"), (k % 5).alias("acc_x"), (k % 6).alias("acc_y"))}
+
+
+query("source_three_kinds", "SELECT o_orderkey::DOUBLE AS id, (o_orderkey % 2)::INT AS floor, (o_orderkey % 50)::DOUBLE AS wifi, CASE WHEN o_orderkey % 3 > 0 THEN -(o_orderkey % 60) ELSE -100 END::DOUBLE AS ble, (o_orderkey % 5 + o_orderkey % 6)::DOUBLE AS imu FROM orders")(
+    _read("multimodal", "train", _many, lambda d: d.select(F.col("x").alias("id"), "floor", _sum_of("wifi"), _sum_of("ble"), _sum_of("imu"))))
