@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_path
-from ..sources import load_dataset
+from ..sources import lines, load_dataset
 from .registry import query, table
 from .relational import paired
 from .views import FP, SCANS, fingerprints
@@ -337,3 +337,13 @@ def _many(spark, sf_dir):
 
 query("source_three_kinds", "SELECT o_orderkey::DOUBLE AS id, (o_orderkey % 2)::INT AS floor, (o_orderkey % 50)::DOUBLE AS wifi, CASE WHEN o_orderkey % 3 > 0 THEN -(o_orderkey % 60) ELSE -100 END::DOUBLE AS ble, (o_orderkey % 5 + o_orderkey % 6)::DOUBLE AS imu FROM orders")(
     _read("multimodal", "train", _many, lambda d: d.select(F.col("x").alias("id"), "floor", _sum_of("wifi"), _sum_of("ble"), _sum_of("imu"))))
+
+
+@query("source_lines", f"WITH {FP} SELECT sample_id::DOUBLE AS id, y, floor::INT AS floor, features[3] AS third, len(features)::INT AS width FROM fp WHERE floor = 2 AND y > 10")
+def _(spark, sf_dir):
+    """Text fingerprints through the data source, filters pushed down."""
+    path = shared_path(spark, "lines")
+    f = fingerprints(spark, sf_dir)
+    f.select(F.concat_ws(" ", F.concat_ws(" ", _texts()), F.col("sample_id").cast("string"), F.col("y").cast("string"), F.col("floor").cast("string")).alias("value")).write.text(path)
+    rows = spark.read.format(lines.register(spark)).load(path).where("floor = 2 and y > 10")
+    return rows.select(F.col("x").alias("id"), "y", "floor", F.get("features", F.lit(2)).alias("third"), F.size("features").alias("width"))
