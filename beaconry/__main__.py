@@ -33,7 +33,7 @@ def template(told: Config, out: str | None) -> dict:
     spec = dataset_info(told.get("dataset.type"))
     made = told.to_dict() | {"_notes": {
         "dataset.type": "a dataset's name or alias", "dataset.normalize_method": "minmax, positive or standard, as the signal allows",
-        "dataset.filters": f"values by column: {', '.join(spec['filters']) or 'none here'}", "model.type": "knn or wknn", "model.k": "neighbours", "metrics": "names of metrics",
+        "dataset.filters": f"values by column: {', '.join(spec['filters']) or 'none here'}", "model.type": "knn, wknn, deep or auto", "model.k": "neighbours", "metrics": "names of metrics",
     }}
     if out:
         with open(out, "w", encoding="utf-8") as f:
@@ -73,8 +73,7 @@ def run(args: argparse.Namespace) -> dict | list:
         return told.to_dict() | {"problems": told.problems()}
     from pyspark.sql import SparkSession
 
-    from .models import create_model, prediction_rows, with_truth
-    from .operators.knn import KNNLocalizer
+    from .models import create_model, load_model, prediction_rows, with_truth
     from .operators.leaderboard import comparison_text, result_comparison
     from .operators.metrics import results, summary
     from .operators.scaling import scaled_dataset
@@ -88,11 +87,11 @@ def run(args: argparse.Namespace) -> dict | list:
         signal, method = dataset_info(name)["signal"], told.get("dataset.normalize_method", "minmax")
         train, test = (scaled_dataset(d, signal, method) for d in (train, test))
     if args.task == "train":
-        model = create_model(told.to_dict()["model"]).fit(train)
+        model = create_model(told.to_dict()["model"], dataset=train).fit(train)
         if args.model:
             model.save(args.model)
     else:
-        model = KNNLocalizer.load(spark, args.model)
+        model = load_model(spark, args.model)
     both = with_truth(model.predict(test), test)
     if args.out:
         prediction_rows(both).write.mode("overwrite").option("header", True).csv(f"{args.out}/predictions")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.knn import KNNLocalizer, WKNNLocalizer
@@ -23,10 +23,15 @@ def create_model(name: str | dict = "auto", *, dataset: DataFrame | None = None,
 
     Without a ``dataset`` ``auto`` is weighted neighbours.
     """
-    if name == "auto":
-        many = dataset is not None and dataset.limit(FEW + 1).count() > FEW
-        name = "deep" if many else "wknn"
-    return LOCALIZERS.build(name if isinstance(name, dict) else {"type": name}, **options)
+    told = dict(name) if isinstance(name, dict) else {"type": name}
+    if told.get("type") == "auto":
+        told["type"] = "deep" if dataset is not None and dataset.limit(FEW + 1).count() > FEW else "wknn"
+    return LOCALIZERS.build(told, **options)
+
+
+def load_model(spark: SparkSession, path: str) -> KNNLocalizer | NetworkLocalizer:
+    """The locator of either kind that ``save`` left at ``path``."""
+    return (NetworkLocalizer if "hidden" in spark.read.json(f"{path}/parameters").columns else KNNLocalizer).load(spark, path)
 
 
 def labels(places: DataFrame) -> DataFrame:

@@ -177,20 +177,6 @@ def hdf5_arrays(keys: tuple[str, ...] | None = None) -> Callable[[bytes], dict]:
     return opened
 
 
-def mat_arrays(keys: tuple[str, ...] | None = None) -> Callable[[bytes], dict]:
-    """For ``arrays_from_files``: numeric variables of a MAT file, names with ``__`` in front left out; needs scipy."""
-
-    def opened(content: bytes) -> dict:
-        import io
-
-        import scipy.io
-
-        found = scipy.io.loadmat(io.BytesIO(content), squeeze_me=True, struct_as_record=False)
-        return {k: v for k, v in found.items() if not k.startswith("__") and (keys is None or k in keys) and getattr(v, "dtype", None) is not None and v.dtype.kind in "fiuc"}
-
-    return opened
-
-
 def npy_arrays() -> Callable[[bytes], dict]:
     """For ``arrays_from_files``: the arrays of an ``.npz`` file, or the one of an ``.npy`` file."""
 
@@ -209,4 +195,4 @@ def available() -> dict[str, bool]:
     """Which optional readers can run here."""
     from importlib.util import find_spec
 
-    return {name: find_spec(name) is not None for name in ("h5py", "scipy", "yaml")}
+    return {name: find_spec(name) is not None for name in ("h5py", "yaml")}

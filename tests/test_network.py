@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beaconry.models import create_model, evaluate, labels
+from beaconry.models import create_model, evaluate, labels, load_model
 from beaconry.operators.heads import learned
 from beaconry.operators.network import Network, NetworkLocalizer
 
@@ -51,7 +51,7 @@ def test_beats_the_linear_head_and_reruns_agree(spark, data, tmp_path):
     again = NetworkLocalizer((24,), **options).fit(train.repartition(3))
     assert all((a == b).all() for a, b in zip(model.network.arrays, again.network.arrays, strict=True))
     model.save(str(tmp_path / "m"))
-    loaded = NetworkLocalizer.load(spark, str(tmp_path / "m"))
+    loaded = load_model(spark, str(tmp_path / "m"))
     assert sorted(map(tuple, loaded.predict(test).collect())) == sorted(map(tuple, model.predict(test).collect()))
     assert evaluate(loaded, test).first()["mean_error"] == pytest.approx(metres)
     odd = spark.createDataFrame([(1, [0.0, None, 0.0, 0.0, 0.0, 0.0]), (2, None), (3, [0.0] * 6), (4, [float("nan")] * 6)], "sample_id long, features array<double>")
@@ -72,6 +72,7 @@ def test_auto_and_labels(spark, monkeypatch):
 
     monkeypatch.setattr(models, "FEW", 5)
     assert type(create_model("auto", dataset=spark.range(6))) is NetworkLocalizer and type(create_model("auto", dataset=spark.range(5))) is not NetworkLocalizer
+    assert create_model({"type": "auto", "epochs": 3}, dataset=spark.range(6)).epochs == 3 and create_model().k == 5
     schema = "sample_id long, x double, y double, floor int, building string"
     assert [tuple(r) for r in labels(spark.createDataFrame([(1, 1.0, 2.0, None, "3"), (2, 1.0, 2.0, 4, None)], schema)).collect()] == [(1, 1.0, 2.0, -1, 3), (2, 1.0, 2.0, 4, -1)]
     with pytest.raises(Exception, match="whole number"):
