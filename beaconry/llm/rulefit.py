@@ -172,7 +172,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE) -> Ensemble:
-    """An ensemble from at most ``sample`` labelled rows of ``docs`` that aren't held out; null labels and ids don't count."""
+    """An ensemble from the texts of at most ``sample`` labelled ids that aren't held out; null labels and ids don't count.
+
+    Where ids repeat in ``docs`` or ``labels``, each pair of rows trains, up to ``2 * sample`` of them, those of the least ids.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y is not null")
     known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     told = docs.select(F.col("doc_id").cast("long").alias("_id"), valid_text("text").cast("binary").alias("_t")).join(F.broadcast(known), "_id")
