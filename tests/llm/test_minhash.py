@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from beaconry.llm import minhash
+from beaconry.llm import common, minhash
 
 from .conftest import WORDS, prose
 
@@ -51,9 +51,11 @@ def test_odd_rows(odd, odd_rows, empty):
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"]) == [1, 5, 6, 7, 8, 9, 11, 12, 13, 14]
 
 
-@pytest.mark.parametrize(("block", "size", "exact"), [(8, 1 << 24, False), (512, 1 << 24, False), (512, 4000, False), (8, 4000, True), (512, 1 << 24, True)])
-def test_chains_and_groups(spark, monkeypatch, block, size, exact):
-    """Near copies of near copies, and one passage in many documents, in lists larger than a block in members or bytes."""
+@pytest.mark.parametrize(("block", "size", "exact", "edges"), [(8, 1 << 24, False, 250_000), (8, 1 << 24, False, 6), (512, 1 << 24, False, 6), (512, 4000, False, 250_000), (8, 4000, True, 6), (512, 1 << 24, True, 250_000)])
+def test_chains_and_groups(spark, monkeypatch, block, size, exact, edges):
+    """Near copies of near copies, and one passage in many documents, in lists larger than a block in members or bytes, and
+    components whose edges are dealt to several tasks."""
+    monkeypatch.setattr(common, "PER_TASK", edges)
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     r, rows, passage = random.Random(5), [], prose(9, 40)
