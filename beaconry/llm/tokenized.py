@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
-REMEMBERED, LONG = 800_000, 64
+REMEMBERED, LONG = 500_000, 64
 #: Bytes of the texts whose words are looked up together.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 #: Marks that often end a word, and what stands before them then.
 ENDS, ALNUM = ".,;:!?)\"", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: The pattern by which a byte-level BPE of this family cuts text.
