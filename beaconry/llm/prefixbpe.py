@@ -69,20 +69,46 @@ class Merges:
                     reachable.add(rank)
                     break
         self.remembered.clear()
-        #: ``step[node << 8 | byte]`` is the next node; ``token_at[node]`` the token that ends there, or -1.
-        self.step: dict[int, int] = {}
-        self.token_at = [-1]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                after = self.step.get(node << 8 | byte)
-                if after is None:
-                    after = self.step[node << 8 | byte] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = after
-            if rank in reachable:
-                self.token_at[node] = rank
         self.longest = max(map(len, ranks))
+        self.length = [len(t) for t in self.tokens]
+        self._automaton(reachable)
+
+    def _automaton(self, reachable: set[int]) -> None:
+        """A trie of the tokens' bytes with failure links, which tells the longest token that ends at each byte of a text.
+
+        ``step[node << 8 | byte]`` is the next node, ``fail[node]`` the node of its longest proper suffix in the trie,
+        ``ends[node]`` the longest token that its bytes end in, and ``shorter[token]`` the next shorter one that the token
+        ends in. A token that merging never reaches isn't told.
+        """
+        self.step: dict[int, int] = {}
+        self.fail, self.ends, self.shorter = [0], [-1], [-1] * self.size
+        level = {0: [t for t in self.ranks.items() if t[0]]}
+        depth = 0
+        while level:
+            below: dict[int, list] = {}
+            for node, held in level.items():
+                by: dict[int, list] = {}
+                for told in held:
+                    by.setdefault(told[0][depth], []).append(told)
+                for byte, rest in by.items():
+                    back = self._next(self.fail[node], byte) if node else 0
+                    child = self.step[node << 8 | byte] = len(self.fail)
+                    own = next((rank for token, rank in rest if len(token) == depth + 1 and rank in reachable), -1)
+                    if own >= 0:
+                        self.shorter[own] = self.ends[back]
+                    self.fail.append(back)
+                    self.ends.append(own if own >= 0 else self.ends[back])
+                    if longer := [t for t in rest if len(t[0]) > depth + 1]:
+                        below[child] = longer
+            level, depth = below, depth + 1
+
+    def _next(self, node: int, byte: int) -> int:
+        """The node of the longest suffix that is in the trie, one byte further."""
+        while (after := self.step.get(node << 8 | byte)) is None:
+            if not node:
+                return 0
+            node = self.fail[node]
+        return after
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether merging the bytes of ``a`` and ``b`` side by side leaves these two tokens.
@@ -114,21 +140,25 @@ class Merges:
     def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
         """``last[n]``: the token that ends the first ``n`` bytes of ``piece``; ``known`` is such a list of a shorter prefix.
 
-        What ``known`` says is kept; only starts within a token's length of its end are gone through again. Time is linear
-        in the bytes behind it, times at most the longest token.
+        The automaton tells the tokens that end at a byte, the longest first; the first one that fits behind the last token
+        of what it leaves is the only one that does. What ``known`` says is kept. Time is linear in the bytes behind it.
         """
-        n, done = len(piece), len(known) - 1 if known else 0
-        last = [*known, *[-1] * (n - done)] if known else [-1] * (n + 1)
-        step, token_at, fits = self.step, self.token_at, self.fits
-        for start in range(max(0, done - self.longest + 1) if done else 0, n):
-            before, node = last[start], 0
-            for end in range(start, n):
-                node = step.get(node << 8 | piece[end])
-                if node is None:
+        last, done = [*known] if known else [-1], len(known) - 1 if known else 0
+        step, fail, ends, shorter, length, size = self.step, self.fail, self.ends, self.shorter, self.length, self.size
+        remembered, node = self.remembered, 0
+        for byte in piece[max(0, done - self.longest) : done]:
+            node = self._next(node, byte)
+        for end, byte in enumerate(piece[done:], done + 1):
+            while (after := step.get(node << 8 | byte)) is None and node:
+                node = fail[node]
+            node = after or 0
+            token = ends[node]
+            while start := end - length[token]:
+                fit = remembered.get(last[start] * size + token)
+                if fit or (fit is None and self.fits(last[start], token)):
                     break
-                token = token_at[node]
-                if token >= 0 and last[end + 1] < 0 and (start == 0 or fits(before, token)):
-                    last[end + 1] = token
+                token = shorter[token]
+            last.append(token)
         return last
 
     def ids(self, last: list[int]) -> list[int]:
