@@ -5,11 +5,12 @@ distance of two fingerprints is the sum of their squared lengths less twice thei
 have add to the product. So
 
 * of the references that share nothing with a query, the shortest are nearest: the k shortest of all speak for them;
-* the others are packed by their strongest transmitter into blocks, each with its own inverted lists, its greatest value
-  per transmitter and its least length. These bound what a query may find in a block, and it meets a block only if the
-  bound beats the k-th distance found so far: first in the k shortest, then in its most promising block.
+* the others are ordered by their strongest transmitter, its value, the next one and so on, and cut into blocks. A block's least and greatest value of each
+  transmitter, the least being 0 where a member lacks it, bound what a query may find there. A query meets a block only if
+  the bound beats the k-th distance found so far: first in the k shortest, then in the blocks whose members are sure to have most in common with it.
 
-The result is exact. A transmitter that most fingerprints have makes a longer list in each block, not a hot key.
+The bounds are kept in pages of blocks, and packs of queries meet pages, so no row is written for a query and a block that
+it doesn't meet. The result is exact. A transmitter that most fingerprints have is in each block's page, not a hot key.
 """
 
 from __future__ import annotations
@@ -18,14 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
 from .knn import QUERIES, ranked
+from .metrics import global_rank
 
-#: Fingerprints of a block, and what rounding may add to a bound.
-SCANS, SLACK = 2048, 1e-9
+#: Fingerprints of a block, queries that meet it at once, blocks of a page, bounds of a page, columns of a product at a time.
+SCANS, ASKED, PAGE, BOUNDS, COLUMNS = 1024, 2048, 256, 1 << 16, 2048
+#: Blocks that a query meets before its bound is known.
+FIRST = 3
+#: What rounding may add to a bound.
+SLACK = 1e-9
 
 
 def readings(rows: DataFrame, id_col: str, key: str, value: str) -> DataFrame:
@@ -37,103 +44,180 @@ def readings(rows: DataFrame, id_col: str, key: str, value: str) -> DataFrame:
     return known.withColumn("value", checked).groupBy("id", "key").agg(one).where("value > 0")
 
 
+class Listed:
+    """Rows of readings as arrays: the row, the code of the transmitter and the value of each reading."""
+
+    def __init__(self, rows: pa.Array, keys: list[str] | None = None) -> None:
+        """``rows``: structs with a list ``readings (key, value)``. Codes are places in the sorted ``keys``, -1 elsewhere."""
+        told = rows.field("readings")
+        flat = told.flatten()
+        self.ends = np.concatenate([[0], np.cumsum(np.asarray(told.value_lengths(), np.int64))])
+        self.n, self.row = len(rows), np.repeat(np.arange(len(rows)), np.diff(self.ends))
+        self.names, self.value = flat.field("key"), np.asarray(flat.field("value"))
+        self.code = self.coded(keys) if keys is not None else None
+        self.own = np.bincount(self.row, self.value * self.value, minlength=self.n)
+
+    def coded(self, keys: list[str]) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(self.names, value_set=pa.array(keys, pa.string())), -1))
+
+    def of(self, row: int) -> dict[int, float]:
+        at = slice(self.ends[row], self.ends[row + 1])
+        return dict(zip(self.code[at].tolist(), self.value[at].tolist(), strict=True))
+
+    def dense(self, first: int, last: int) -> np.ndarray:
+        """The values of the transmitters of codes ``first`` to ``last``, a column each."""
+        out, at = np.zeros((self.n, last - first)), (self.code >= first) & (self.code < last)
+        out[self.row[at], self.code[at] - first] = self.value[at]
+        return out
+
+
+def nearest(asked: pa.Array, refs: pa.Array, k: int) -> tuple[list, list, list]:
+    """Ids of queries, ids of references, distances: the k nearest in ``refs``, ties by id, within the queries' ``limit`` (squared)."""
+    q, r = Listed(asked), Listed(refs)
+    keys = sorted(set(pc.unique(q.names).to_pylist()) | set(pc.unique(r.names).to_pylist()))
+    q.code, r.code = q.coded(keys), r.coded(keys)
+    q_ids, ids, limit = asked.field("id").to_pylist(), refs.field("id").to_pylist(), np.asarray(asked.field("limit"))
+    far = q.own[:, None] + r.own[None, :]
+    for first in range(0, len(keys), COLUMNS):
+        last = min(first + COLUMNS, len(keys))
+        far -= 2 * (q.dense(first, last) @ r.dense(first, last).T)
+    slack = SLACK * (q.own + r.own.max(initial=0))
+    if len(ids) > k:  # rounding of the product is allowed for; exact distances decide
+        limit = np.minimum(limit, np.partition(far, k - 1, axis=1)[:, k - 1] + slack)
+    maps: dict[int, dict[int, float]] = {}
+    out: tuple[list, list, list] = ([], [], [])
+    for at in np.flatnonzero((may := far <= (limit + slack)[:, None]).any(axis=1)).tolist():
+        own, near = q.of(at), []
+        for n in np.flatnonzero(may[at]).tolist():
+            if n not in maps:
+                maps[n] = r.of(n)
+            near.append((gap(own, maps[n]), ids[n]))
+        for d, other in sorted(near)[:k]:
+            out[0].append(q_ids[at])
+            out[1].append(other)
+            out[2].append(d)
+    return out
+
+
+def lows(asked: pa.Array, page: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of ``page (block, key, least, most)``, for each query the least squared distance from their members, and how little they must have in common.
+
+    Both are infinite where they have no transmitter in common; the first is less what rounding may have added.
+    """
+    blocks, at = np.unique(np.asarray(page.field("block")), return_inverse=True)
+    names = sorted(pc.unique(page.field("key")).to_pylist())
+    code = np.asarray(pc.index_in(page.field("key"), value_set=pa.array(names, pa.string())))
+    least, most = np.asarray(page.field("least")), np.asarray(page.field("most"))
+    q = Listed(asked, names)
+    low = q.own[:, None] + np.bincount(at, least * least, minlength=len(blocks))[None, :]
+    far = np.repeat(q.own[:, None], len(blocks), axis=1)
+    slack, shared = SLACK * low, np.zeros(low.shape, bool)
+    p_order, q_order = np.argsort(code, kind="stable"), np.argsort(q.code, kind="stable")
+    p_ends, q_ends = np.searchsorted(code[p_order], np.arange(len(names) + 1)), np.searchsorted(q.code[q_order], np.arange(len(names) + 1))
+    for c in np.flatnonzero(np.diff(q_ends)).tolist():
+        one, other = q_order[q_ends[c] : q_ends[c + 1]], p_order[p_ends[c] : p_ends[c + 1]]
+        v, lo, hi = q.value[one][:, None], least[other][None, :], most[other][None, :]
+        away = np.maximum(np.maximum(lo - v, v - hi), 0)
+        cells = np.ix_(q.row[one], at[other])
+        low[cells] += away * away - lo * lo - v * v
+        far[cells] += lo * lo - 2 * v * lo
+        shared[cells] = True
+    return blocks, np.where(shared, low - slack, np.inf), np.where(shared, np.maximum(low, 0) + far, np.inf)
+
+
+def _struct_rows(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
+    return batch.column(name)[row].values
+
+
 class SparseIndex:
-    """Blocks of references with their inverted lists' bounds."""
+    """Blocks of references and pages of their bounds."""
 
     def __init__(self, references: DataFrame, *, id_col: str = "sample_id", key: str = "key", value: str = "value") -> None:
         """All fingerprints with a reading above 0; a fingerprint without any has no row here and takes no part."""
-        long = written(readings(references, id_col, key, value), "readings")
-        told = long.groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("size"), F.min_by("key", F.struct(-F.col("value"), F.col("key"))).alias("head"))
-        told = written(told, "fingerprints")
-        parts = told.groupBy("head").agg(F.ceil(F.count("*") / SCANS).alias("parts"))
-        block = F.xxhash64("head", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
-        dealt = told.join(parts, "head").select("id", "size", block)
-        self.long, self.told = long, told
-        whole = long.join(dealt, "id").groupBy("block", "id").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("key", "value"))).alias("readings"))
+        strong = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("less"), "key")))
+        told = readings(references, id_col, key, value).groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("size"), strong.alias("s"))
+        told = told.withColumn("s", F.transform("s", lambda x: F.struct(x["key"].alias("key"), x["less"].alias("less"))))
+        ranked_ = global_rank(told, ["s", "id"], "_rank")
+        whole = ranked_.select(F.expr(f"(_rank - 1) div {SCANS}").alias("block"), "id", "size", F.transform("s", lambda x: F.struct(x["key"].alias("key"), (-x["less"]).alias("value"))).alias("readings"))
         self.scans = written(whole, "scans")
-        self.heads = written(long.join(dealt, "id").groupBy("key", "block").agg(F.max("value").alias("most"), F.min("size").alias("least")), "heads")
-        self.sizes = written(dealt.groupBy("block").agg(F.min("size").alias("least")), "sizes")
-
-    def _shortest(self, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+        self.sizes = written(self.scans.groupBy("block").agg(F.count("*").alias("n")), "sizes")
+        long = self.scans.select("block", F.explode("readings").alias("r")).groupBy("block", F.col("r.key").alias("key"))
+        heads = long.agg(F.max("r.value").alias("most"), F.min("r.value").alias("least"), F.count("*").alias("c")).join(self.sizes, "block")
+        heads = written(heads.select("block", "key", F.when(F.col("c") == F.col("n"), F.col("least")).otherwise(0.0).alias("least"), "most"), "heads")
+        each = max(1, min(PAGE, BOUNDS * max(1, self.sizes.count()) // max(1, heads.count())))
+        pages = heads.groupBy(F.expr(f"block div {each}").alias("page")).agg(F.collect_list(F.struct("block", "key", "least", "most")).alias("page_rows"))
+        self.pages = written(pages, "pages")
+
+    def _shortest(self, asked: DataFrame, k: int) -> DataFrame:
         """``query_id, reference_id, distance`` to the k shortest references, k rows that every task knows."""
-        short = self.told.orderBy("size", "id").limit(k)
-        rows = self.long.join(F.broadcast(short), "id").groupBy("id").agg(F.first("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-        listed = rows.agg(F.collect_list(F.struct("id", "size", "m")).alias("refs")).first()["refs"]
-        refs = [(r["id"], r["size"], r["m"]) for r in listed]
-        packed = asked.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
+        short = self.scans.orderBy("size", "id").limit(k).select(F.struct("id", "readings").alias("r")).agg(F.collect_list("r").alias("refs"))
+        return self._compared(_packs(asked, ASKED).crossJoin(F.broadcast(short)), k)
 
+    def _met(self, visits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+        """``query_id, reference_id, distance``: the k nearest within their limit in each block of ``visits (block, id)`` for ``asked (id, readings, limit)``."""
+        scans = self.scans.groupBy("block").agg(F.collect_list(F.struct("id", "readings")).alias("refs"))
+        often = visits.groupBy("block").agg(F.ceil(F.count("*") / ASKED).alias("parts"))
+        dealt = visits.join(often, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("block", "part", "id")
+        packs = dealt.join(asked, "id").groupBy("block", "part").agg(F.collect_list(F.struct("id", "readings", "limit")).alias("asked"))
+        return self._compared(written(packs, "visits").join(scans, "block"), k)
+
+    def _compared(self, met: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = []
-                for q, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = dict(m)
-                    out += [(q, r, gap(own, other)) for r, _, other in refs]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "reference_id", "distance"])
+                for row in range(batch.num_rows):
+                    found = nearest(_struct_rows(batch, "asked", row), _struct_rows(batch, "refs", row), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "reference_id", "distance"])
 
-        return packed.select("id", "m").mapInArrow(run, "query_id long, reference_id long, distance double")
+        return met.select("asked", "refs").mapInArrow(run, "query_id long, reference_id long, distance double")
 
-    def _met(self, visits: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-        """``query_id, reference_id, distance``: the k nearest, of those that share a transmitter, in each block of ``visits (id, block)``."""
-        often = visits.groupBy("block").agg(F.count("*").alias("m"))
-        scans = self.scans.groupBy("block").agg(F.collect_list(F.struct("id", "size", "readings")).alias("refs"))
-        whole = asked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("readings"))
-        dealt = visits.join(often, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / QUERIES)))
-        packs = written(dealt.join(whole, "id").groupBy("block", "part").agg(F.collect_list(F.struct("id", "readings")).alias("asked")), "visits")
+    def _paged(self, asked: DataFrame) -> DataFrame:
+        """``asked, page_rows``: each pack of ``asked (id, readings, limit)`` with each page."""
+        numbers = self.pages.select("page")
+        return _packs(asked, QUERIES).crossJoin(F.broadcast(numbers)).join(self.pages, "page").select("asked", "page_rows")
+
+    def _first(self, asked: DataFrame) -> DataFrame:
+        """``id, block``: the FIRST blocks of each query whose members are sure to have most in common with it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    blocks, _, far = lows(asked := _struct_rows(batch, "asked", row), _struct_rows(batch, "page_rows", row))
+                    best = np.argsort(far, axis=1, kind="stable")[:, :FIRST]
+                    q, b = np.repeat(np.arange(len(far)), best.shape[1]), best.ravel()
+                    some = far[q, b] < np.inf
+                    q, b = q[some], b[some]
+                    yield pa.RecordBatch.from_arrays([asked.field("id").take(pa.array(q)), pa.array(blocks[b]), pa.array(far[q, b])], names=["id", "block", "far"])
+
+        best = self._paged(asked).mapInArrow(run, "id long, block long, far double").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("far", "block"))).alias("b"))
+        return best.select("id", F.explode(F.slice("b", 1, FIRST)).alias("b")).select("id", "b.block")
+
+    def _rest(self, asked: DataFrame) -> DataFrame:
+        """``id, block``: every block that may hold something within a query's limit."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    refs = sorted(row["refs"], key=lambda r: r["id"])
-                    ids, sizes = np.array([r["id"] for r in refs]), np.array([r["size"] for r in refs])
-                    at, values = {}, {}
-                    for n, r in enumerate(refs):
-                        for x in r["readings"]:
-                            at.setdefault(x["key"], []).append(n)
-                            values.setdefault(x["key"], []).append(x["value"])
-                    lists = {key: (np.array(at[key]), np.array(values[key])) for key in at}
-                    maps = [None] * len(refs)
-                    out = []
-                    for q in row["asked"]:
-                        own = {x["key"]: x["value"] for x in q["readings"]}
-                        size, product = sum(v * v for v in own.values()), np.zeros(len(refs))
-                        for key, v in own.items():
-                            if key in lists:
-                                product[lists[key][0]] += v * lists[key][1]
-                        shared = np.flatnonzero(product > 0)
-                        far = size + sizes[shared] - 2 * product[shared]
-                        if len(shared) > k:  # rounding of the product is allowed for; exact distances decide
-                            shared = shared[far <= np.partition(far, k - 1)[k - 1] + SLACK * (size + sizes.max())]
-                        near = []
-                        for n in shared.tolist():
-                            if maps[n] is None:
-                                maps[n] = {x["key"]: x["value"] for x in refs[n]["readings"]}
-                            near.append((gap(own, maps[n]), ids[n]))
-                        out += [(q["id"], int(r), d) for d, r in sorted(near)[:k]]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "reference_id", "distance"])
-
-        return packs.join(scans, "block").select("asked", "refs").mapInArrow(run, "query_id long, reference_id long, distance double")
+                for row in range(batch.num_rows):
+                    blocks, low, _ = lows(asked := _struct_rows(batch, "asked", row), _struct_rows(batch, "page_rows", row))
+                    limit = np.asarray(asked.field("limit"))
+                    q, b = np.nonzero((low <= (limit * (1 + SLACK))[:, None]) & (low < np.inf))
+                    yield pa.RecordBatch.from_arrays([asked.field("id").take(pa.array(q)), pa.array(blocks[b])], names=["id", "block"])
+
+        return self._paged(asked).mapInArrow(run, "id long, block long")
 
     def neighbours(self, queries: DataFrame, k: int = 5, *, id_col: str = "sample_id", key: str = "key", value: str = "value") -> DataFrame:
         """``query_id, reference_id, distance, rank``: the k nearest references of each query with a reading above 0, ties by id."""
         return ranked(self._found(queries, k, id_col, key, value)[0].distinct(), k)
 
     def _found(self, queries: DataFrame, k: int, id_col: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
-        asked = written(readings(queries, id_col, key, value), "asked")
-        sizes = asked.groupBy("id").agg(F.sum(F.col("value") * F.col("value")).alias("own"))
-        products = asked.join(self.heads, "key").groupBy("id", "block").agg(F.sum(F.col("value") * F.col("most")).alias("most"))
-        # the least squared distance that a member of the block may have
-        bounds = products.join(sizes, "id").join(self.sizes, "block").select("id", "block", (F.col("own") + F.col("least") - 2 * F.col("most")).alias("low"), (F.col("own") + F.col("least")).alias("both"))
-        bounds = written(bounds, "bounds")
-        first = bounds.groupBy("id").agg(F.min_by("block", F.struct("low", "block")).alias("block"))
-        found = written(self._shortest(asked, sizes, k).unionByName(self._met(first, asked, k)), "found")
+        listed = F.array_sort(F.collect_list(F.struct("key", "value"))).alias("readings")
+        asked = written(readings(queries, id_col, key, value).groupBy("id").agg(listed).withColumn("limit", F.lit(float("inf"))), "asked")
+        first = written(self._first(asked), "first")
+        found = written(self._shortest(asked, k).unionByName(self._met(first, asked, k)), "found")
         reach = ranked(found.distinct(), k).groupBy("query_id").agg(F.max("distance").alias("reach"), F.count("*").alias("m"))
         limit = F.when(F.col("m") < k, float("inf")).otherwise(F.col("reach") * F.col("reach")).alias("limit")
-        may = bounds.join(reach.select(F.col("query_id").alias("id"), limit), "id").where(F.col("low") <= F.col("limit") + SLACK * F.col("both"))
-        more = may.select("id", "block").join(first, ["id", "block"], "left_anti")
-        visits = written(more.unionByName(first.select("id", "block")), "met")
-        return found.unionByName(self._met(visits.join(first, ["id", "block"], "left_anti"), asked, k)), visits
+        limited = written(asked.drop("limit").join(reach.select(F.col("query_id").alias("id"), limit), "id"), "limited")
+        more = written(self._rest(limited).join(first, ["id", "block"], "left_anti"), "met")
+        return found.unionByName(self._met(more, limited, k)), more.unionByName(first.select("id", "block"))
 
     def met(self, queries: DataFrame, k: int = 5, *, id_col: str = "sample_id", key: str = "key", value: str = "value") -> tuple[int, int]:
         """How many meetings of a query with a block the neighbours take, and how many there are in all."""
@@ -141,6 +225,13 @@ class SparseIndex:
         return visits.count(), readings(queries, id_col, key, value).select("id").distinct().count() * self.sizes.count()
 
 
-def gap(a: dict[str, float], b: dict[str, float]) -> float:
-    """The distance of two sparse fingerprints, summed by transmitter."""
+def _packs(asked: DataFrame, size: int) -> DataFrame:
+    """``asked``: lists of about ``size`` rows of ``asked (id, readings, limit)``."""
+    parts = max(1, -(-asked.count() // size))
+    dealt: Column = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part")
+    return asked.groupBy(dealt).agg(F.collect_list(F.struct("id", "readings", "limit")).alias("asked")).select("asked")
+
+
+def gap(a: dict[int, float], b: dict[int, float]) -> float:
+    """The distance of two sparse fingerprints, summed by the order of transmitters."""
     return float(np.sqrt(sum((a.get(k, 0.0) - b.get(k, 0.0)) ** 2 for k in sorted(a.keys() | b.keys()))))

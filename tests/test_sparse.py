@@ -84,3 +84,17 @@ def test_groups_of_null_keys_are_numbered(spark):
     df = spark.createDataFrame([("a", 1), (None, 2), ("b", 3), (None, 4), ("a", 5)], "k string, n int")
     assert {r["n"]: (r["k"], r["group_id"]) for r in group_number(df, ["k"]).collect()} == {1: ("a", 1), 2: (None, 0), 3: ("b", 2), 4: (None, 0), 5: ("a", 1)}
     assert group_number(df.withColumn("m", F.lit(None).cast("int")), ["k", "m"]).count() == 5
+
+
+def test_bounds_keep_queries_from_blocks(spark, monkeypatch):
+    """Transmitters that every block has don't make a query meet all blocks; no row is written for those that it doesn't meet."""
+    monkeypatch.setattr(sparse, "SCANS", 8)
+    monkeypatch.setattr(sparse, "PAGE", 5)
+    rnd = random.Random(3)
+    refs = {k: {f"t{t}": float(rnd.randrange(24, 74)) for t in rnd.sample(range(12), rnd.randrange(1, 6))} for k in range(900)}
+    refs |= {2000 + k: dict(refs[k % 7]) for k in range(60)}  # copies fill blocks of their own
+    asked = {k: refs[k] for k in range(0, 900, 30)}
+    index = SparseIndex(frame(spark, refs))
+    assert rows(index.neighbours(frame(spark, asked), 5)) == brute(asked, refs, 5)
+    met, every = index.met(frame(spark, asked), 5)
+    assert met < every * 0.7, (met, every)
