@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .knn import BLOCK_BYTES, METRICS, QUERIES, _compared, _measured, distances, matrix, ranked, usable
+from .knn import BLOCK_BYTES, METRICS, QUERIES, REFERENCES, _compared, _measured, distances, matrix, ranked, usable
 
 #: Pivots at most, rows of a shell at least, shells at most (they are known to every task), quantiles of a ball's distances.
 PIVOTS, BALL, SHELLS, QUANTILES = 256, 512, 200_000, 64
+#: Groups of shells about, which bounded queries meet at once.
+GROUPS = 32
 #: Vectors, and bytes of them, among which pivots are chosen.
 SAMPLE, SAMPLE_BYTES = 20 * PIVOTS, 64 << 20
 #: What rounding may add to a bound, relative and absolute.
@@ -56,6 +58,12 @@ class Shells:
     high: np.ndarray
     rows: np.ndarray
 
+    def groups(self) -> np.ndarray:
+        """The first shell of each group of successive shells; a group has a GROUPS-th of the rows, up to REFERENCES, and a shell at least."""
+        size = max(1, min(REFERENCES, int(self.rows.sum()) // GROUPS))
+        number = (np.cumsum(self.rows) - self.rows) // size
+        return np.flatnonzero(np.diff(number, prepend=-1) > 0)
+
     def bounds(self, away: np.ndarray) -> np.ndarray:
         """The least distance that members of each shell may have from a query at distances ``away`` from the pivots."""
         d = away[self.pivot]
@@ -125,9 +133,10 @@ class BallIndex:
     def _visits(self, asked: DataFrame, k: int, *, first: bool) -> DataFrame:
         """``block, q_ids, q_vectors``: which queries of ``asked (ids, vectors, bounds)`` meet which shells.
 
-        ``first``: those that likely hold k neighbours; else the others that may hold something within a query's bound.
+        ``first``: those that likely hold k neighbours; else the groups with shells that may hold something within a query's
+        bound, so that a vector travels once for a group and not for each shell.
         """
-        shells, metric, p = self.shells, self.metric, self.p
+        shells, metric, p, starts = self.shells, self.metric, self.p, self.shells.groups()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -136,19 +145,18 @@ class BallIndex:
                     limits = np.asarray(batch.column(2)[row].values)
                     told: dict[int, list[int]] = {}
                     for at, away in enumerate(to_all(vectors, shells.pivots, metric, p)):
-                        likely = shells.likely(away, k)
                         if first:
-                            met = likely
+                            met = shells.likely(away, k)
                         else:
                             may = shells.bounds(away) <= limits[at] * (1 + SLACK) + SLACK
-                            may[likely] = False
-                            met = np.flatnonzero(may)
+                            met = starts[np.logical_or.reduceat(may, starts)]
                         for b in met.tolist():
                             told.setdefault(b, []).append(at)
-                    if told:
-                        block = pa.array(shells.block[list(told)], pa.int64())
-                        q_ids = pa.array([ids[at] for at in told.values()], pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([block, q_ids, pa.array([list(vectors[at]) for at in told.values()], pa.list_(pa.list_(pa.float64())))], names=["block", "q_ids", "q_vectors"])
+                    for b, at in told.items():  # a batch each, so that a pack's vectors aren't held once for each shell
+                        width = vectors.shape[1]
+                        each = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * width), pa.array(vectors[at].ravel()))
+                        q_vectors = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), each)
+                        yield pa.RecordBatch.from_arrays([pa.array([shells.block[b]], pa.int64()), pa.array([ids[at]], pa.list_(pa.int64())), q_vectors], names=["block", "q_ids", "q_vectors"])
 
         return asked.select("ids", "vectors", "bounds").mapInArrow(run, "block long, q_ids array<long>, q_vectors array<array<double>>")
 
@@ -172,7 +180,16 @@ class BallIndex:
         bound = F.when(F.col("m") < k, float("inf")).otherwise(F.col("reach")).alias("bound")
         bounded = homes.join(reach.select(F.col("query_id").alias("id"), bound), "id")
         more = written(self._visits(self._packed(bounded), k, first=False), "visits")
-        return found.unionByName(_compared(more.join(self.blocks, "block"), k, 0.0, self.metric, self.p)), [visits, more]
+        return _compared(more.join(self._grouped(), "block"), k, 0.0, self.metric, self.p), [visits, more]  # the likely shells again, in their groups
+
+    def _grouped(self) -> DataFrame:
+        """``block, r_ids, r_vectors`` of the groups, by their first shell."""
+        starts, spark = self.shells.groups(), self.blocks.sparkSession
+        group = self.shells.block[starts[np.searchsorted(starts, np.arange(len(self.shells.block)), side="right") - 1]]
+        of = spark.createDataFrame(list(zip(self.shells.block.tolist(), group.tolist(), strict=True)), "block long, _group long")
+        joined = self.blocks.join(F.broadcast(of), "block").groupBy(F.col("_group").alias("block"))
+        packs = joined.agg(F.collect_list(F.struct("r_ids", "r_vectors")).alias("m"))  # ids and vectors in one list, so that their orders agree
+        return packs.select("block", F.flatten("m.r_ids").alias("r_ids"), F.flatten("m.r_vectors").alias("r_vectors"))
 
     def neighbours(self, queries: DataFrame, k: int = 5, *, query_id: str = "sample_id", vector: str = "features") -> DataFrame:
         """What ``knn.neighbours`` gives, from the shells that may hold neighbours; queries that repeat an id share a bound of the nearest."""
@@ -183,7 +200,10 @@ class BallIndex:
     def met(self, queries: DataFrame, k: int = 5, *, query_id: str = "sample_id", vector: str = "features") -> tuple[int, int]:
         """How many meetings of a query with a shell the neighbours take, and how many there are in all."""
         visits = self._pairs(queries, k, query_id, vector)[1]
-        took = sum(v.agg(F.coalesce(F.sum(F.size("q_ids")), F.lit(0))).first()[0] for v in visits)
+        starts = self.shells.groups()
+        many = dict(zip(self.shells.block[starts].tolist(), np.diff(starts, append=len(self.shells.block)).tolist(), strict=True))
+        took = visits[0].agg(F.coalesce(F.sum(F.size("q_ids")), F.lit(0))).first()[0]
+        took += sum(r["n"] * many[r["block"]] for r in visits[1].groupBy("block").agg(F.sum(F.size("q_ids")).alias("n")).collect())  # a row for each group
         return took, usable(queries, query_id, vector).count() * len(self.shells.block)
 
     def save(self, path: str) -> None:

@@ -100,3 +100,26 @@ def test_one_id_in_many_rows_fills_several_blocks(spark, monkeypatch):
     packs, blocks = knn._packed(knn.usable(same, "sample_id", "features"), 200, 2, 10, "r")
     assert blocks == 20 and packs.selectExpr("max(size(r_ids)) m").first()["m"] < 30
     assert [r["distance"] for r in neighbours(frame(spark, [[50.2, 0]]), same, 2).orderBy("rank").collect()] == pytest.approx([0.2, 0.8])
+
+
+@pytest.mark.parametrize(("metric", "p"), [("euclidean", 2.0), ("manhattan", 1.0), ("minkowski", 3.0), ("cosine", 2.0)])
+def test_bounds_spare_exact_distances(metric, p):
+    """Few references are left to exact distances for any metric, and none that belongs there is missing."""
+    r = np.random.default_rng(2)
+    refs, asked = np.maximum(0, r.normal(0, 0.12, (4000, 32))), np.maximum(0, r.normal(0, 0.12, (20, 32)))
+    near = list(knn._near(asked, refs, metric, p, 5, 0.0))
+    for q, may in zip(asked, near, strict=True):
+        d = knn.distances(q, refs, metric, p)
+        assert set(np.flatnonzero(d <= np.partition(d, 4)[4])) <= set(may)
+    assert sum(map(len, near)) < len(asked) * len(refs) * 0.4
+
+
+def test_vectors_travel_once_for_a_group(spark, small, monkeypatch):
+    """Where no bound excludes a shell, a query meets each group once."""
+    monkeypatch.setattr(balls, "GROUPS", 3)
+    r = np.random.default_rng(7)
+    q, t = frame(spark, r.normal(0, 1, (25, 16))), frame(spark, r.normal(0, 1, (600, 16)), 1000)
+    index = balls.BallIndex.built(t, metric="manhattan", rows=1)
+    assert len(index.shells.block) > 12 and len(index.shells.groups()) <= 4
+    assert rows(index.neighbours(q, 3)) == rows(neighbours(q, t, 3, metric="manhattan"))
+    assert index._pairs(q, 3, "sample_id", "features")[1][1].selectExpr("sum(size(q_ids)) n").first()["n"] <= 25 * 4
