@@ -160,3 +160,24 @@ def test_neighbours_by_brute_force(spark, monkeypatch, metric, size, scale):
         order = sorted(range(len(t)), key=lambda j: (d[j], j))[:4]
         assert [(i, pytest.approx(x)) for _, i, x in sorted(got[k])] == [(j, d[j]) for j in order]
         assert sorted(j for i, j in near if i == k) == np.flatnonzero(d < 1.5).tolist()
+
+
+def test_similarity_join_on_disk_and_in_memory(spark, monkeypatch):
+    """Blocks are paired from files, not shuffled once for each that they meet, and a batch has a bounded number of pairs."""
+    monkeypatch.setattr(knn, "QUERIES", 5)
+    monkeypatch.setattr(knn, "REFERENCES", 8)
+    r = np.random.default_rng(3)
+    q, t = r.normal(0, 1, (40, 4)), r.normal(0, 1, (100, 4))
+    frame = lambda a: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(a)], "sample_id long, features array<double>")
+    pairs = knn.within(frame(q), frame(t), 2.0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    d = np.sqrt(((q[:, None] - t[None]) ** 2).sum(axis=2))
+    assert sorted((x["query_id"], x["reference_id"]) for x in pairs.collect()) == [tuple(x) for x in np.argwhere(d < 2.0).tolist()]
+    assert knn.within(frame(q), frame(t).limit(0), 2.0).count() == knn.within(frame(q).limit(0), frame(t), 2.0).count() == 0
+
+    monkeypatch.setattr(knn, "PAIRS", 10)
+    rows = [(np.full(n, k), np.arange(n), np.zeros(n)) for k, n in enumerate([4, 0, 7, 3, 12, 1])]
+    batches = list(knn._told(iter(rows)))
+    assert [b.num_rows for b in batches] == [11, 15, 1] and [x for b in batches for x in b.column(0).to_pylist()] == np.concatenate([x[0] for x in rows]).tolist()
+    assert list(knn._told(iter(rows[1:2]))) == []
