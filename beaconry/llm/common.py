@@ -106,18 +106,29 @@ class Scratch:
             return
 
 
+def _held() -> dict:
+    """What this Python process keeps for its later tasks."""
+    return vars(sys.modules.setdefault("_beaconry_worker", types.ModuleType("_beaconry_worker"))).setdefault("held", {})
+
+
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:
     """What ``make`` returns, made once in a Python worker's process and found again by its later tasks.
 
     A worker keeps one thing, the last that was asked for, so what one operator remembers makes room for the next one's.
     """
-    held = vars(sys.modules.setdefault("_beaconry_worker", types.ModuleType("_beaconry_worker"))).setdefault("held", {})
+    held = _held()
     if key not in held:
-        held.clear()
+        let_go()
         held[key] = make()
     return held[key]
 
 
+def let_go() -> None:
+    """Frees what a worker keeps, and what Arrow's pool has of freed batches: called by tasks that need none of it."""
+    _held().clear()
+    pa.default_memory_pool().release_unused()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bounded number of words."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, arrow_rows, as_bytes, kept_in_worker
+from .common import Scratch, arrow_rows, as_bytes, kept_in_worker, let_go
 from .tokenized import Encoder, as_text
 
 #: Ids of a block (a longer document has a block of its own), lanes, steps between checkpoints.
@@ -180,6 +180,8 @@ def _tokens(docs: DataFrame, file: str, end_id: int, ranges: Parts, id_col: str,
                 doc_ids, ids = part.column(0).to_pylist(), [x + end for x in coder.encode_all(as_text(part.column(1)))]
                 parts = [ranges.of(d, next(turn)) for d in doc_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+                del ids
+                pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     return slim.mapInArrow(run, "part int, doc_id long, ids binary")
@@ -190,6 +192,7 @@ def _packs(ordered: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         part, block, doc_ids, held, size = None, 0, [], [], 0
 
         def pack() -> pa.RecordBatch:
@@ -213,6 +216,7 @@ def _packs(ordered: DataFrame, width: int) -> DataFrame:
 
 def _counts(packs: DataFrame, dtype: str, vocab: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(vocab, np.int64)
         for batch in batches:
             for x in batch.column(0):
@@ -251,6 +255,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int |
     spark.createDataFrame([(int(i), int(freq[i]), bits, vocab) for i in seen], "id int, freq int, bits int, vocab int").coalesce(1).write.parquet(f"{path}/table")
 
     def make():
+        let_go()
         table = Table(freq, bits)
 
         def rows(part: int, block: int, doc_ids: list, lengths: list, ids: bytes) -> Iterator[tuple]:
@@ -287,6 +292,8 @@ def read_token_ids(spark, path: str, *, with_ids: bool = True) -> DataFrame:
     placed = before.select("part", "block", (F.col("within") + F.col("base")).alias("at"))
 
     def make():
+        let_go()
+
         def rows(part: int, block: int, data: bytes) -> Iterator[tuple]:
             held = Block(data, table)
             ids, at = held.ids(), 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
-REMEMBERED, LONG = 500_000, 64
+REMEMBERED, LONG = 250_000, 64
 #: Bytes of the texts whose words are looked up together.
 STRETCH = 4 << 20
 #: Marks that often end a word, and what stands before them then.

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from beaconry.llm import rans, tokenized
+from beaconry.llm import common, rans, tokenized
 from beaconry.llm.tokenized import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,3 +80,19 @@ def test_odd_rows(spark, odd, odd_rows, empty, coder, tmp_path):
     assert rans.token_ids(empty, PATH, end_id=2).count() == 0
     rans.write_token_ids(odd.where("doc_id = 8"), str(tmp_path / "out"), PATH)
     assert rans.read_token_ids(spark, str(tmp_path / "out")).first()["ids"] == coder[1].encode("one").ids
+
+
+def test_tasks_without_an_encoder_let_it_go(monkeypatch):
+    """What an encoder remembers isn't held beside documents that are packed, nor any longer than the next thing kept."""
+    released = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802  Spark's name
+            return run
+
+    common.kept_in_worker("encoder", object)
+    batch = pa.RecordBatch.from_pylist([{"part": 0, "doc_id": 1, "ids": b"ab"}, {"part": 0, "doc_id": 2, "ids": b"cdef"}])
+    packs = list(rans._packs(Frame(), 2)(iter([batch])))
+    assert not common._held() and released
+    assert [p.to_pylist() for p in packs] == [[{"part": 0, "block": 0, "doc_ids": [1, 2], "lengths": [1, 2], "ids": b"abcdef"}]]
