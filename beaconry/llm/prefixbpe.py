@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker, valid_text
-from .tokenized import ENDS, PATTERN, Encoder
+from .tokenized import PATTERN, Encoder
 
 #: Pairs of tokens whose fit a Python worker remembers.
 PAIRS = 300_000
@@ -190,14 +190,9 @@ class PrefixEncoder(Encoder):
         self.cuts = regex.compile(pattern)
         self.find, self.pattern = self.cuts.findall, pattern
         self.alphabet, self.space = {}, " "  # pieces stay latin-1 here
-        self.awkward = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
-        self.awkward_ascii = [x for x in self.awkward if x.isascii()]
         self.far = regex.compile(r"[^\x00-ɏ]").search
-        self.known, self.after, self.lines = {}, {}, {}
         self.classes: dict[str, str | None] = {}
-        self.after[""] = self._cut(" ")
-        self.newline = self._cut("\n")
-        self.marks = {c: self._cut(c) for c in ENDS}
+        self._forget()
 
     def _cut(self, shown: str) -> bytes:
         return self._packed(self.merges.encode(shown.encode("latin-1")))

@@ -1,8 +1,9 @@
 """Texts to token ids with the tokenizers library, spending its time once per distinct piece.
 
-A byte-level BPE merges only inside the pieces that its pattern cuts, and the pattern always cuts before a single space
-between visible characters. So a text is cut at spaces, and the ids of a stretch that was seen before are reused. The
-library encodes each new piece; texts with a special token or with white space behind a space go to it whole.
+A byte-level BPE merges only inside the pieces that its pattern cuts. Where it cuts in any case is seen in the bytes: before
+a space with something visible behind it, before a line break behind something visible, between a letter or digit and a
+mark. Texts are cut there in NumPy, and Arrow looks the stretches up among those that were seen before. The library encodes
+each new one; texts with a special token or with white space beside a space go to it whole.
 """
 
 from __future__ import annotations
@@ -15,12 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches whose ids a Python worker remembers, and the length from which it doesn't.
-REMEMBERED, LONG = 250_000, 64
-#: Bytes of the texts whose words are looked up together.
+#: Stretches whose ids a Python worker remembers, parts of odd ones, and the bytes from which it doesn't.
+REMEMBERED, PARTS, LONG = 250_000, 20_000, 64
+#: Bytes of the texts whose stretches are looked up together.
 STRETCH = 4 << 20
-#: Marks that often end a word, and what stands before them then.
-ENDS, ALNUM = ".,;:!?)\"", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: White space, and where a space has some beside it (one that ends a text: before it), as Arrow's patterns.
+BLANK = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+AWKWARD = rf" {BLANK}|{BLANK} \z"
+#: Kinds of bytes: letters and digits, marks but the apostrophe, which may begin a piece with letters, and what follows 0xC3 in letters.
+ALNUM, MARK, APOSTROPHE, SPACE, BREAK, LATIN = range(1, 7)
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = [ALNUM if chr(b).isalnum() else APOSTROPHE if chr(b) == "'" else MARK for b in range(0x21, 0x7F)]
+KINDS[0x80:0xC0] = [LATIN if chr(b + 0x40).isalpha() else 0 for b in range(0x80, 0xC0)]
+KINDS[[0x20, 0x0A]] = SPACE, BREAK
 #: The pattern by which a byte-level BPE of this family cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -40,6 +48,25 @@ def as_text(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
+def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text starts and the last one ends, and the bytes of all."""
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return edges - edges[0], np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]]
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where stretches start in UTF-8 without awkward spaces: at ``starts`` and where the pattern cuts whatever else stands there."""
+    kind = KINDS[data]
+    letter = kind == ALNUM
+    letter[1:] |= (kind[1:] == LATIN) & (data[:-1] == 0xC3)
+    visible = letter | (kind == MARK) | (kind == APOSTROPHE)
+    cut = kind == SPACE
+    cut[1:] |= ((kind[1:] == MARK) & letter[:-1]) | ((kind[1:] == BREAK) & visible[:-1])
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Ids of texts, as little-endian bytes of ``dtype``."""
 
@@ -58,18 +85,16 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.all.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.alphabet = self.all.model, byte_alphabet()
         self.find = regex.compile(PATTERN).findall
-        self.awkward = [f" {chr(c)}" for c in range(0x3001) if chr(c).isspace()]
-        self.awkward_ascii = [x for x in self.awkward if x.isascii()]
         self.far = re.compile(r"[^\x00-ɏ]").search
         self.space = self.alphabet[0x20]
-        self.known: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.lines: dict[str, bytes] = {}
         width = self.dtype.itemsize
         self.each = [k.to_bytes(width, "little") for k in range(max(self.all.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
-        self.after[""] = self._piece(" ") if self.plain else b""  # a space at the end of a text
-        self.newline = self._piece("\n") if self.plain else b""
-        self.marks = {c: self._piece(c) for c in ENDS} if self.plain else {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Parts of odd stretches by themselves; stretches, how many ids each has, and all these ids.
+        self.known: dict[str, bytes] = {}
+        self.words, self.sizes, self.flat = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, self.dtype)
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -79,15 +104,15 @@ class Encoder:
         each = self.each
         return b"".join([each[x.id] for x in self.model.tokenize(shown)])
 
+    def _shown(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.alphabet)
+
     def _piece(self, piece: str) -> bytes:
-        """A piece as the pattern cuts it; one behind a space is remembered without it, like a stretch."""
-        spaced = piece[0] == " " and len(piece) > 1
-        memory, key = (self.after, piece[1:]) if spaced else (self.known, piece)
-        if (found := memory.get(key)) is None:
-            plain = spaced and key.isascii() and key.isalnum()
-            found = self._cut(self.space + key if plain else piece.encode().decode("latin-1").translate(self.alphabet))
-            if len(memory) < self.most and len(key) < LONG:
-                memory[key] = found
+        """A piece as the pattern cuts it."""
+        if (found := self.known.get(piece)) is None:
+            found = self._cut(self._shown(piece))
+            if len(self.known) < PARTS and len(piece) < LONG:
+                self.known[piece] = found
         return found
 
     def _stretch(self, text: str) -> bytes:
@@ -96,66 +121,29 @@ class Encoder:
             return b"".join([self._cut(p) for p, _ in self.all.pre_tokenizer.pre_tokenize_str(text)])
         return b"".join(map(self._piece, self.find(text)))
 
-    def _behind(self, rest: str) -> bytes:
-        """The stretch of a space and ``rest``, which wasn't remembered."""
-        if "\n" in rest and (lines := rest.split("\n")) == rest.split():  # single line breaks between words are pieces
-            word, *lines = lines
-            return (self.after.get(word) or self._behind(word)) + b"".join([self.newline + (self.lines.get(x) or self._line(x)) for x in lines])
-        plain, head = rest.isalpha(), rest[:-1]
-        if plain and rest.isascii():
-            found = self._cut(self.space + rest)
-        elif rest[-1] in self.marks and rest[-2:-1] in ALNUM and "\n" not in rest:
-            return (self.after.get(head) or self._behind(head)) + self.marks[rest[-1]]
-        elif plain and not self.far(rest):
-            return self._piece(f" {rest}")
-        else:
-            found = self._stretch(f" {rest}")
-        if len(self.after) < self.most and len(rest) < LONG:
-            self.after[rest] = found
-        return found
-
-    def _line(self, text: str) -> bytes:
-        """The stretch between a line break and a space, or the next line break."""
-        found = self._stretch(text)
-        if len(self.lines) < self.most and len(text) < LONG:
-            self.lines[text] = found
-        return found
+    def _new(self, text: str) -> bytes:
+        """Ids of a stretch that isn't remembered; letters, or letters behind a space or line break, need no pattern."""
+        first, rest = text[0], text[1:]
+        if first == " " and rest.isascii() and rest.isalpha():
+            return self._cut(self.space + rest)
+        if not (rest.isalpha() or not rest) or self.far(text):
+            return self._stretch(text)
+        if first == "\n" and rest:
+            return self._piece(first) + self._cut(self._shown(rest))
+        return self._cut(self._shown(text)) if first == " " or first.isalpha() else self._stretch(text)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._whole(text):
-            return self._entire(text)
-        head, *rest = text.split(" ")
-        return (self._stretch(head) if head else b"") + b"".join(self._words(rest))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
     def _entire(self, text: str) -> bytes:
-        """Ids of a text that isn't cut at spaces."""
+        """Ids of a text that isn't cut into stretches."""
         return self._packed(self.all.encode(text, add_special_tokens=False).ids)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words, each behind a space."""
-        after, marks, k = self.after, self.marks, -1
-        found = list(map(after.get, words))
-        for _ in range(found.count(None)):
-            k = found.index(None, k + 1)
-            word = words[k]
-            # the pattern cuts between a letter or digit and a mark, so a marked word isn't remembered beside the bare one
-            if (mark := marks.get(word[-1])) and word[-2:-1] in ALNUM and (ids := after.get(word[:-1])):
-                found[k] = ids + mark
-            else:
-                found[k] = self._behind(word)
-        return found
-
-    def _whole(self, text: str) -> bool:
-        """Whether a text goes to the library whole."""
-        return not self.plain or any(x in text for x in self.special) or any(x in text for x in (self.awkward_ascii if text.isascii() else self.awkward))
-
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text of a string array, null as empty.
 
-        Arrow cuts texts of at most STRETCH bytes into words, each distinct one is looked up once, and its ids are gathered
-        where it stands. A text of more bytes than that is cut by itself.
+        Texts of at most STRETCH bytes, or one of more, are cut into stretches, each distinct one is looked up or encoded
+        once, and its ids are gathered where it stands.
         """
         texts = pc.fill_null(texts, "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -163,40 +151,41 @@ class Encoder:
         while at < len(texts):
             before = int(ends[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(ends, before + STRETCH, "right")))
-            yield from self._stretch_of(texts.slice(at, end - at)) if int(ends[end - 1]) - before <= STRETCH else [self.encode(texts[at].as_py())]
+            yield from self._encoded(texts.slice(at, end - at).cast(pa.string()))
             at = end
 
-    def _stretch_of(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts whose words are looked up together; texts that must go to the library whole are left to ``encode``."""
-        lists = pc.split_pattern(texts, " ")
-        edges = lists.offsets.to_numpy().astype(np.int64)
-        words, first = lists.flatten(), edges[:-1] - edges[0]
-        behind = np.ones(len(words), bool)
-        behind[first] = False
-        heads = words.take(pa.array(first)).to_pylist()
-        coded = words.filter(pa.array(behind)).dictionary_encode()
-        kinds, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        many = np.concatenate([[0], np.cumsum(np.diff(edges) - 1)])  # words behind a space before each text
-
+    def _encoded(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of texts whose stretches are looked up together; those that go to the library whole leave none."""
         whole = np.zeros(len(texts), bool) | (not self.plain)
-        for x in self.special:
-            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
-        odd = np.fromiter((not w or w[0].isspace() for w in kinds), bool, len(kinds))
-        if odd.any():
-            at = np.flatnonzero(odd[codes])
-            text = np.searchsorted(many, at, "right") - 1
-            blank = np.array([not w for w in kinds])[codes[at]]
-            whole[text[~(blank & (at + 1 == many[text + 1]))]] = True  # a single space may end a text
-            kinds = ["" if o else w for w, o in zip(kinds, odd.tolist(), strict=True)]
-
-        found = self._words(kinds)
-        flat, size = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        for found in (pc.match_substring_regex(texts, AWKWARD), *(pc.match_substring(texts, x) for x in self.special)):
+            whole |= found.to_numpy(zero_copy_only=False)
+        alone = {k: self._entire(texts[k].as_py()) for k in np.flatnonzero(whole).tolist()}
+        edges, data = _bytes_of(pc.if_else(pa.array(whole), "", texts) if alone else texts)
+        at = _cuts(data, edges)
+        stretches = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data))
+        codes, size, flat = self._told(stretches)
         own = size[codes]
         ends = np.concatenate([[0], np.cumsum(own)])
         shift = (np.cumsum(size) - size)[codes] - ends[:-1]
         ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(shift.astype(np.int32), own)]
-        cuts = ends[many].tolist()
-        out = [(self.lines.get(h) or self._line(h) if h else b"") + ids[a:z].tobytes() for h, a, z in zip(heads, cuts, cuts[1:], strict=False)]
-        for k in np.flatnonzero(whole).tolist():
-            out[k] = self.encode(texts[k].as_py())
-        return out
+        cuts = ends[np.searchsorted(at, edges)].tolist()
+        return [alone[k] if k in alone else ids[a:z].tobytes() for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+    def _told(self, stretches: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A code for each stretch, how many ids each code stands for, and the ids of all codes in a row."""
+        held = pc.index_in(stretches, value_set=self.words)
+        if not held.null_count:
+            return held.to_numpy(), self.sizes, self.flat
+        missing = held.is_null()
+        new = stretches.filter(missing).dictionary_encode()
+        found = list(map(self._new, new.dictionary.to_pylist()))
+        codes = held.fill_null(0).to_numpy().copy()
+        codes[missing.to_numpy(zero_copy_only=False)] = new.indices.to_numpy() + len(self.words)
+        more = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        size, flat = np.concatenate([self.sizes, more]), np.concatenate([self.flat, np.frombuffer(b"".join(found), self.dtype)])
+        if (room := self.most - len(self.words)) > 0:
+            kept = np.flatnonzero(pc.binary_length(new.dictionary).to_numpy() < LONG)[:room]
+            self.words = pa.concat_arrays([self.words, new.dictionary.take(pa.array(kept))])
+            self.sizes = np.concatenate([self.sizes, more[kept]])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join([found[k] for k in kept.tolist()]), self.dtype)])
+        return codes, size, flat

@@ -1,4 +1,6 @@
+import itertools
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -62,6 +64,30 @@ def test_line_breaks_and_marks(coder, monkeypatch):
     assert list(coder[0].encode_all(pa.array([], pa.string()))) == []
 
 
+def test_work_follows_distinct_stretches(coder):
+    """Words that marks, spaces and line breaks join anew are looked up one by one: no Python call for each combination."""
+    own, calls = Encoder(rans.tokenizer_file(PATH)), [0]
+    words = ["".join(w) for w in itertools.product("bkmt", "aeioué", "lnrs")]
+    own.encode(" ".join([f"{w}. {w}," for w in words]) + "".join([f"\n{w}" for w in words]))
+    texts = [f"{a}. {a}, {a}{mark}\n{b}" for a, b in itertools.product(words, words[:40]) for mark in ".,"]
+    sys.setprofile(lambda frame, event, _: calls.__setitem__(0, calls[0] + (event == "call" and frame.f_code.co_filename == tokenized.__file__)))
+    try:
+        got = list(own.encode_all(pa.array([" ".join(texts[k::100]) for k in range(100)])))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 1000 < len(texts)
+    assert got == [np.array(coder[1].encode(" ".join(texts[k::100]), add_special_tokens=False).ids, own.dtype).tobytes() for k in range(100)]
+
+
+def test_cuts_beside_odd_bytes(coder):
+    """Every three of these side by side, and at the ends of texts that lie behind one another."""
+    parts = ["a", "é", "×", "÷", "ª", "ŀ", "漢", " ", "\n", "\r", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2014", "\u2028", "\u205f", "\u3000", "\u3042", ".", "'", "'s", "\x7f", "7"]
+    texts = ["".join(x) for x in itertools.product(parts, repeat=3)]
+    theirs = [np.array(x.ids, coder[0].dtype).tobytes() for x in coder[1].encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, coder[0].encode_all(pa.array(texts)), theirs, strict=True) if x != y] == []
+    assert list(coder[0].encode_all(pa.array(["skipped", *texts], pa.large_string()).slice(1))) == theirs
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r 'sdtabé漢٣²1.,!-"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_ids_are_the_librarys(coder, text):
