@@ -98,3 +98,28 @@ def test_bounds_keep_queries_from_blocks(spark, monkeypatch):
     assert rows(index.neighbours(frame(spark, asked), 5)) == brute(asked, refs, 5)
     met, every = index.met(frame(spark, asked), 5)
     assert met < every * 0.7, (met, every)
+
+
+def test_copies_are_met_once(spark, monkeypatch):
+    """Of equal references only k are compared, and equal queries are asked once, yet each has its own rows."""
+    monkeypatch.setattr(sparse, "SCANS", 128)
+    some = list(scans(5, 20).values())
+    refs = {1000 + n: dict(some[n % 20]) for n in range(800)}
+    asked = {n: dict(some[n % 5]) for n in range(60)} | {900: {"never seen": 3.0}}
+    index = SparseIndex(frame(spark, refs))
+    assert rows(index.neighbours(frame(spark, asked), 3)) == brute(asked, refs, 3)
+    met, every = index.met(frame(spark, asked), 3)
+    assert met < every / 50, (met, every)
+
+
+def test_pairs_leave_no_reference_out():
+    """Whatever lacks places of a query worth at most the limit, and has one of its places, has one of the pairs."""
+    rnd = random.Random(6)
+    for _ in range(300):
+        squares = sorted((rnd.randrange(1, 50) ** 2 for _ in range(rnd.randrange(1, 7))), reverse=True)
+        limit = rnd.choice([0.0, float("inf"), rnd.random() * sum(squares)])
+        pairs = sparse.signature([float(x) for x in squares], limit)
+        for mask in range(1, 1 << len(squares)):
+            has = {n for n in range(len(squares)) if mask >> n & 1}
+            if sum(x for n, x in enumerate(squares) if n not in has) <= limit:
+                assert any(a in has and (b < 0 or b in has) for a, b in pairs), (squares, limit, has, pairs)
