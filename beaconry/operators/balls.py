@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .knn import BLOCK_BYTES, METRICS, QUERIES, REFERENCES, _compared, _measured, distances, matrix, ranked, usable
+from .knn import BLOCK_BYTES, JOINED, METRICS, QUERIES, _compared, _measured, distances, matrix, ranked, usable
 
 #: Pivots at most, rows of a shell at least, shells at most (they are known to every task), quantiles of a ball's distances.
 PIVOTS, BALL, SHELLS, QUANTILES = 256, 512, 200_000, 64
@@ -59,8 +59,8 @@ class Shells:
     rows: np.ndarray
 
     def groups(self) -> np.ndarray:
-        """The first shell of each group of successive shells; a group has a GROUPS-th of the rows, up to REFERENCES, and a shell at least."""
-        size = max(1, min(REFERENCES, int(self.rows.sum()) // GROUPS))
+        """The first shell of each group of successive shells; a group has a GROUPS-th of the rows, up to JOINED, and a shell at least."""
+        size = max(1, min(JOINED, int(self.rows.sum()) // GROUPS))
         number = (np.cumsum(self.rows) - self.rows) // size
         return np.flatnonzero(np.diff(number, prepend=-1) > 0)
 
@@ -130,27 +130,17 @@ class BallIndex:
 
         return queries.mapInArrow(run, "id long, v array<double>, home int")
 
-    def _visits(self, asked: DataFrame, k: int, *, first: bool) -> DataFrame:
-        """``block, q_ids, q_vectors``: which queries of ``asked (ids, vectors, bounds)`` meet which shells.
-
-        ``first``: those that likely hold k neighbours; else the groups with shells that may hold something within a query's
-        bound, so that a vector travels once for a group and not for each shell.
-        """
-        shells, metric, p, starts = self.shells, self.metric, self.p, self.shells.groups()
+    def _visits(self, asked: DataFrame, k: int) -> DataFrame:
+        """``block, q_ids, q_vectors``: which queries of ``asked (ids, vectors, bounds)`` meet the shells that likely hold k neighbours."""
+        shells, metric, p = self.shells, self.metric, self.p
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
                     ids, vectors = np.asarray(batch.column(0)[row].values), matrix(batch.column(1)[row].values)
-                    limits = np.asarray(batch.column(2)[row].values)
                     told: dict[int, list[int]] = {}
                     for at, away in enumerate(to_all(vectors, shells.pivots, metric, p)):
-                        if first:
-                            met = shells.likely(away, k)
-                        else:
-                            may = shells.bounds(away) <= limits[at] * (1 + SLACK) + SLACK
-                            met = starts[np.logical_or.reduceat(may, starts)]
-                        for b in met.tolist():
+                        for b in shells.likely(away, k).tolist():
                             told.setdefault(b, []).append(at)
                     for b, at in told.items():  # a batch each, so that a pack's vectors aren't held once for each shell
                         width = vectors.shape[1]
@@ -158,7 +148,24 @@ class BallIndex:
                         q_vectors = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), each)
                         yield pa.RecordBatch.from_arrays([pa.array([shells.block[b]], pa.int64()), pa.array([ids[at]], pa.list_(pa.int64())), q_vectors], names=["block", "q_ids", "q_vectors"])
 
-        return asked.select("ids", "vectors", "bounds").mapInArrow(run, "block long, q_ids array<long>, q_vectors array<array<double>>")
+        return asked.select("ids", "vectors").mapInArrow(run, "block long, q_ids array<long>, q_vectors array<array<double>>")
+
+    def _chosen(self, asked: DataFrame) -> DataFrame:
+        """``q_ids, q_vectors, q_bounds, q_blocks``: packs, and for each query the groups with shells that may hold something within its bound."""
+        shells, metric, p, starts = self.shells, self.metric, self.p, self.shells.groups()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    vectors, limits = matrix(batch.column(1)[row].values), np.asarray(batch.column(2)[row].values)
+                    met = []
+                    for limit, away in zip(limits, to_all(vectors, shells.pivots, metric, p), strict=True):
+                        may = shells.bounds(away) <= limit * (1 + SLACK) + SLACK
+                        met.append(shells.block[starts[np.logical_or.reduceat(may, starts)]])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(row, 1).columns, pa.array([met], pa.list_(pa.list_(pa.int64())))], names=["q_ids", "q_vectors", "q_bounds", "q_blocks"])
+
+        told = "q_ids array<long>, q_vectors array<array<double>>, q_bounds array<double>, q_blocks array<array<long>>"
+        return asked.select("ids", "vectors", "bounds").mapInArrow(run, told)
 
     def _packed(self, queries: DataFrame) -> DataFrame:
         """``ids, vectors, bounds`` of blocks of ``queries (id, v, home, bound)`` near the same pivot, QUERIES each at most."""
@@ -174,13 +181,16 @@ class BallIndex:
         if n and len(self.shells.pivots) and width != self.shells.pivots.shape[1]:
             raise ValueError(f"queries of {width} elements can't be compared with references of {self.shells.pivots.shape[1]}")
         homes = written(self._homes(asked), "homes")
-        visits = written(self._visits(self._packed(homes.withColumn("bound", F.lit(0.0))), k, first=True), "visits")
+        visits = written(self._visits(self._packed(homes.withColumn("bound", F.lit(0.0))), k), "visits")
         found = written(_compared(visits.join(self.blocks, "block"), k, 0.0, self.metric, self.p), "found")
         reach = ranked(found, k).groupBy("query_id").agg(F.max("distance").alias("reach"), F.count("*").alias("m"))
         bound = F.when(F.col("m") < k, float("inf")).otherwise(F.col("reach")).alias("bound")
         bounded = homes.join(reach.select(F.col("query_id").alias("id"), bound), "id")
-        more = written(self._visits(self._packed(bounded), k, first=False), "visits")
-        return _compared(more.join(self._grouped(), "block"), k, 0.0, self.metric, self.p), [visits, more]  # the likely shells again, in their groups
+        packs = written(self._chosen(self._packed(bounded)).withColumn("any", F.array_distinct(F.flatten("q_blocks"))), "packs")
+        # packs and groups are read from their files where they meet: no vector is shuffled once for each group
+        met = written(self._grouped(), "groups").crossJoin(packs.hint("shuffle_replicate_nl")).where(F.array_contains("any", F.col("block")))
+        more = packs.select(F.explode(F.flatten("q_blocks")).alias("block"), F.array(F.lit(0)).alias("q_ids"))
+        return _compared(met, k, 0.0, self.metric, self.p, chosen=True), [visits, more]  # the likely shells again, in their groups
 
     def _grouped(self) -> DataFrame:
         """``block, r_ids, r_vectors`` of the groups, by their first shell."""

@@ -123,3 +123,11 @@ def test_vectors_travel_once_for_a_group(spark, small, monkeypatch):
     assert len(index.shells.block) > 12 and len(index.shells.groups()) <= 4
     assert rows(index.neighbours(q, 3)) == rows(neighbours(q, t, 3, metric="manhattan"))
     assert index._pairs(q, 3, "sample_id", "features")[1][1].selectExpr("sum(size(q_ids)) n").first()["n"] <= 25 * 4
+
+
+def test_groups_are_no_larger_than_the_joins_blocks():
+    """However many references there are, a task holds few of them for each row."""
+    n = 2000
+    shells = balls.Shells(np.zeros((1, 2)), np.arange(n), np.zeros(n, int), np.zeros(n), np.ones(n), np.full(n, 500))
+    sizes = np.add.reduceat(shells.rows, shells.groups())
+    assert sizes.sum() == n * 500 and sizes.max() <= knn.JOINED + 500, sizes.max()
